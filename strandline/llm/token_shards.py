@@ -10,10 +10,10 @@ bytes. That takes about 2 + log2(mean length) bits a document in place of 64.
 from __future__ import annotations
 
 import json
-import os
 import re
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -76,8 +76,8 @@ def ef_decode(n: int, ef_bits: int, ef_low: bytes, ef_high: bytes) -> np.ndarray
 class WordEncoder:
     """Ids of texts by a word-level BPE tokenizer file, through a bounded cache of words.
 
-    Such a tokenizer splits a text into words and merges within each, so equal words give equal ids. Words the
-    cache lacks are encoded together. Texts in which the short way to split could differ from the tokenizer's
+    Such a tokenizer splits a text into words and merges within each, and white space is dropped, so equal pieces between
+    white space give equal ids. Texts in which the short way to split could differ from the tokenizer's
     own (rare number signs, control characters, text like a special token, not composed) go to the tokenizer itself.
     """
 
@@ -87,10 +87,9 @@ class WordEncoder:
     def __init__(self, path: str, max_words: int = 400_000):
         from tokenizers import Tokenizer
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         spec = json.loads(open(path, encoding="utf-8").read())
         self.whole = Tokenizer.from_str(json.dumps(spec))
-        self.words = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": None, "post_processor": None, "added_tokens": []}))
+        self.model = self.whole.model
         self.special = tuple({x["content"][:2] for x in spec.get("added_tokens", [])})
         self.cache: dict[str, bytes] = {}
         self.max_words = max_words
@@ -105,26 +104,27 @@ class WordEncoder:
             return not any(x in text for x in "\x1c\x1d\x1e\x1f")
         return self.odd.isdisjoint(text) and unicodedata.is_normalized("NFC", text)
 
-    def split(self, text: str) -> list[str]:
-        # lower() knows a final sigma, the tokenizer doesn't
-        return self.SPLIT.findall((text.replace("Σ", "σ") if "Σ" in text else text).lower())
+    def ids_of(self, piece: str) -> bytes:
+        out = array("I")
+        for w in self.SPLIT.findall(piece):
+            out.extend([t.id for t in self.model.tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(self.byte_chars))])
+        return out.tobytes()
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text as little-endian 32-bit integers."""
+        """The ids of each text as 32-bit integers, little-endian as all platforms that Spark runs Python on."""
         cache = self.cache
         for text in texts:
             if not self.usual(text):
-                yield np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+                yield array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
                 continue
-            words = self.split(text)
-            if missing := list(set(words) - cache.keys()):
-                if len(cache) > self.max_words:
-                    cache.clear()
-                    missing = list(set(words))
-                as_chars = [w if w.isascii() else w.encode().decode("latin-1").translate(self.byte_chars) for w in missing]
-                for w, e in zip(missing, self.words.encode_batch(as_chars, add_special_tokens=False)):
-                    cache[w] = np.array(e.ids, "<u4").tobytes()
-            yield b"".join(map(cache.__getitem__, words))
+            # lower() knows a final sigma, the tokenizer doesn't
+            pieces = (text.replace("Σ", "σ") if "Σ" in text else text).lower().split()
+            if len(cache) > self.max_words:
+                cache.clear()
+            for w in set(pieces):
+                if w not in cache:
+                    cache[w] = self.ids_of(w)
+            yield b"".join(map(cache.__getitem__, pieces))
 
 
 @lru_cache(maxsize=1)
