@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import line_rules, source_mix, token_shards
+from strandline.llm import line_rules, phrase_index, simhash_gray, source_mix, token_shards
 from strandline.llm.common import bounded_batches, documents
 
 
@@ -17,11 +17,22 @@ def op3_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.drop("cleaned")
 
 
+def op4_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = phrase_index.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    ids = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), ids.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = source_mix.mixed(documents(spark, sf_dir), carry=["doc_id"])
     return rows.select("doc_id", *(F.col(f"_{c}").alias(c) for c in ("size", "source_size", "target", "taken")))
 
 
+def op9_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash_gray.near_duplicates(documents(spark, sf_dir))
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), F.col("_component").alias("component_id"))
+
+
 def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -29,7 +40,7 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_line_rules, op8_source_mix, op10_token_shards)}
+    return {f.__name__: f for f in (op3_line_rules, op4_phrase_index, op8_source_mix, op9_simhash_gray, op10_token_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
