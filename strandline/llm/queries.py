@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import line_rules, phrase_index, simhash_gray, source_mix, token_shards, zstd_quality
+from strandline.llm import credential_links, line_rules, phrase_index, simhash_gray, source_mix, token_shards, zstd_quality
 from strandline.llm.common import bounded_batches, documents, held_out
 
 
@@ -31,6 +31,10 @@ def op6_zstd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", held_out(F.col("doc_id"), 5).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op7_credential_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credential_links.secrets(documents(spark, sf_dir))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = source_mix.mixed(documents(spark, sf_dir), carry=["doc_id"])
     return rows.select("doc_id", *(F.col(f"_{c}").alias(c) for c in ("size", "source_size", "target", "taken")))
@@ -48,7 +52,7 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_line_rules, op4_phrase_index, op6_zstd_quality, op8_source_mix, op9_simhash_gray, op10_token_shards)}
+    return {f.__name__: f for f in (op3_line_rules, op4_phrase_index, op6_zstd_quality, op7_credential_links, op8_source_mix, op9_simhash_gray, op10_token_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
