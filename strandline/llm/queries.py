@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import credential_links, line_rules, phrase_index, simhash_gray, source_mix, token_shards, zstd_quality
+from strandline.llm import credential_links, line_rules, phrase_index, pii_labels, simhash_gray, source_mix, token_shards, zstd_quality
 from strandline.llm.common import bounded_batches, documents, held_out
 
 
@@ -23,6 +23,10 @@ def op4_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), ids.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op5_pii_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_labels.personal_data(documents(spark, sf_dir))
+
+
 def op6_zstd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     docs = documents(spark, sf_dir).select("doc_id", "text")
@@ -52,7 +56,7 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_line_rules, op4_phrase_index, op6_zstd_quality, op7_credential_links, op8_source_mix, op9_simhash_gray, op10_token_shards)}
+    return {f.__name__: f for f in (op3_line_rules, op4_phrase_index, op5_pii_labels, op6_zstd_quality, op7_credential_links, op8_source_mix, op9_simhash_gray, op10_token_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
