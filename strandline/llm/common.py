@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space of the word rules: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -60,3 +60,19 @@ def held_out(doc_id: Column, folds: int) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows_per_class: int, bytes_per_class: int, seed: int) -> tuple[DataFrame, dict[int, int]]:
+    """A bounded sample of texts with labels 0 or 1, in the order of a hash of the id, as (y, text, _upto), and the number of labelled ids by label.
+
+    Of ids labelled twice the higher label counts. At most 2 * rows_per_class ids are drawn and sent to the scan of docs; of their texts
+    those are kept whose bytes sum to at most bytes_per_class for a label.
+    """
+    ids = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("y"))
+    totals = {r["y"]: r["count"] for r in ids.groupBy("y").count().collect()}
+    place = F.xxhash64(F.lit(seed), F.col("__id").cast("string"))
+    drawn = [ids.where(F.col("y") == y).orderBy(place, "__id").limit(rows_per_class) for y in (0, 1)]
+    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = texts.join(F.broadcast(drawn[0].union(drawn[1])), F.col("_id") == F.col("__id"))
+    upto = F.sum(F.octet_length("text")).over(Window.partitionBy("y").orderBy(place, "__id", "text").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("_upto", upto).where(F.col("_upto") <= bytes_per_class).select("y", "text", "_upto"), totals

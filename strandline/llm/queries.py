@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import credential_links, lattice_lm, line_rules, phrase_index, pii_labels, simhash_gray, source_mix, token_shards, zstd_quality
+from strandline.llm import credential_links, deobfuscate, lattice_lm, line_rules, phrase_index, pii_labels, simhash_gray, source_mix, token_shards, zstd_quality
 from strandline.llm.common import bounded_batches, documents, held_out
 
 
@@ -18,6 +18,14 @@ def op1_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lm.scores(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), train)
 
 
+def op2_deobfuscate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = deobfuscate.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held_out(F.col("doc_id"), 5))
+    rows = deobfuscate.scored(docs, model)
+    return rows.select("doc_id", held_out(F.col("doc_id"), 5).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     rows = line_rules.judged(documents(spark, sf_dir).select("doc_id", "text"), out="r").select("doc_id", "r.*")
@@ -63,7 +71,7 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lattice_lm, op3_line_rules, op4_phrase_index, op5_pii_labels, op6_zstd_quality, op7_credential_links, op8_source_mix, op9_simhash_gray, op10_token_shards)}
+    return {f.__name__: f for f in (op1_lattice_lm, op2_deobfuscate, op3_line_rules, op4_phrase_index, op5_pii_labels, op6_zstd_quality, op7_credential_links, op8_source_mix, op9_simhash_gray, op10_token_shards)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -12,11 +12,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
+from strandline.llm.common import labelled_rows
+
 
 @dataclass(frozen=True)
 class QualityParams:
@@ -73,25 +75,11 @@ def logistic(x: np.ndarray, y: np.ndarray, weights: np.ndarray, ridge: float = 1
     return w
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, p: QualityParams) -> tuple[list, dict[int, int]]:
-    """Rows (label, text) of a bounded sample, drawn by a hash of the id, and the number of labelled ids by label."""
-    ids = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("y"))
-    totals = {r["y"]: r["count"] for r in ids.groupBy("y").count().collect()}
-    drawn = None
-    for y in (0, 1):
-        own = ids.where(F.col("y") == y).orderBy(F.xxhash64(F.lit(p.seed), F.col("__id").cast("string")), "__id").limit(p.rows_per_class)
-        drawn = own if drawn is None else drawn.union(own)
-    # At most 2 * rows_per_class ids.
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(drawn), F.col("_id") == F.col("__id"))
-    order = Window.partitionBy("y").orderBy(F.xxhash64(F.lit(p.seed), F.col("__id").cast("string")), "__id", "text")
-    sized = rows.withColumn("_upto", F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return sized.where(F.col("_upto") <= p.bytes_per_class).orderBy("y", "_upto").select("y", "text").collect(), totals
-
-
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", params: QualityParams = QualityParams()) -> QualityModel:
     """The model from docs with labels 0 (bad) and 1 (good) of that id; other labels don't count. Of ids labelled twice the higher
     label counts. Without labelled texts of both classes every score is 0.5."""
-    rows, totals = labelled_sample(docs, labels, id_col, text_col, label_col, params)
+    drawn, totals = labelled_rows(docs, labels, id_col, text_col, label_col, params.rows_per_class, params.bytes_per_class, params.seed)
+    rows = drawn.orderBy("y", "_upto").collect()
     trained, rest = {0: [], 1: []}, []
     for y in (0, 1):
         own = [r["text"].encode("utf-8", "surrogatepass") for r in rows if r["y"] == y]
