@@ -18,7 +18,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType
@@ -190,7 +190,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
-    """One document of each component, that of the smallest id; of rows that share this id, the one with the smallest text."""
-    best = near_duplicates(docs, id_col, text_col, bits).where(F.col(id_col).eqNullSafe(F.col("_component"))).select(F.col(id_col).alias("__keep")).distinct()
-    kept = docs.join(best, F.col(id_col).eqNullSafe(F.col("__keep"))).drop("__keep")
-    return kept.dropDuplicates([id_col])
+    """One document of each component, that of the smallest id; of rows that share this id, the one with the smallest text.
+
+    Rows without an id go if they are linked to one with an id; of the others one stays for each fingerprint.
+    """
+    rows = near_duplicates(docs, id_col, text_col, bits)
+    named = rows.where(F.col(id_col) == F.col("_component")).select(id_col).distinct()
+    kept = docs.join(named, id_col, "left_semi").withColumn("__n", F.row_number().over(Window.partitionBy(id_col).orderBy(text_col)))
+    alone = rows.where(F.col("_component").isNull()).select(F.col("_fp").alias("__fp")).distinct()
+    nameless = docs.where(F.col(id_col).isNull()).withColumn("__fp", fingerprints(F.col(text_col))).join(alone, "__fp", "left_semi")
+    nameless = nameless.withColumn("__n", F.row_number().over(Window.partitionBy("__fp").orderBy(text_col)))
+    return kept.select(*docs.columns, "__n").unionByName(nameless.select(*docs.columns, "__n")).where("__n = 1").select(*docs.columns)
