@@ -99,7 +99,7 @@ def ccod_rank(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     sizes = nodes.where("community is not null").groupBy(F.col("community").alias("cid")).agg(F.count("*").alias("size"))
     out = cross_community(edges, nodes).groupBy(F.col("src_cid").alias("cid")).agg(F.sum("n").alias("ccod"))
     rows = sizes.join(out, "cid", "left").select("cid", "size", F.coalesce("ccod", F.lit(0)).alias("ccod"))
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("ccod"), "cid")))
+    return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("ccod"), "cid")).cast("long"))
 
 
 def intra_degree_layers(edges: DataFrame, nodes: DataFrame) -> DataFrame:
