@@ -230,6 +230,7 @@ def scores(docs: DataFrame, vocabulary: str, train: Column, id_col: str = "doc_i
     bounded_batches(spark, rows=1000, mb=16)
     train = F.coalesce(train, F.lit(False))
     words = work.stage(word_counts(docs, text_col, train), "words")
+    bounded_batches(spark, rows=100_000, mb=8)  # words are short, and arrays of many are scored at once
     n, v, ends, d = discount(words)
     log_p = fit(words, vocabulary)
     shared = spark.sparkContext.broadcast(log_p)
@@ -284,6 +285,7 @@ def scores(docs: DataFrame, vocabulary: str, train: Column, id_col: str = "doc_i
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), train.alias("train"))
     kind = docs.schema[id_col].dataType.simpleString()
     texts = rows.mapInPandas(per_text, f"rid long, id {kind}, train boolean, n_tokens long, k long, b double, s double, rare array<struct<word:binary,times:long>>")
+    bounded_batches(spark, rows=1000, mb=16)
     texts = work.stage(texts, "texts")
     pairs = texts.select("rid", F.explode("rare").alias("x")).select("rid", "x.word", F.col("x.times").alias("times"))
     joined = pairs.join(marked, "word")
