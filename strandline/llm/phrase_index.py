@@ -46,7 +46,7 @@ def runs_of(words: list[bytes], terms: set[bytes] | None, least: int, slop: int)
         if len(words) >= least:
             yield 0, len(words)
         return
-    first, last, n = -1, -2, 0
+    first, last, n = -1, -slop - 2, 0
     for i, known in enumerate(map(terms.__contains__, words)):
         if known:
             if i - last > slop + 1:
