@@ -79,3 +79,22 @@ def test_empty_graph(spark):
     none = edges(spark, [])
     assert graph.components(none, nodes(spark, "a")).toPandas().equals(pd.DataFrame({"id": ["a"], "component": ["a"]}))
     assert graph.structure(nodes(spark, "a"), none).first().isolated == 1
+
+
+def test_communities_of_two_cliques(spark):
+    from strandline.operators.communities import communities
+
+    pairs = [(f"{k}{i}", f"{k}{j}") for k in "ab" for i in range(6) for j in range(i)] + [("a0", "b0")]
+    own = edges(spark, pairs)
+    found = communities(own)
+    got = {r.id: r.community for r in found.collect()}
+    assert len({got[f"a{i}"] for i in range(6)}) == 1 and got["a1"] != got["b1"]
+    assert stats.modularity(own, found.toDF("id", "cid")).first().modularity > 0.4
+
+
+def test_model_stub_is_deterministic(spark):
+    from strandline import models
+
+    rows = spark.createDataFrame([(i, f"p{i}") for i in range(5)], "id LONG, prompt STRING")
+    first = {r.id: r.answer for r in models.ask(rows, "id", "prompt", batch=2).collect()}
+    assert first == {r.id: r.answer for r in models.ask(rows.repartition(3), "id", "prompt").collect()} and len(first) == 5
