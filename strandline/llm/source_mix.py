@@ -43,10 +43,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float
 
 
 def keyed(docs: DataFrame, id_col: str, source_col: str, size: Column, seed: int) -> DataFrame:
-    """docs with _id, _source, _size and the hash-random _key."""
-    return docs.withColumns(
-        {"_id": F.col(id_col).cast("string"), "_source": F.col(source_col).cast("string"), "_size": size, "_key": F.xxhash64(F.lit(seed), F.col(id_col).cast("string"))}
-    )
+    """The rows of docs as a struct _row, whatever their columns' names, with _id, _source, _size and the hash-random _key."""
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+    name = F.col(id_col).cast("string")
+    return docs.select(whole, name.alias("_id"), F.col(source_col).cast("string").alias("_source"), size.alias("_size"), F.xxhash64(F.lit(seed), name).alias("_key"))
 
 
 def cuts(rows: DataFrame, n_rows: int, **mix) -> DataFrame:
@@ -71,32 +71,40 @@ def cuts(rows: DataFrame, n_rows: int, **mix) -> DataFrame:
     return goal.alias("g").join(cut.alias("c"), F.col("g._source").eqNullSafe(F.col("c._source")), "left").select("g.*", "_cut_key", "_cut_id", "_left", "_unit")
 
 
+def decided(small: DataFrame, rows: DataFrame, work: Workspace, **mix) -> DataFrame:
+    """small (as keyed, or rows) with _source_size, _target and _taken. rows: _id, _source, _size and _key of the same documents, staged."""
+    plan = work.stage(cuts(rows, rows.count(), **mix).coalesce(1), "cuts")  # one row per source
+    out = small.alias("d").join(plan.alias("p"), F.col("d._source").eqNullSafe(F.col("p._source")))
+    early = (F.col("_key") < F.col("_cut_key")) | ((F.col("_key") == F.col("_cut_key")) & (F.coalesce("_id", F.lit("")) < F.coalesce("_cut_id", F.lit(""))))
+    at = (F.col("_key") == F.col("_cut_key")) & F.col("_id").eqNullSafe(F.col("_cut_id"))
+    part = F.when(at, F.floor(F.col("_left") * F.col("_size") / F.col("_unit"))).when(early, F.col("_size")).otherwise(0)
+    taken = F.col("_epochs") * F.col("_size") + F.coalesce(part, F.lit(0))
+    return out.select("d.*", "_source_size", "_target", taken.cast("long").alias("_taken"))
+
+
 def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", size: Column | None = None, seed: int = 1, carry: list[str] | None = None, **mix) -> DataFrame:
-    """docs with _size, _source_size, _target and _taken: the words the mix takes of each row, repeats counted.
+    """Columns of docs (those in carry, or all) with _size, _source_size, _target and _taken: the words the mix takes of each row, repeats counted.
 
     A whole epoch takes every row of the source; in the last, rows before the cut are taken whole and the row at the cut
     in part, so that a source gives exactly its target, rounded down. Rows with one id and source are taken together;
     at the cut they share what is left by size, rounded down. Rows of size 0 take 0. A null source is a source of its own,
-    a null id an id. An empty table gives an empty result. carry: the columns of docs to return (all).
+    a null id an id. An empty table gives an empty result. A column of docs with the name of an added one isn't returned.
     """
-    spark = docs.sparkSession
-    work = Workspace(spark, "mix")
+    work = Workspace(docs.sparkSession, "mix")
+    added = ["_size", "_source_size", "_target", "_taken"]
+    wanted = [c for c in (docs.columns if carry is None else carry) if c not in added]
     small = keyed(docs, id_col, source_col, word_count(F.col("text")) if size is None else size, seed)
-    lean = carry is not None and set(carry) <= {id_col}
-    rows = work.stage(small.select(*(carry if lean else []), "_id", "_source", "_size", "_key"), "sizes")
-    plan = work.stage(cuts(rows, rows.count(), **mix).coalesce(1), "cuts")  # one row per source
-    out = (rows if lean else small).alias("d").join(plan.alias("p"), F.col("d._source").eqNullSafe(F.col("p._source")))
-    early = (F.col("_key") < F.col("_cut_key")) | ((F.col("_key") == F.col("_cut_key")) & (F.coalesce("_id", F.lit("")) < F.coalesce("_cut_id", F.lit(""))))
-    at = (F.col("_key") == F.col("_cut_key")) & F.col("_id").eqNullSafe(F.col("_cut_id"))
-    part = F.when(at, F.floor(F.col("_left") * F.col("_size") / F.col("_unit"))).when(early, F.col("_size")).otherwise(0)
-    taken = F.col("_epochs") * F.col("_size") + F.coalesce(part, F.lit(0))
-    kept = [F.col(f"d.`{c}`") for c in (docs.columns if carry is None else carry)]
-    return out.select(*kept, "_size", "_source_size", "_target", taken.cast("long").alias("_taken"))
+    lean = wanted == [id_col]
+    rows = work.stage(small.select(*([F.struct(F.col(f"_row.`{id_col}`")).alias("_row")] if lean else []), "_id", "_source", "_size", "_key"), "sizes")
+    out = decided(rows if lean else small, rows.drop("_row"), work, **mix)
+    return out.select(*(F.col(f"_row.`{c}`").alias(c) for c in wanted), *added)
 
 
-def repeat_epochs(docs: DataFrame, text_col: str = "text", **kwargs) -> DataFrame:
+def repeat_epochs(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 1, **mix) -> DataFrame:
     """The mix itself, in the columns of docs: a row for each time a document is taken. The row at a source's cut is
     taken if at least half of its words are within the budget, since texts aren't torn."""
-    rows = mixed(docs, size=word_count(F.col(text_col)), **kwargs)
+    work = Workspace(docs.sparkSession, "mix")
+    small = keyed(docs, id_col, source_col, word_count(F.col(text_col)), seed)
+    out = decided(small, work.stage(small.drop("_row"), "sizes"), work, **mix)
     times = F.when(F.col("_size") > 0, F.floor((F.col("_taken") * 2 + F.col("_size")) / (F.col("_size") * 2))).otherwise(0).cast("int")
-    return rows.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), times))).select(*docs.columns)
+    return out.select("_row", F.explode(F.array_repeat(F.lit(0), times))).select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns))

@@ -18,7 +18,7 @@ from strandline.llm import credential_links, deobfuscate, lattice_lm, line_rules
 
 BPE = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
-SCHEMA = "doc_id LONG, text STRING, source STRING, n_chars LONG, held_out STRING, score STRING, _rid STRING"
+SCHEMA = "doc_id LONG, text STRING, source STRING, n_chars LONG, held_out STRING, score STRING, _rid STRING, _size STRING"
 
 
 def corpus():
@@ -45,7 +45,7 @@ ROWS, BENCH = corpus()
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    return spark.createDataFrame([(d, t, None if d % 11 == 0 else f"s{d % 3}", len(t or ""), "x", "y", "z") for d, t in ROWS], SCHEMA).repartition(3)
+    return spark.createDataFrame([(d, t, None if d % 11 == 0 else f"s{d % 3}", len(t or ""), "x", "y", "z", "w") for d, t in ROWS], SCHEMA).repartition(3)
 
 
 @pytest.fixture(scope="module")
@@ -130,7 +130,7 @@ def test_source_mix(docs, empty):
         taken[r.source] += r._taken
     assert all(want[s] - 4 <= taken[s] <= want[s] + 1e-6 for s in want)
     same([(r.doc_id, r._taken) for r in source_mix.mixed(docs.repartition(5)).collect()], [(r.doc_id, r._taken) for r in got])
-    assert source_mix.mixed(empty).count() == 0 and source_mix.repeat_epochs(docs).columns == docs.columns
+    assert source_mix.mixed(empty).count() == 0 and source_mix.repeat_epochs(docs).columns == docs.columns and {r._size for r in source_mix.repeat_epochs(docs).collect()} == {"w"}
 
 
 def test_source_mix_in_several_ranges(docs, monkeypatch):
