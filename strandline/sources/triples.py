@@ -34,7 +34,7 @@ def chunk_windows(docs: DataFrame, id_col: str, text_col: str, size: int = 500,
 
 
 def read_decisions(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, header=True, schema=schemas.MERGE_DECISION.replace(":", ""))
+    return spark.read.csv(path, header=True, schema=schemas.MERGE_DECISION)
 
 
 def write_csv(rows: DataFrame, path: str) -> None:

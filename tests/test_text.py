@@ -70,3 +70,14 @@ def test_triple_files(spark, tmp_path):
 def test_chunk_windows(spark):
     docs = spark.createDataFrame([(1, " ".join(map(str, range(451)))), (2, ""), (3, None)], "doc_id LONG, text STRING")
     assert [(r.doc_id, r.chunk, r.n_tokens) for r in triples.chunk_windows(docs, "doc_id", "text").orderBy("chunk").collect()] == [(1, 1, 451), (1, 2, 1)]
+
+
+def test_backup_and_csv(spark, tmp_path):
+    nodes = spark.createDataFrame([("a", "x", "A"), ("b", None, "B"), ("b", None, "B")], "id STRING, label STRING, name STRING")
+    edges = spark.createDataFrame([("a", "r", "b"), ("a", "r", "b"), ("a", "s", "b")], "src STRING, rel STRING, dst STRING")
+    triples.backup(nodes, edges, str(tmp_path / "b"))
+    assert tuple(triples.verify(spark, str(tmp_path / "b")).first()) == (3, 3, 3, 2, 3)
+    assert [t.count() for t in triples.restore(spark, str(tmp_path / "b"))] == [2, 2]
+    rows = spark.createDataFrame([("a", "t", "b", "t", 0.5, "same", 0.9, None)], schemas.MERGE_DECISION)
+    triples.write_csv(rows, str(tmp_path / "c"))
+    assert triples.read_decisions(spark, str(tmp_path / "c")).first().confidence == 0.9
