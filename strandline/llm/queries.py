@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import credential_links, deobfuscate, lattice_lm, line_rules, phrase_index, pii_labels, simhash_gray, source_mix, token_shards, zstd_quality
+from strandline.llm import credential_links, deobfuscate, lattice_lm, line_rules, oracles, phrase_index, pii_labels, simhash_gray, source_mix, token_shards, zstd_quality
 from strandline.llm.common import bounded_batches, documents, held_out
 
 
@@ -75,4 +75,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL has no lattices, Viterbi search, SimHash, zstandard, tokenizers or look-behind; tests/llm holds the other queries against brute force."""
+    return {"op3_line_rules": oracles.OP3, "op4_phrase_index": oracles.OP4}

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, StructField, StructType
+from pyspark.sql.types import ArrayType, DataType, LongType, StructField, StructType
 
 from strandline.llm.common import Workspace, bounded_batches
 
@@ -213,6 +213,24 @@ def read_documents(shards: DataFrame) -> DataFrame:
     return out.select("doc_id", (F.col("_base") + F.col("_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def fetch(shards: DataFrame, wanted: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """doc_id and ids (array<long>, the end id last) of the documents named in wanted: two selects each, without decoding their shards' other ends."""
+    id_type = shards.schema["doc_ids"].dataType.elementType
+    at = shards.select("part", "seq", F.posexplode("doc_ids").alias("place", "_doc")).join(wanted.select(F.col(id_col).alias("_want")).distinct(), F.col("_doc") == F.col("_want"), "left_semi")
+    places = at.groupBy("part", "seq").agg(F.collect_list(F.struct("place", "_doc")).alias("_found"))
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for s in batch.itertuples(index=False):
+                coded = {"ef_bits": s.ef_bits, "ef_low": s.ef_low, "ef_high": s.ef_high, "ef_select": s.ef_select}
+                ids = np.frombuffer(s.ids, f"<u{s.id_bytes}")
+                rows = [(f["_doc"], ids[ef_select(f["place"] - 1, **coded) if f["place"] else 0 : ef_select(f["place"], **coded)].astype(np.int64).tolist()) for f in s.found]
+                yield pd.DataFrame({"doc_id": pd.Series([r[0] for r in rows], dtype=object), "ids": [r[1] for r in rows]})
+
+    rows = shards.drop("doc_ids").join(places, ["part", "seq"]).withColumnRenamed("_found", "found")
+    return rows.mapInPandas(read, StructType([StructField("doc_id", id_type), StructField("ids", ArrayType(LongType()))])).withColumnRenamed("doc_id", id_col)
+
+
 def encoded(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes docs and reads them back: read_documents of write_shards. An empty table gives no shard and no row."""
     return read_documents(write_shards(docs, tokenizer, end_id, id_col, text_col)).withColumnRenamed("doc_id", id_col)

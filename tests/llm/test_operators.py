@@ -202,6 +202,10 @@ def test_small_shards(docs, monkeypatch):
     shards = token_shards.write_shards(docs, BPE)
     assert shards.count() > 10
     same(token_shards.read_documents(shards).collect(), list(map(tuple, before)))
+    wanted = docs.where("doc_id % 3 = 0")
+    found = token_shards.fetch(shards, wanted).collect()
+    crcs = {(r.doc_id, r.n_tokens, r.ids_crc32) for r in before if r.doc_id % 3 == 0}
+    assert {(r.doc_id, len(r.ids), ref.crc(r.ids)) for r in found} == crcs and len(found) == wanted.count()
 
 
 @pytest.mark.parametrize("n", [1, 2, 63, 64, 65, 1000])
