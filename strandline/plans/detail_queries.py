@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandline import models
 from strandline.functions import text as fn
 from strandline.operators import communities as moving
-from strandline.operators import graph, matching, stats
+from strandline.operators import graph, matching
 from strandline.plans.graph_binding import EDGES_SQL, G0, MENTIONS_SQL, edges, mentions, nodes, table
 from strandline.plans.table_queries import FILES_SQL, file_names, vectors
 
@@ -193,8 +193,6 @@ def model_decisions(spark, sf):
 
 @query()
 def community_detection(spark, sf):
-    """Communities of the graph of nations, suppliers and brands, and their modularity."""
-    lines = table(spark, sf, "lineitem").where("l_quantity >= 45")
-    own = lines.select(F.concat(F.lit("S"), "l_suppkey").alias("src"), F.concat(F.lit("P"), "l_partkey").alias("dst"))
-    found = moving.communities(own)
-    return stats.modularity(own, found.toDF("id", "cid")).select(F.round("modularity", 4).alias("modularity"))
+    """Communities of the bound graph: id, community of every node; a node without edges is its own."""
+    found = moving.communities(edges(spark, sf))
+    return nodes(spark, sf).select("id").join(found, "id", "left").select("id", F.coalesce("community", "id").alias("community"))

@@ -193,11 +193,8 @@ def membership_join(spark, sf):
 
 @query()
 def wcc(spark, sf):
-    """Components of brands' parts through large line items; sizes by component."""
-    lines = table(spark, sf, "lineitem").where("l_quantity >= 49 AND l_discount >= 0.09")
-    pairs = lines.select(F.concat(F.lit("S"), "l_suppkey").alias("src"), F.concat(F.lit("P"), "l_partkey").alias("dst"))
-    ids = pairs.select(F.col("src").alias("id")).union(pairs.select("dst")).distinct()
-    return graph.components(pairs, ids).groupBy("component").agg(F.count("*").alias("size"))
+    """The weak component of every node of the bound graph."""
+    return graph.components(edges(spark, sf), nodes(spark, sf))
 
 
 PLAN_EDGES_SQL = "SELECT DISTINCT l_orderkey % 97 a, l_suppkey % 89 b, 'N' || (l_orderkey % 97) src, 'N' || (l_suppkey % 89) dst FROM lineitem WHERE l_quantity = 50"
@@ -206,11 +203,22 @@ PLAN_EDGES_SQL = "SELECT DISTINCT l_orderkey % 97 a, l_suppkey % 89 b, 'N' || (l
 @query(f"""WITH RECURSIVE e AS ({PLAN_EDGES_SQL}), r(id, distance) AS (SELECT 'N0', 0 UNION SELECT e.src, r.distance + 1 FROM r JOIN e ON e.dst = r.id
     WHERE (r.id NOT IN ('N3', 'N5') OR r.id = 'N0') AND r.distance < 12) SELECT id, min(distance)::INT distance FROM r GROUP BY 1""")
 def reverse_path_plan(spark, sf):
+    """A plan over a cut of the line items folded to at most 97 nodes, as its SQL has it; bound_path_plan has the whole graph."""
     lines = table(spark, sf, "lineitem").where("l_quantity = 50")
     own = lines.select(F.concat(F.lit("N"), F.col("l_orderkey") % 97).alias("src"), F.concat(F.lit("N"), F.col("l_suppkey") % 89).alias("dst"))
     return graph.path_plan(own, "N0", ["N3", "N5"])
 
 
+LEARNED = ["customer/Customer#000000003", "supplier/Supplier#000000005", "nation/NATION_7"]
+
+
+@query(f"""WITH RECURSIVE {NODES_SQL}, {EDGES_SQL}, r(id, distance) AS (SELECT 'region/ASIA', 0 UNION SELECT src, distance + 1 FROM r JOIN edges ON dst = r.id WHERE r.id NOT IN {tuple(LEARNED)})
+    SELECT nodes.id, min(distance)::INT distance FROM nodes LEFT JOIN r USING (id) GROUP BY 1""")
+def bound_path_plan(spark, sf):
+    """For every node of the bound graph its distance to a region; null if it doesn't lead there."""
+    return nodes(spark, sf).select("id").join(graph.path_plan(edges(spark, sf), "region/ASIA", LEARNED), "id", "left")
+
+
 @query(G0 + """, m AS (SELECT count(*)::DOUBLE m FROM edges), c AS (SELECT id, coalesce(community, -1) cid FROM nodes),
     d AS (SELECT cid, count(*) degree FROM (SELECT src id FROM edges UNION ALL SELECT dst FROM edges) JOIN c USING (id) GROUP BY 1),
     i AS (SELECT a.cid, count(*) inside FROM edges JOIN c a ON src = a.id JOIN c b ON dst = b.id WHERE a.cid = b.cid GROUP BY 1)
@@ -227,11 +235,8 @@ def centrality(spark, sf):
 
 @query()
 def dag_layers(spark, sf):
-    """Suppliers and parts by community; edges both ways, so that there are cycles to break."""
-    lines = table(spark, sf, "lineitem").where("l_quantity = 50")
-    own = lines.select(F.concat(F.lit("N"), F.col("l_orderkey") % 300).alias("src"), F.concat(F.lit("N"), F.col("l_partkey") % 300).alias("dst"))
-    ids = own.select(F.col("src").alias("id")).union(own.select("dst")).distinct()
-    return graph.dag_layers(own, ids.withColumn("community", F.substring("id", 2, 9).cast("long") % 10))
+    """Layers of every node of the bound graph that has a community."""
+    return graph.dag_layers(edges(spark, sf), nodes(spark, sf))
 
 
 @query(G0 + """, q AS (SELECT item_id qid, unnest(['NATION_' || (item_id % 25), 'SUPPLIER#' || lpad((item_id % 50)::VARCHAR, 9, '0')]) mention FROM benchmark),
