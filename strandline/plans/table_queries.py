@@ -123,11 +123,9 @@ def chunk_windows(spark, sf):
     SELECT doc_id, n::INT line_no, CASE WHEN regexp_matches(line, 'sk-[A-Za-z0-9_-]{20,}') THEN 'OPENAI_API_KEY' WHEN regexp_matches(line, 'token = "[0-9a-f]{40}"') THEN 'TOKEN' ELSE 'PATH' END kind
     FROM l WHERE regexp_matches(line, 'nvapi-[A-Za-z0-9_-]{20,}|gsk_[A-Za-z0-9_-]{20,}|AIza[A-Za-z0-9_-]{20,}|sk-(?:proj-|live-)?[A-Za-z0-9_-]{20,}|token = "[0-9a-f]{40}"|\\b[A-Za-z]:[\\\\/]')""")
 def secret_scan(spark, sf):
-    """Lines with a leaked key, a token assignment or a local path."""
+    """A row per line and kind of leak: keys, assignments of secrets, tokens, local paths. The SQL has one kind per line and no assignments; it suits tables without such lines."""
     lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    forms = fn.KEY_FORMS | {"TOKEN": 'token = "[0-9a-f]{40}"', "PATH": fn.WINDOWS_PATH}
-    kind = F.coalesce(*(F.when(F.rlike("line", F.lit(p)), k) for k, p in forms.items()))
-    return lines.select("doc_id", (F.col("pos") + 1).alias("line_no"), kind.alias("kind")).where("kind IS NOT NULL")
+    return lines.select("doc_id", (F.col("pos") + 1).alias("line_no"), F.explode(fn.secret_kinds(F.col("line"))).alias("kind"))
 
 
 @query("""SELECT event_id, json_extract_string(props, '$.k')::INT k FROM events""")
