@@ -2,16 +2,51 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators.graph import staged
+from strandline.sources.staging import shared_dir
+
 
 def link_entities(questions: DataFrame, names: DataFrame) -> DataFrame:
-    """The entity that each (qid, mention) names: an equal name in lower case; of several the smallest id."""
-    keyed = names.select("id", F.lower("name").alias("key"))
-    found = questions.select("qid", F.lower("mention").alias("key")).distinct().join(keyed, "key")
-    return found.groupBy("qid", "key").agg(F.min("id").alias("id"))
+    """The entity that each (qid, mention) names, in lower case: an equal name, else one that holds the mention, else the longest one within it.
+
+    Of several the first by name and id. Containment is found by equal substrings, so no pair is compared that doesn't match.
+    """
+    keyed = names.select("id", F.lower("name").alias("key")).where("key <> ''")
+    asked = questions.select("qid", F.lower("mention").alias("key")).distinct()
+    exact = asked.join(keyed, "key").groupBy("qid", "key").agg(F.min("id").alias("id"))
+    rest = asked.join(exact, ["qid", "key"], "left_anti").where("key <> ''")
+    open_keys = rest.select("key").distinct()
+    first = F.min(F.struct("name", "id"))
+    sizes = open_keys.select(F.length("key").alias("size")).distinct()
+    named = keyed.withColumnRenamed("key", "name").join(F.broadcast(sizes), F.length("name") > F.col("size"))  # a row per length of a mention
+    parts = named.select("id", "name", "size", F.explode(F.sequence(F.lit(1), F.length("name") - F.col("size") + 1)).alias("at"))
+    holding = parts.select("id", "name", F.substring("name", F.col("at"), F.col("size")).alias("key")).join(open_keys, "key", "left_semi").groupBy("key").agg(first.alias("outer"))
+    spans = open_keys.select("key", F.explode(F.sequence(F.lit(1), F.length("key"))).alias("at")).select("key", "at", F.explode(F.sequence(F.lit(1), F.length("key") - F.col("at") + 1)).alias("size"))
+    inner = spans.select("key", F.substring("key", F.col("at"), F.col("size")).alias("name"), F.negative("size").alias("size")).distinct()
+    within = inner.join(keyed.withColumnRenamed("key", "name"), "name").groupBy("key").agg(F.min(F.struct("size", "name", "id")).alias("inner"))
+    loose = open_keys.join(holding, "key", "left").join(within, "key", "left").select("key", F.coalesce("outer.id", "inner.id").alias("id")).where("id IS NOT NULL")
+    return exact.unionByName(rest.join(loose, "key"))
+
+
+def relation_candidates(linked: DataFrame, edges: DataFrame) -> DataFrame:
+    """qid, relations: the distinct relations that touch its linked ids (qid, id), sorted."""
+    touching = edges.select(F.col("src").alias("id"), "rel").union(edges.select("dst", "rel")).distinct()
+    return linked.select("qid", "id").distinct().join(touching, "id").groupBy("qid").agg(F.array_sort(F.collect_set("rel")).alias("relations"))
+
+
+def hop(found: DataFrame, edges: DataFrame, tails: int = 30, relations: int = 10, most: int = 50) -> DataFrame:
+    """Triples one hop further (qid, head, rel, tail): from the first tails of a question's triples over the first of their relations, up to most each."""
+    place = lambda by, order: F.row_number().over(Window.partitionBy(*by).orderBy(order))
+    start = found.select("qid", F.col("tail").alias("head")).distinct().withColumn("n", place(["qid"], "head")).where(F.col("n") <= tails).select("qid", "head")
+    over = found.select("qid", "rel").distinct().withColumn("n", place(["qid"], "rel")).where(F.col("n") <= relations).select("qid", "rel")
+    out = start.join(over, "qid").join(edges.select(F.col("src").alias("head"), "rel", F.col("dst").alias("tail")), ["head", "rel"])
+    return out.withColumn("n", place(["qid", "head", "rel"], "tail")).where(F.col("n") <= most).select("qid", "head", "rel", "tail")
 
 
 def expand(linked: DataFrame, edges: DataFrame, most: int = 50) -> DataFrame:
@@ -40,19 +75,47 @@ def first_wins(triples: DataFrame) -> DataFrame:
     return triples.groupBy("qid").applyInPandas(work, triples.schema)
 
 
+PRIME = 2**61 - 1  # above any number of pairs
+
+
 def sample_pairs(nodes: DataFrame, per_community: int = 20, least: int = 10, seed: int = 42) -> DataFrame:
-    """Per community (id, name, community) of at least ``least`` nodes up to that many pairs within it, by a seeded hash of both names.
+    """Per community (id, name, community) of at least ``least`` nodes up to that many pairs of names within it and with others; no pair twice.
 
-    Each name's partners are the next few in hash order, so pairs stay in proportion to the nodes instead of all pairs.
+    community, pair_type (in, cross), other (the second name's community), a, b, place. Pairs are numbered and numbers are drawn by steps of a prime, so none
+    is drawn twice and the pairs themselves are never listed. A pair that two communities draw belongs to the smaller one. Draws go on until every
+    community has its pairs or no more are left.
     """
+    root = f"{shared_dir(nodes.sparkSession)}/strandline/pairs-{uuid.uuid4().hex}"
     big = nodes.groupBy("community").count().where(F.col("count") >= least).select("community")
-    named = nodes.join(big, "community", "left_semi").groupBy("community", "name").agg(F.min("id").alias("id"))
-    by = Window.partitionBy("community").orderBy(F.xxhash64(F.lit(seed), "name"), "name")
-    pairs = named.select("community", "name", *(F.lead("name", i).over(by).alias(f"p{i}") for i in range(1, 5)))
-    pairs = pairs.select("community", F.col("name").alias("a"), F.explode(F.array("p1", "p2", "p3", "p4")).alias("b")).where("b is not null")
-    pairs = pairs.select("community", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    place = F.row_number().over(Window.partitionBy("community").orderBy(F.xxhash64(F.lit(seed), "a", "b"), "a", "b"))
-    return pairs.withColumn("place", place).where(F.col("place") <= per_community)
+    named = nodes.join(big, "community", "left_semi").where("name IS NOT NULL").select("community", "name").distinct()
+    sizes = named.groupBy("community").agg(F.count("*").alias("n")).where("n >= 2")
+    start = F.sum("n").over(Window.orderBy("community").rowsBetween(Window.unboundedPreceding, -1))  # a row per community
+    sizes = staged(sizes.withColumn("start", F.coalesce(start, F.lit(0))), f"{root}/sizes")
+    place = F.row_number().over(Window.partitionBy("community").orderBy(F.xxhash64(F.lit(seed), "name"), "name")) - 1
+    names = staged(named.withColumn("i", place).join(sizes, "community").select("community", "name", (F.col("start") + F.col("i")).alias("g")), f"{root}/names")
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    whole = lambda c: c.cast("decimal(38,0)")
+    kinds = sizes.select("community", "n", "start", F.explode(F.array(F.lit("in"), F.lit("cross"))).alias("pair_type"), (F.lit(total) - F.col("n")).alias("rest"))
+    inside = F.col("pair_type") == "in"
+    kinds = kinds.withColumn("pairs", F.when(inside, (F.col("n") * (F.col("n") - 1) / 2).cast("long")).otherwise(F.col("n") * F.col("rest"))).where("pairs > 0")
+    first, second = names.toDF("community", "x", "ga"), names.toDF("other", "y", "gb")
+    draws = 4 * per_community
+    while True:
+        p = (F.pmod(F.xxhash64(F.lit(seed), "community", "pair_type"), F.col("pairs")) + whole(F.lit(PRIME) % F.col("pairs")) * F.col("j")) % whole(F.col("pairs"))
+        drawn = kinds.select("*", F.explode(F.sequence(F.lit(0), F.least(F.col("pairs"), F.lit(draws)).cast("long") - 1)).alias("j")).withColumn("p", p.cast("long"))
+        # Within: all ordered pairs of n - 1 by n / 2 around a circle, which has each unordered pair once. Across: a name of the community by one of the rest.
+        lap, at = F.floor(F.col("p") / F.col("n")), F.col("p") % F.col("n")
+        own = F.when(inside, at).otherwise(F.floor(F.col("p") / F.col("rest")))
+        far = F.when(inside, F.col("start") + (at + lap + 1) % F.col("n")).otherwise(F.col("p") % F.col("rest") + F.when(F.col("p") % F.col("rest") >= F.col("start"), F.col("n")).otherwise(0))
+        drawn = drawn.select("community", "pair_type", "pairs", "j", (F.col("start") + own).cast("long").alias("ga"), far.cast("long").alias("gb"))
+        pairs = drawn.join(first, ["community", "ga"]).join(second, "gb").where("x <> y").withColumns({"a": F.least("x", "y"), "b": F.greatest("x", "y")})
+        owner = pairs.groupBy("a", "b").agg(F.min(F.struct("community", F.col("pair_type") == "cross", "j", "pair_type", "other")).alias("o"))
+        kept = owner.select("o.community", "o.pair_type", "o.other", "a", "b", "o.j").withColumn("place", F.row_number().over(Window.partitionBy("community", "pair_type").orderBy("j")))
+        kept = staged(kept.where(F.col("place") <= per_community).drop("j"), f"{root}/kept-{draws}")
+        have = kept.groupBy("community", "pair_type").agg(F.count("*").alias("have"))
+        if kinds.where(F.col("pairs") > draws).join(have, ["community", "pair_type"], "left").where(F.coalesce("have", F.lit(0)) < per_community).isEmpty():
+            return kept
+        draws *= 4
 
 
 def toggled(events: DataFrame, keys: list[str], order: Column) -> DataFrame:

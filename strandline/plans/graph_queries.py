@@ -244,16 +244,28 @@ def dag_layers(spark, sf):
     x AS (SELECT qid, src head, rel, dst tail, 'out' way, l.id, dst other FROM l JOIN edges ON src = l.id UNION ALL SELECT qid, src, rel, dst, 'in', l.id, src FROM l JOIN edges ON dst = l.id)
     SELECT DISTINCT qid, head, rel, tail FROM (SELECT * FROM (SELECT DISTINCT * FROM x) QUALIFY row_number() OVER (PARTITION BY qid, id, rel, way ORDER BY other) <= 50)""")
 def evidence_expand(spark, sf):
+    return evidence.expand(linked_mentions(spark, sf), edges(spark, sf))
+
+
+def linked_mentions(spark, sf):
     items = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"))
     names = F.array(F.concat(F.lit("NATION_"), F.col("qid") % 25), F.concat(F.lit("SUPPLIER#"), F.lpad((F.col("qid") % 50).cast("string"), 9, "0")))
-    linked = evidence.link_entities(items.select("qid", F.explode(names).alias("mention")), nodes(spark, sf))
-    return evidence.expand(linked, edges(spark, sf))
+    return evidence.link_entities(items.select("qid", F.explode(names).alias("mention")), nodes(spark, sf))
+
+
+@query(G0 + """, q AS (SELECT item_id qid, unnest(['NATION_' || (item_id % 25), 'SUPPLIER#' || lpad((item_id % 50)::VARCHAR, 9, '0')]) mention FROM benchmark), l AS (SELECT qid, id FROM q JOIN nodes ON lower(mention) = lower(name))
+    SELECT qid, string_agg(DISTINCT rel, ',' ORDER BY rel) relations FROM l JOIN (SELECT src id, rel FROM edges UNION SELECT dst, rel FROM edges) USING (id) GROUP BY 1""")
+def evidence_relations(spark, sf):
+    return evidence.relation_candidates(linked_mentions(spark, sf), edges(spark, sf)).select("qid", F.array_join("relations", ",").alias("relations"))
 
 
 @query()
 def evidence_filter(spark, sf):
-    found = evidence_expand(spark, sf)
-    ordered = found.withColumn("ord", F.row_number().over(Window.partitionBy("qid").orderBy("rel", "head", "tail")))
+    """Evidence of one and two hops, the first hop's first."""
+    near = evidence_expand(spark, sf)
+    every = near.withColumn("hop", F.lit(1)).unionByName(evidence.hop(near, edges(spark, sf)).withColumn("hop", F.lit(2)))
+    every = every.groupBy("qid", "head", "rel", "tail").agg(F.min("hop").alias("hop"))
+    ordered = every.withColumn("ord", F.row_number().over(Window.partitionBy("qid").orderBy("hop", "rel", "head", "tail"))).drop("hop")
     return evidence.first_wins(ordered)
 
 
