@@ -30,14 +30,17 @@ LEET = {
 }
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 EDGE, OTHER, SYMBOLS = 0, 27, 28  # of the character model: the word's edge, a to z, any other letter
+SYMBOL = {c: i + 1 for i, c in enumerate(LETTERS)} | {" ": EDGE}
 #: Costs of the channel, in nats.
 COST = {"leet": 0.7, "drop_mark": 9.0, "keep_mark": 12.0, "repeat": 0.7, "join": 0.2, "break": 1.0}
-LONGEST = 40  # a longer piece is no hidden word
-SPACED = re.compile(r"(?<!\S)(?:\S[ ]){3,}\S(?!\S)")
-JOINED = re.compile(r"(?:\w[.\-_*~]+){2,}\w$")
+SPACED = re.compile(r"(?<!\S)(?:\S\s+){3,}\S(?!\S)")
+JOINED = re.compile(r"(?:[^\W_][.\-_*~]+){2,}[^\W_]$")
 INNER = re.compile(r"[a-z][.\-_*~]+[a-z]")
-MARKED = re.compile(r"[a-z].*[0134567890@$!|+€£(*]|[0134567890@$!|+€£(*].*[a-z]")
-REPEATED = re.compile(r"([a-z])\1\1|([a-z])\2.*([a-z])\3")
+# Pieces may be of any length, so each pattern takes time in proportion to it.
+LETTER = re.compile(r"[a-z]")
+MARK = re.compile(r"[0134567890@$!|+€£(*]")
+TRIPLE = re.compile(r"([a-z])\1\1")
+DOUBLE = re.compile(r"([a-z])\1")
 WORDS = re.compile(r"[^\W\d_]+")
 TRIM = "\"'“”‘’«»()[]{}<>.,;:?!…%#&=|"
 
@@ -101,38 +104,59 @@ def emissions(piece: str) -> Iterator[list[tuple[str, float]]]:
 
 
 def decode(piece: str, log_p: np.ndarray) -> str:
-    """The likeliest letters behind a piece in lower case."""
-    symbol = {c: i + 1 for i, c in enumerate(LETTERS)} | {" ": EDGE}
-    states: dict[tuple[int, int], tuple[float, str]] = {(EDGE, EDGE): (0.0, "")}
+    """The likeliest letters behind a piece in lower case, in one pass whatever its length."""
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(EDGE, EDGE): (0.0, None)}  # with the letters so far, the last one first
     for options in emissions(piece):
-        after: dict[tuple[int, int], tuple[float, str]] = {}
+        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (score, text) in states.items():
             for c, cost in options:
                 if not c or (c == " " and b == EDGE):
                     key, value = (a, b), (score - cost, text)
                 else:
-                    s = symbol.get(c, OTHER)
-                    key, value = (b, s), (score - cost + log_p[a, b, s], text + c)
+                    s = SYMBOL.get(c, OTHER)
+                    key, value = (b, s), (score - cost + log_p[a, b, s], (text, c))
                 if key not in after or value[0] > after[key][0]:
                     after[key] = value
         states = after
-    return max((score + log_p[a, b, EDGE], text) for (a, b), (score, text) in states.items())[1]
+    text = max(((score + log_p[a, b, EDGE], text) for (a, b), (score, text) in states.items()), key=lambda x: x[0])[1]
+    out = []
+    while text:
+        text, c = text
+        out.append(c)
+    return "".join(reversed(out))
 
 
 def suspicious(piece: str) -> bool:
     """Whether a piece in lower case could hide a word."""
-    return 2 < len(piece) <= LONGEST and bool(MARKED.search(piece) or REPEATED.search(piece) or JOINED.match(piece)) and sum(c.isalpha() for c in piece) * 3 >= len(piece)
+    return len(piece) > 2 and bool(LETTER.search(piece) and MARK.search(piece) or TRIPLE.search(piece) or len(DOUBLE.findall(piece)) > 1 or JOINED.match(piece))
+
+
+def lettered(piece: str) -> bool:
+    """Whether a third or more of a piece is letters; of others the decoded word has to be likely."""
+    return sum(c.isalpha() for c in piece) * 3 >= len(piece)
+
+
+def likely(word: str, log_p: np.ndarray) -> bool:
+    """Whether the character model holds a decoded word for likelier than letters drawn evenly."""
+    s = [EDGE, EDGE, *(SYMBOL.get(c, OTHER) for c in word), EDGE]
+    return len(word) > 2 and sum(log_p[x] for x in zip(s, s[1:], s[2:])) > -math.log(27) * (len(s) - 2)
 
 
 def restored_piece(piece: str, log_p: np.ndarray) -> str:
     """A piece between white space, in lower case, as it is or decoded."""
     core = piece.strip(TRIM)
     if suspicious(core):
-        return decode(core, log_p)
-    if len(core) <= LONGEST and INNER.search(core):  # a hyphen or a mark that splits a word
+        word = decode(core, log_p)
+        if lettered(core):
+            return word
+        if likely(word, log_p):
+            return f"{core} {word}"
+    if INNER.search(core):  # a hyphen or a mark that splits a word
         return f"{core} {decode(core, log_p)}"
     if core != piece and suspicious(wide := piece.rstrip(".,;:?")):  # marks at its ends may be letters
-        return f"{core} {decode(wide, log_p)}"
+        word = decode(wide, log_p)
+        if lettered(wide) or likely(word, log_p):
+            return f"{core} {word}"
     return core
 
 
@@ -144,8 +168,8 @@ def restored(text: str | None, log_p: np.ndarray) -> str:
 
 
 def spaced(low: str, log_p: np.ndarray) -> list[str]:
-    """Decoded runs of single characters with spaces between."""
-    return [decode(m[0], log_p) for part in SPACED.finditer(low) for m in re.finditer(r".{1,79}\S", part[0])]
+    """Decoded runs of single characters with white space between, each in one pass."""
+    return [decode(" ".join(m[0].split()), log_p) for m in SPACED.finditer(low)]
 
 
 # ---------------------------------------------------------------- the score
@@ -195,8 +219,6 @@ def features_of(restored_text: str) -> set[str]:
     """Words, and their n-grams of 4 to 6 characters, edges included."""
     out: set[str] = set()
     for w in WORDS.findall(restored_text):
-        if len(w) > LONGEST:
-            continue
         s = f" {w} "
         out.add(s)
         for n in (4, 5, 6):
