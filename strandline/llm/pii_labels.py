@@ -24,8 +24,9 @@ BASE = ["email", "ip", "card", "phone"]
 KINDS = [*BASE, "ssn", "iban", "local_phone", "account", "birth_date", "name"]
 
 EMAIL_CHARS = "A-Za-z0-9._%+-"
+#: Groups repeat possessively: Java matches other repeated groups by recursion, which long texts overflow.
 #: An e-mail's name is a whole run of its characters, or what is left of the run after the match before.
-EMAIL = rf"(?:\G|(?<![{EMAIL_CHARS}]))[{EMAIL_CHARS}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
+EMAIL = rf"(?:\G|(?<![{EMAIL_CHARS}]))[{EMAIL_CHARS}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 FINDERS = [
     Finder("email", EMAIL, guard=r"[A-Za-z0-9._%+-]@[A-Za-z0-9-]"),
     Finder("ip", r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", guard=r"[0-9]\.[0-9]"),

@@ -10,12 +10,11 @@ bytes. That takes about 2 + log2(mean length) bits a document in place of 64.
 from __future__ import annotations
 
 import json
+import os
 import re
-import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -73,64 +72,65 @@ def ef_decode(n: int, ef_bits: int, ef_low: bytes, ef_high: bytes) -> np.ndarray
 # ---------------------------------------------------------------- tokens
 
 
-class WordEncoder:
-    """Ids of texts by a word-level BPE tokenizer file, through a bounded cache of words.
+def separable(spec: dict) -> bool:
+    """Whether a tokenizer file gives a text the ids of its pieces between ASCII white space, one after the other: it never looks
+    across white space (canonical composition and letter case don't), drops it, and no added token holds or eats any."""
+    parts = lambda key, inner: (spec.get(key) or {}).get(inner) or [spec.get(key) or {}]
+    normal = all(
+        n.get("type") in ("NFC", "Lowercase") or (n.get("type") == "Replace" and n.get("pattern") == {"Regex": r"\s+"} and n.get("content") == " ") for n in parts("normalizer", "normalizers")
+    )
+    first, *rest = parts("pre_tokenizer", "pretokenizers")
+    # Of the split, alternatives are single classes without white space, or texts without it.
+    wanted = re.split(r"\|(?![^\[]*\])", first.get("pattern", {}).get("Regex", " "))
+    solid = all(re.fullmatch(r"'[a-z]+|\[(?:\\p\{[A-Z][a-z]?\})+\]\+?|\[\^\\s(?:\\p\{[A-Z]\})*\]\+?", x) for x in wanted)
+    split = first.get("type") == "Split" and first.get("behavior") == "Removed" and bool(first.get("invert")) and solid
+    within = all(r.get("type") == "ByteLevel" and not r.get("add_prefix_space") and not r.get("use_regex", True) for r in rest)
+    added = all(not x.get("lstrip") and not x.get("rstrip") and not x.get("single_word") and not re.search(r"\s", x["content"]) for x in spec.get("added_tokens", []))
+    return normal and split and within and added and spec.get("truncation") is None
 
-    Such a tokenizer splits a text into words and merges within each, and white space is dropped, so equal pieces between
-    white space give equal ids. Texts in which the short way to split could differ from the tokenizer's
-    own (rare number signs, control characters, text like a special token, not composed) go to the tokenizer itself.
-    """
 
-    #: The tokenizer's split, for letters and decimal digits; other numbers and separators count as odd.
-    SPLIT = re.compile(r"[^\W\d_]+|'(?:s|t|re|ve|m|ll|d)|\d|(?:[^\s\w]|_)+")
+class Encoder:
+    """Ids of texts by a tokenizer file. All ids come from the tokenizer itself; where its rules allow (separable), it is asked once for
+    each piece between ASCII white space, of which up to ``max_pieces`` are remembered, in place of each text."""
+
+    REMEMBERED = 64  # bytes; longer pieces hardly occur again
 
-    def __init__(self, path: str, max_words: int = 400_000):
+    def __init__(self, path: str, max_pieces: int = 400_000):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
         spec = json.loads(open(path, encoding="utf-8").read())
-        self.whole = Tokenizer.from_str(json.dumps(spec))
-        self.model = self.whole.model
-        self.special = tuple({x["content"][:2] for x in spec.get("added_tokens", [])})
-        self.cache: dict[str, bytes] = {}
-        self.max_words = max_words
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        self.byte_chars = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in set(plain))}
-        self.odd = {"\x1c", "\x1d", "\x1e", "\x1f"} | odd_numbers()
-
-    def usual(self, text: str) -> bool:
-        if any(x in text for x in self.special):
-            return False
-        if text.isascii():
-            return not any(x in text for x in "\x1c\x1d\x1e\x1f")
-        return self.odd.isdisjoint(text) and unicodedata.is_normalized("NFC", text)
-
-    def ids_of(self, piece: str) -> bytes:
-        out = array("I")
-        for w in self.SPLIT.findall(piece):
-            out.extend([t.id for t in self.model.tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(self.byte_chars))])
-        return out.tobytes()
+        self.tokenizer = Tokenizer.from_file(path)
+        self.by_piece = separable(spec)
+        # Where letter case is dropped, ASCII texts share their pieces in lower case, unless an added token could arise.
+        lower = any(n.get("type") == "Lowercase" for n in (spec.get("normalizer") or {}).get("normalizers", [spec.get("normalizer") or {}]))
+        self.added = tuple(x["content"].encode().lower() for x in spec.get("added_tokens", [])) if lower else (b"",)
+        self.max_pieces = max_pieces
+        self.ids: dict[bytes, bytes] = {}
+
+    def ids_of(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as 32-bit integers, little-endian as all platforms that Spark runs Python on."""
-        cache = self.cache
+        known = self.ids
         for text in texts:
-            if not self.usual(text):
-                yield array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+            if not self.by_piece:
+                yield self.ids_of([text])[0]
                 continue
-            # lower() knows a final sigma, the tokenizer doesn't
-            pieces = (text.replace("Σ", "σ") if "Σ" in text else text).lower().split()
-            if len(cache) > self.max_words:
-                cache.clear()
-            for w in set(pieces):
-                if w not in cache:
-                    cache[w] = self.ids_of(w)
-            yield b"".join(map(cache.__getitem__, pieces))
-
-
-@lru_cache(maxsize=1)
-def odd_numbers() -> set[str]:
-    """Numbers that aren't decimal digits."""
-    return {c for c in map(chr, range(0x110000)) if unicodedata.category(c) in ("No", "Nl")}
+            raw = text.encode("utf-8", "surrogatepass")
+            if raw.isascii() and not any(x in low for low in [raw.lower()] for x in self.added):
+                raw = raw.lower()
+            pieces = raw.split()
+            if len(known) > self.max_pieces:
+                known.clear()
+            new = list(set(pieces) - known.keys())
+            own = dict(zip(new, self.ids_of([x.decode("utf-8", "replace") for x in new])))
+            known.update((x, ids) for x, ids in own.items() if len(x) <= self.REMEMBERED)
+            if len(own) and max(map(len, new)) > self.REMEMBERED:
+                yield b"".join([known[x] if x in known else own[x] for x in pieces])
+            else:
+                yield b"".join(map(known.__getitem__, pieces))
 
 
 # ---------------------------------------------------------------- shards
@@ -143,7 +143,8 @@ def _schema(name: str, kind: DataType, ddl: str) -> StructType:
 def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", work: Workspace | None = None, name: str = "shards") -> DataFrame:
     """Tokenizes whole texts (null: empty), appends end_id to each and writes the shards in ascending id order; the shard table.
 
-    Null ids come first; rows with equal ids stand next to each other, ordered by text. Every row is a document.
+    Null ids come first; rows with equal ids stand next to each other, in the order of a hash of the text and then the text, and may be
+    dealt over several parts. Every row is a document.
     """
     spark = docs.sparkSession
     work = work or Workspace(spark, "tokens")
@@ -152,8 +153,8 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str =
     schema = _schema("doc_ids", ArrayType(id_type), "part int, seq int, n_docs long, n_tokens long, id_bytes int, ids binary, ef_bits int, ef_low binary, ef_high binary, ef_select binary")
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = WordEncoder(tokenizer)
-        wide = max(encoder.whole.get_vocab_size(), end_id + 1) > 1 << 16
+        encoder = Encoder(tokenizer)
+        wide = max(encoder.tokenizer.get_vocab_size(), end_id + 1) > 1 << 16
         end = np.array([end_id], "<u4").tobytes()
         part, seq = TaskContext.get().partitionId(), 0
         doc_ids: list = []
@@ -180,7 +181,8 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str =
         if ends:
             yield shard()
 
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).repartitionByRange("_id").sortWithinPartitions("_id", "_text")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_order"))
+    rows = rows.repartitionByRange("_id", "_order").sortWithinPartitions("_id", "_order", "_text").drop("_order")
     return work.stage(rows.mapInPandas(build, schema), name, **{"parquet.block.size": str(16 << 20)})
 
 
