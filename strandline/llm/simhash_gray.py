@@ -1,13 +1,15 @@
 """SimHash near-duplicates through a hierarchical index in Gray order.
 
-Distinct fingerprints are grouped by their first k bits (a node of the top level; in Gray order a node's neighbours
-differ in one bit) and each group is sorted by Gray rank, in which neighbours share long bit patterns. Nodes of leaves
-and of groups of leaves factor out the bits that all their members share, as (mask, value). Two nodes are compared only
-if the differences accumulated so far allow it: first the k bits, by an equi-join on the node number with up to
-``bits`` bits flipped, then the masked patterns of larger and of smaller nodes, then fingerprints.
-
-A comparison of two groups yields a spanning forest of its links, at most one row per fingerprint, so that thousands of
-near copies don't give all their pairs; connected components are the same.
+The 64 bits are cut into blocks, ``bits`` + 1 of them while there are few fingerprints, more when there are many. Fingerprints that
+differ in at most ``bits`` bits agree on all but ``bits`` blocks, so for one choice of the other blocks they fall into one group of the
+top level: those with equal bits in the chosen blocks. Four copies of a fingerprint are enough up to about 2 ** 28 of them, ten to 2 ** 37.
+
+Each group is sorted by Gray rank, in which neighbours share long bit patterns. Leaves, and groups of leaves above them, factor
+out the bits that all their members share, as (mask, value). Two nodes are compared only if the differences that their
+patterns accumulate are at most ``bits``: first larger nodes, then leaves, then fingerprints.
+
+A comparison yields a spanning forest of its links, at most one row per fingerprint, so that thousands of near copies don't
+give all their pairs; connected components are the same.
 """
 
 from __future__ import annotations
@@ -130,22 +132,34 @@ def compare_groups(batches: Iterator[pd.DataFrame], bits: int = BITS) -> Iterato
                 yield pd.DataFrame({"u": codes[moved], "v": codes[root[moved]]})
 
 
+def masks(n: int, bits: int, group: int) -> list[int]:
+    """The bits on which groups of about ``group`` of n fingerprints agree: one mask for each choice of all but ``bits`` blocks."""
+    k = max(0, (max(1, n) // group).bit_length())
+    blocks = next((m for m in range(bits + 1, 64) if 64 // m * (m - bits) >= k), 63)
+    size, chosen = 64 // blocks, blocks - bits
+    k = min(k, size * chosen)
+    # k bits, dealt over the chosen blocks as evenly as they go
+    widths = [k // chosen + (i < k % chosen) for i in range(chosen)]
+    return sorted({sum(((1 << w) - 1) << size * block for block, w in zip(choice, widths)) for choice in combinations(range(blocks), chosen)})
+
+
 def near_pairs(codes: DataFrame, bits: int = BITS, group: int = GROUP) -> DataFrame:
     """u, v: links that connect all codes (column fp, distinct, staged) within ``bits`` bits of each other."""
-    n = codes.count()
-    k = max(0, min(24, (max(1, n) // group).bit_length()))
-    prefix = F.shiftrightunsigned("fp", 64 - k) if k else F.lit(0).cast("long")
-    flips = [sum(1 << i for i in c) for m in range(min(bits, k) + 1) for c in combinations(range(k), m)]
-    rows = codes.select("fp", prefix.alias("node"))
-    # Groups much larger than planned are dealt into parts.
-    parts = rows.groupBy("node").count().select(F.col("node").alias("_node"), F.ceil(F.col("count") / (2 * group)).alias("_parts"))
-    dealt = rows.join(parts, F.col("node") == F.col("_node")).withColumn("part", F.pmod(F.xxhash64("fp"), "_parts"))
-    groups = dealt.groupBy("node", "part").agg(F.sort_array(F.collect_list(F.struct(gray_rank(F.col("fp")).alias("rank"), "fp")))["fp"].alias("codes"))
-    left = groups.select("node", "part", F.col("codes").alias("a"), F.explode(F.transform(F.array(*map(F.lit, flips)).cast("array<long>"), lambda x: F.col("node").bitwiseXOR(x))).alias("to")).where("to >= node")
-    right = groups.select(F.col("node").alias("to"), F.col("part").alias("to_part"), F.col("codes").alias("b"))
-    pairs = left.join(right, "to").where("to > node or to_part >= part")
-    pairs = pairs.select((F.col("to").eqNullSafe(F.col("node")) & (F.col("part") == F.col("to_part"))).alias("same"), "a", "b")
-    return pairs.mapInPandas(lambda batches: compare_groups(batches, bits), "u long, v long")
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks(codes.count(), bits, group)]
+    rows = codes.select("fp", F.explode(F.array(*map(F.lit, signed)).cast("array<long>")).alias("mask"))
+    rows = rows.withColumn("node", F.col("fp").bitwiseAND(F.col("mask")))
+    # Groups much larger than planned are dealt into parts, each of which meets the others.
+    sizes = rows.groupBy("mask", "node").count().where("count > 1")
+    sizes = sizes.select(F.col("mask").alias("_mask"), F.col("node").alias("_node"), F.ceil(F.col("count") / (2 * group)).alias("parts"))
+    dealt = rows.join(sizes, (F.col("mask") == F.col("_mask")) & (F.col("node") == F.col("_node"))).withColumn("part", F.pmod(F.xxhash64("fp"), "parts"))
+    ranked = F.sort_array(F.collect_list(F.struct(gray_rank(F.col("fp")).alias("rank"), "fp")))["fp"]
+    groups = dealt.groupBy("mask", "node", "part", "parts").agg(ranked.alias("codes"))
+    alone = groups.where("parts = 1").select(F.lit(True).alias("same"), F.col("codes").alias("a"), F.array().cast("array<long>").alias("b"))
+    split = groups.where("parts > 1")
+    left = split.select("mask", "node", "part", F.col("codes").alias("a"), F.explode(F.sequence(F.col("part"), F.col("parts") - 1)).alias("other"))
+    right = split.select("mask", "node", F.col("part").alias("other"), F.col("codes").alias("b"))
+    pairs = left.join(right, ["mask", "node", "other"]).select((F.col("part") == F.col("other")).alias("same"), "a", "b")
+    return alone.union(pairs).mapInPandas(lambda batches: compare_groups(batches, bits), "u long, v long")
 
 
 def components(edges: DataFrame, work: Workspace, name: str = "cc") -> DataFrame:
@@ -195,9 +209,12 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows without an id go if they are linked to one with an id; of the others one stays for each fingerprint.
     """
     rows = near_duplicates(docs, id_col, text_col, bits)
-    named = rows.where(F.col(id_col) == F.col("_component")).select(id_col).distinct()
-    kept = docs.join(named, id_col, "left_semi").withColumn("__n", F.row_number().over(Window.partitionBy(id_col).orderBy(text_col)))
-    alone = rows.where(F.col("_component").isNull()).select(F.col("_fp").alias("__fp")).distinct()
-    nameless = docs.where(F.col(id_col).isNull()).withColumn("__fp", fingerprints(F.col(text_col))).join(alone, "__fp", "left_semi")
-    nameless = nameless.withColumn("__n", F.row_number().over(Window.partitionBy("__fp").orderBy(text_col)))
-    return kept.select(*docs.columns, "__n").unionByName(nameless.select(*docs.columns, "__n")).where("__n = 1").select(*docs.columns)
+    named = rows.where(F.col(id_col) == F.col("_component")).select(F.col(id_col).alias("_kept")).distinct()
+    # Whatever the columns of docs are called, they travel as one.
+    whole = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+    kept = whole.join(named, F.col("_id") == F.col("_kept"), "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy("_id").orderBy("_text")))
+    alone = rows.where(F.col("_component").isNull()).select(F.col("_fp").alias("_kept")).distinct()
+    nameless = whole.where(F.col("_id").isNull()).withColumn("_fp", fingerprints(F.col("_text"))).join(alone, F.col("_fp") == F.col("_kept"), "left_semi")
+    nameless = nameless.withColumn("_n", F.row_number().over(Window.partitionBy("_fp").orderBy("_text")))
+    first = kept.select("_row", "_n").union(nameless.select("_row", "_n")).where("_n = 1")
+    return first.select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns))

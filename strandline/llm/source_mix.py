@@ -1,11 +1,10 @@
 """Mixing sources to target weights with exact token budgets.
 
-Each document gets a hash-random key. Keys are uniform, so fixed ranges of the key
-space are range partitions of even size without sampling: sizes are summed per
-(source, range), the range sums are prefix-summed, and only the range in which a
-source's budget ends is sorted to find the document at the cut. The decision for a
-source is one small row (epochs, key and id at the cut, words left for it), which
-every document compares itself with. No text and no source moves to one task.
+Each document gets a hash-random key. Keys are uniform, so fixed ranges of the key space, each cut into as many again, are range
+partitions of even size without sampling: about the cube root of the rows at each of the two levels. Sizes are summed per (source, range)
+and prefix-summed; in the range where a source's budget ends the same is done with the finer ranges, and only the rows of one of those, about
+a cube root of all again, are sorted to find the document at the cut. The decision for a source is one small row (epochs, key and id at the
+cut, words left for it), which every document compares itself with. No text and no source moves to one task.
 """
 
 from __future__ import annotations
@@ -14,32 +13,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.llm.common import WORD, Workspace
-
-ROWS_PER_RANGE = 50_000
+from strandline.operators.ranges import running
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, max_epochs: float = 3.0) -> DataFrame:
+def targets(sizes: DataFrame, work: Workspace, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, max_epochs: float = 3.0) -> DataFrame:
     """sizes (_source, _source_size) with the column _target, in words.
 
     Sources in code-point order, null last, get the weights in turn and share ``share`` of all words. A target stops
     at ``max_epochs`` times the source; what is above is shared by weight among the others until none is above.
     That ends where every target is min(cap, level * weight): sources sorted by cap / weight are filled in one pass.
     """
-    turn = F.row_number().over(Window.orderBy(F.col("_source").asc_nulls_last())) - 1
-    w = sizes.withColumn("_w", F.element_at(F.array(*map(F.lit, weights)), (turn % len(weights) + 1).cast("int")).cast("double"))
-    w = w.withColumn("_cap", F.col("_source_size") * F.lit(float(max_epochs)))
-    every = Window.partitionBy()
-    before = Window.orderBy(F.col("_cap") / F.col("_w"), "_source").rowsBetween(Window.unboundedPreceding, -1)
-    rest = F.lit(share) * F.sum("_source_size").over(every) - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))
-    level = w.withColumn("_level", rest / (F.sum("_w").over(every) - F.coalesce(F.sum("_w").over(before), F.lit(0.0))))
-    level = level.withColumn("_open", F.col("_level") * F.col("_w") < F.col("_cap"))
-    level = level.withColumn("_final", F.min(F.when(F.col("_open"), F.struct(F.col("_cap") / F.col("_w"), F.col("_source"), F.col("_level").alias("level")))).over(every)["level"])
-    target = F.when(F.col("_open"), F.col("_final") * F.col("_w")).otherwise(F.col("_cap"))
-    return level.select("_source", "_source_size", target.alias("_target"))
+    turn = running(sizes, [F.col("_source").asc_nulls_last()], [], work.stage, "turns")
+    w = F.element_at(F.array(*map(F.lit, weights)), ((F.col("_rank") - 1) % len(weights) + 1).cast("int")).cast("double")
+    turn = turn.select("_source", "_source_size", w.alias("_w"), (F.col("_source_size") * F.lit(float(max_epochs))).alias("_cap")).withColumn("_full", F.col("_cap") / F.col("_w"))
+    filled = running(turn, [F.col("_full"), F.col("_source").asc_nulls_last()], ["_cap", "_w"], work.stage, "filled")
+    every = turn.agg(F.sum("_source_size").alias("size"), F.sum("_w").alias("w")).first()
+    level = (F.lit(share * (every["size"] or 0)) - F.col("_before__cap")) / (F.lit(every["w"] or 1.0) - F.col("_before__w"))
+    # The first source that isn't filled up by then sets the level.
+    final = filled.select("_rank", "_full", level.alias("level")).where("level < _full").agg(F.min(F.struct("_rank", "level"))["level"]).first()[0]
+    target = F.col("_cap") if final is None else F.least("_cap", F.col("_w") * F.lit(final))
+    return turn.select("_source", "_source_size", target.alias("_target"))
 
 
 def keyed(docs: DataFrame, id_col: str, source_col: str, size: Column, seed: int) -> DataFrame:
@@ -49,21 +46,30 @@ def keyed(docs: DataFrame, id_col: str, source_col: str, size: Column, seed: int
     return docs.select(whole, name.alias("_id"), F.col(source_col).cast("string").alias("_source"), size.alias("_size"), F.xxhash64(F.lit(seed), name).alias("_key"))
 
 
-def cuts(rows: DataFrame, n_rows: int, **mix) -> DataFrame:
+def cut_range(ranged: DataFrame, column: str, goal: DataFrame) -> DataFrame:
+    """_source, column, _rest, _start: in which range of each source the words _rest end that follow _start; goal: _source, _rest, _start."""
+    sums = ranged.groupBy("_source", column).agg(F.sum("_size").alias("_sum")).alias("r")
+    found = sums.join(goal.alias("g"), F.col("r._source").eqNullSafe(F.col("g._source"))).select("r._source", column, "_sum", "_rest", "_start")
+    found = found.withColumn("_end", F.col("_start") + F.sum("_sum").over(Window.partitionBy("_source").orderBy(column)))
+    return found.where("_end - _sum <= _rest and _rest < _end").select("_source", column, "_rest", (F.col("_end") - F.col("_sum")).alias("_start"))
+
+
+def cuts(rows: DataFrame, n_rows: int, work: Workspace, **mix) -> DataFrame:
     """One row per source: _source, _source_size, _target, _epochs, _cut_key, _cut_id, _left, _unit. rows: _id, _source, _size, _key, staged."""
-    n = max(1, -(-n_rows // ROWS_PER_RANGE))
-    # The range of a key: its upper 31 bits, as an unsigned number, times n.
-    ranged = rows.withColumn("_range", F.shiftright(F.shiftrightunsigned(F.col("_key").bitwiseXOR(F.lit(-(1 << 63))), 33) * n, 31))
-    sums = ranged.groupBy("_source", "_range").agg(F.sum("_size").alias("_sum"))
-    goal = targets(sums.groupBy("_source").agg(F.sum("_sum").alias("_source_size")), **mix)
+    fan = max(1, round(n_rows ** (1 / 3)))
+    # The range of a key: its upper 31 bits, as an unsigned number, times the number of ranges.
+    upper = F.shiftrightunsigned(F.col("_key").bitwiseXOR(F.lit(-(1 << 63))), 33)
+    ranged = rows.withColumns({"_range": F.shiftright(upper * fan, 31), "_fine": F.shiftright(upper * (fan * fan), 31)})
+    sizes = rows.groupBy("_source").agg(F.sum("_size").alias("_source_size"))
+    goal = targets(sizes, work, **mix)
     whole = F.floor("_target").cast("long")
     goal = goal.withColumn("_epochs", F.when(F.col("_source_size") > 0, F.floor(whole / F.col("_source_size"))).otherwise(0).cast("long"))
-    goal = goal.withColumn("_rest", whole - F.col("_epochs") * F.col("_source_size"))
-    upto = Window.partitionBy("_source").orderBy("_range")
-    ranges = sums.withColumn("_end", F.sum("_sum").over(upto))
-    last = ranges.alias("r").join(goal.alias("g"), F.col("r._source").eqNullSafe(F.col("g._source")))
-    last = last.where("_end - _sum <= _rest and _rest < _end").select("r._source", "_range", "_rest", (F.col("_end") - F.col("_sum")).alias("_start"))
-    near = ranged.alias("d").join(last.alias("l"), F.col("d._source").eqNullSafe(F.col("l._source")) & (F.col("d._range") == F.col("l._range")))
+    goal = work.stage(goal.withColumn("_rest", whole - F.col("_epochs") * F.col("_source_size")), "goal")
+    last = cut_range(ranged, "_range", goal.select("_source", "_rest", F.lit(0).cast("long").alias("_start")))
+    within = ranged.alias("d").join(last.alias("l"), F.col("d._source").eqNullSafe(F.col("l._source")) & (F.col("d._range") == F.col("l._range"))).select("d.*")
+    within = work.stage(within, "within")
+    fine = cut_range(within, "_fine", last.drop("_range"))
+    near = within.alias("d").join(fine.alias("l"), F.col("d._source").eqNullSafe(F.col("l._source")) & (F.col("d._fine") == F.col("l._fine")))
     units = near.groupBy("d._source", "_key", "_id", "_rest", "_start").agg(F.sum("_size").alias("_unit"))
     ends = units.withColumn("_end", F.col("_start") + F.sum("_unit").over(Window.partitionBy("_source").orderBy("_key", "_id")))
     cut = ends.where("_end - _unit <= _rest and _rest < _end")
@@ -73,7 +79,7 @@ def cuts(rows: DataFrame, n_rows: int, **mix) -> DataFrame:
 
 def decided(small: DataFrame, rows: DataFrame, work: Workspace, **mix) -> DataFrame:
     """small (as keyed, or rows) with _source_size, _target and _taken. rows: _id, _source, _size and _key of the same documents, staged."""
-    plan = work.stage(cuts(rows, rows.count(), **mix).coalesce(1), "cuts")  # one row per source
+    plan = work.stage(cuts(rows, rows.count(), work, **mix), "cuts")  # one row per source
     out = small.alias("d").join(plan.alias("p"), F.col("d._source").eqNullSafe(F.col("p._source")))
     early = (F.col("_key") < F.col("_cut_key")) | ((F.col("_key") == F.col("_cut_key")) & (F.coalesce("_id", F.lit("")) < F.coalesce("_cut_id", F.lit(""))))
     at = (F.col("_key") == F.col("_cut_key")) & F.col("_id").eqNullSafe(F.col("_cut_id"))

@@ -18,7 +18,7 @@ from strandline.llm import credential_links, deobfuscate, lattice_lm, line_rules
 
 BPE = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
-SCHEMA = "doc_id LONG, text STRING, source STRING, n_chars LONG, held_out STRING, score STRING, _rid STRING, _size STRING"
+SCHEMA = "doc_id LONG, text STRING, source STRING, n_chars LONG, held_out STRING, score STRING, _rid STRING, _size STRING, _n STRING, _row STRING, __fp STRING, __n STRING"
 
 
 def corpus():
@@ -45,7 +45,7 @@ ROWS, BENCH = corpus()
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    return spark.createDataFrame([(d, t, None if d % 11 == 0 else f"s{d % 3}", len(t or ""), "x", "y", "z", "w") for d, t in ROWS], SCHEMA).repartition(3)
+    return spark.createDataFrame([(d, t, None if d % 11 == 0 else f"s{d % 3}", len(t or ""), "x", "y", "z", "w", "1", "2", "3", "4") for d, t in ROWS], SCHEMA).repartition(3)
 
 
 @pytest.fixture(scope="module")
@@ -133,10 +133,21 @@ def test_source_mix(docs, empty):
     assert source_mix.mixed(empty).count() == 0 and source_mix.repeat_epochs(docs).columns == docs.columns and {r._size for r in source_mix.repeat_epochs(docs).collect()} == {"w"}
 
 
-def test_source_mix_in_several_ranges(docs, monkeypatch):
-    before = [(r.doc_id, r._taken) for r in source_mix.mixed(docs).collect()]
-    monkeypatch.setattr(source_mix, "ROWS_PER_RANGE", 7)
-    same([(r.doc_id, r._taken) for r in source_mix.mixed(docs).collect()], before)
+def test_source_mix_of_many_rows(spark):
+    rows = [(i, "a " * (i % 7), f"s{i % 5 if i % 3 else 0}") for i in range(3000)]
+    got = source_mix.mixed(spark.createDataFrame(rows, "doc_id LONG, text STRING, source STRING")).collect()
+    want = ref.targets(Counter({s: sum(r._size for r in got if r.source == s) for s in {r.source for r in got}}))
+    taken = Counter()
+    for r in got:
+        taken[r.source] += r._taken
+    assert all(want[s] - 1.000001 <= taken[s] <= want[s] + 1e-6 for s in want)
+
+
+def test_a_source_for_each_row(spark):
+    rows = [(i, "a " * (i % 7 + 1), f"host{i:04}" if i else None) for i in range(400)]
+    got = source_mix.mixed(spark.createDataFrame(rows, "doc_id LONG, text STRING, source STRING").repartition(5)).collect()
+    want = ref.targets(Counter({r.source: r._size for r in got}))
+    assert all(abs(r._target - want[r.source]) < 1e-6 * want[r.source] and abs(r._taken - r._target) <= 1 for r in got)
 
 
 def test_capped_source(spark):
