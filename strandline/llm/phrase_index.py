@@ -1,23 +1,25 @@
-"""Benchmark decontamination with a positional inverted index.
+"""Benchmark decontamination with a distributed positional inverted index.
 
-One pass over the texts stores, per document, the runs of consecutive words that are all terms of the test
-items; a word outside such a run can't be in a match. The runs are the forward half of the index. Its
-inverted half are the postings (term, document, run, position) of the anchors: each window of a test item is
-looked up by its term with the fewest postings, so that frequent terms' lists are never read. A posting minus the
-anchor's offset gives the place where the item would start; the offset-adjusted lists of an item's anchors
-meet in one candidate per (document, run, item, place), and each candidate's words are compared.
+One pass over the texts inverts every batch of documents into a segment of the index: a row per (segment, term) holds the term's
+postings, each the document's place in the segment and the word's place in the document, in ascending order. All words are indexed, so
+an index serves any benchmark. A frequent term's postings are as many rows as there are segments, and no key gathers them.
 
-With ``slop`` above 0 runs may hold up to slop foreign words between terms, and windows whose words all lie within
-slop places of where they belong are returned as proximity matches.
+Each window of a test item (or the whole of a shorter item) is looked up by its rarest terms in three steps, each a join on the
+index's rows, of which only those of the wanted terms are read in full: the postings of the rarest term, less its offset, give candidate places;
+those at which the two next rarest terms' offset-adjusted postings are, too, stay; and of these the postings of all the window's other
+terms decide. So exact matches are the intersection of all the offset-adjusted lists.
+
+With ``slop`` above 0 a word may also stand up to slop places from where the rarest term puts it; items that match so only are
+returned as proximity matches.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.llm.common import BYTES_LOWER, LOWER, UPPER, Workspace, bounded_batches
@@ -25,151 +27,165 @@ from strandline.llm.common import BYTES_LOWER, LOWER, UPPER, Workspace, bounded_
 #: Every byte that separates words, as a space; A-Z as a-z.
 SEPARATED = bytes(32 if b < 0x30 or 0x3A <= b <= 0x60 or 0x7B <= b <= 0x7F else b for b in BYTES_LOWER)
 WINDOW = 10
-#: Most distinct test terms that are sent to every task (about 100 MB); beyond it every word counts as a term.
-MAX_TERMS = 1_000_000
-
-
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").translate(SEPARATED).split()
+RAREST = 3  # terms of a window whose lists are intersected before the others'
 
 
 def item_words(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """item_id (as text), words: the items that have words."""
+    """item (a number, to be staged), item_id (as text), words: the items that have words."""
     # The class is that of SEPARATED: what is left between separators.
     words = F.regexp_extract_all(F.translate(F.col(text_col), UPPER, LOWER), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
-    return items.select(F.col(id_col).cast("string").alias("item_id"), words.alias("words")).where(F.size("words") > 0).dropDuplicates()
-
-
-def runs_of(words: list[bytes], terms: set[bytes] | None, least: int, slop: int) -> Iterator[tuple[int, int]]:
-    """(start, end) of the maximal runs with at least ``least`` terms and gaps of at most slop words."""
-    if terms is None:
-        if len(words) >= least:
-            yield 0, len(words)
-        return
-    first, last, n = -1, -slop - 2, 0
-    for i, known in enumerate(map(terms.__contains__, words)):
-        if known:
-            if i - last > slop + 1:
-                if n >= least:
-                    yield first, last + 1
-                first, n = i, 0
-            last = i
-            n += 1
-    if n >= least:
-        yield first, last + 1
-
-
-def index(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, window: int, slop: int) -> DataFrame:
-    """_rid, _id, n_words and runs of every row of docs. items: as item_words gives them."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    long_terms = items.where(F.size("words") >= window).select(F.explode("words").alias("term")).distinct()
-    short = items.where(F.size("words") < window)
-    short_terms = short.select(F.explode("words").alias("term")).distinct()
-    shortest = short.agg(F.min(F.size("words"))).first()[0] or window
-    if long_terms.count() + short_terms.count() > MAX_TERMS:
-        sets = [(None, min(window, shortest))]
-    else:
-        sets = [({x[0].encode() for x in t.collect()}, least) for t, least in ((long_terms, window), (short_terms, shortest))]
-    shared = spark.sparkContext.broadcast([(t, n) for t, n in sets if t is None or t])
-
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            counts, found = [], []
-            for text in batch["_text"]:
-                words = words_of(text)
-                counts.append(len(words))
-                runs = {r for terms, least in shared.value for r in runs_of(words, terms, least, slop)}
-                found.append([{"start": a, "terms": [w.decode("utf-8", "replace") for w in words[a:b]]} for a, b in sorted(runs)])
-            yield pd.DataFrame({"_rid": batch["_rid"], "n_words": counts, "runs": found, "_id": batch["_id"]})
+    return items.select(F.col(id_col).cast("string").alias("item_id"), words.alias("words")).where(F.size("words") > 0).dropDuplicates().withColumn("item", F.monotonically_increasing_id())
 
-    rows = docs.select(F.monotonically_increasing_id().alias("_rid"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    schema = f"_rid long, n_words long, runs array<struct<start:int,terms:array<string>>>, _id {docs.schema[id_col].dataType.simpleString()}"
-    return rows.mapInPandas(build, schema)
 
+# ---------------------------------------------------------------- the index
 
-def anchors(runs: DataFrame, items: DataFrame, window: int) -> DataFrame:
-    """term, item_id, words, offset: for each window of each item its term with the fewest postings (ties: the first)."""
-    at = items.select("item_id", "words", F.posexplode("words").alias("offset", "term"))
-    counts = runs.select(F.explode("terms").alias("term")).join(at.select("term").distinct(), "term", "left_semi").groupBy("term").count()
-    ranked = at.join(counts.withColumnRenamed("term", "t"), F.col("term") == F.col("t"), "left").select("item_id", "words", "offset", "term", F.coalesce("count", F.lit(0)).alias("n"))
-    by_item = ranked.groupBy("item_id", "words").agg(F.array_sort(F.collect_list(F.struct("offset", "term", "n"))).alias("list"))
-    starts = F.sequence(F.lit(0), F.greatest(F.size("list") - window, F.lit(0)))
-    rarest = by_item.select("item_id", "words", "list", F.explode(starts).alias("start"))
-    # The rarest of a window; a window with a term that no run holds can't match.
-    own = F.transform(F.slice("list", F.col("start") + 1, F.lit(window)), lambda x: F.struct(x["n"].alias("n"), x["offset"].alias("offset"), x["term"].alias("term")))
-    best = rarest.select("item_id", "words", F.array_min(own).alias("best")).where("best.n > 0")
-    return best.select("best.term", "item_id", "words", "best.offset").distinct()
-
-
-def compare(terms: list[str], words: list[str], place: int, window: int, slop: int) -> Iterator[tuple[str, int, int]]:
-    """('exact' or 'near', start, end) in the run, for the item's windows when its first word is put at place."""
-    n = min(window, len(words))
-    equal = 0
-    for i, w in enumerate(words):
-        equal = equal + 1 if 0 <= place + i < len(terms) and terms[place + i] == w else 0
-        first = i - n + 1
-        if first < 0:
-            continue
-        if equal >= n:
-            yield "exact", place + first, place + i + 1
-        elif slop:
-            a, b = max(0, place + first - slop), min(len(terms), place + i + 1 + slop)
-            if not Counter(words[first : i + 1]) - Counter(terms[a:b]):
-                yield "near", a, b
-
-
-def matches(indexed: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = 0) -> DataFrame:
-    """_rid, item_id, kind, start, end: where windows of the items occur; overlapping ones of a kind are joined."""
-    runs = indexed.select("_rid", F.explode("runs").alias("run")).select("_rid", F.col("run.start").alias("run"), F.col("run.terms").alias("terms"))
-    lookup = anchors(runs, items, window)
-    postings = runs.select("_rid", "run", F.posexplode("terms").alias("pos", "term"))
-    candidates = postings.join(lookup, "term").select("_rid", "run", "item_id", "words", (F.col("pos") - F.col("offset")).alias("place")).distinct()
-
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def inverted(texts: list[str | None]) -> tuple[list[bytes], np.ndarray, np.ndarray, list[int]]:
+    """terms, the ends of their postings, the postings (place of the text << 32 | place of the word) by term, and the words of each text."""
+    ids: dict[bytes, int] = {}
+    terms, sizes = [], []
+    for text in texts:
+        words = (text or "").encode("utf-8", "surrogatepass").translate(SEPARATED).split()
+        sizes.append(len(words))
+        terms.append(np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int32, len(words)))
+    flat = np.concatenate([*terms, np.zeros(0, np.int32)])
+    counts = np.array(sizes, np.int64)
+    first = np.repeat(np.cumsum(counts) - counts, counts)
+    at = np.repeat(np.arange(len(texts), dtype=np.int64) << 32, counts) | (np.arange(len(flat)) - first)
+    return list(ids), np.cumsum(np.bincount(flat, minlength=len(ids))), at[np.argsort(flat, kind="stable")], sizes
+
+
+def index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The index of all rows of docs, to be staged: a row per segment and term (segment, term, n, postings), and one per segment without a
+    term that names its documents (ids, sizes: words of each)."""
+    bounded_batches(docs.sparkSession)
+    rows = docs.select(F.monotonically_increasing_id().alias("_rid"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for x in batch.itertuples(index=False):
-                spans: dict[str, list[list[int]]] = {}
-                for kind, a, b in compare(list(x.terms), list(x.words), x.place, window, slop):
-                    own = spans.setdefault(kind, [])
-                    if own and a <= own[-1][1]:
-                        own[-1][1] = max(b, own[-1][1])
-                    else:
-                        own.append([a, b])
-                out += [(x.rid, x.item_id, kind, x.run + a, x.run + b) for kind, own in spans.items() for a, b in own]
-            yield pd.DataFrame(out, columns=["_rid", "item_id", "kind", "start", "end"])
-
-    found = candidates.join(runs, ["_rid", "run"]).select(F.col("_rid").alias("rid"), "run", "item_id", "words", "place", "terms")
-    return found.mapInPandas(check, "_rid long, item_id string, kind string, start int, end int")
-
-
-def covered(spans: str) -> F.Column:
-    """Places that an array of (start, end) covers, each once."""
-    step = lambda acc, x: F.struct(
-        (acc["n"] + F.greatest(x["end"] - F.greatest(x["start"], acc["upto"]), F.lit(0))).alias("n"), F.greatest(acc["upto"], x["end"]).alias("upto")
-    )
-    return F.aggregate(F.array_sort(F.col(spans)), F.struct(F.lit(0).alias("n"), F.lit(0).alias("upto")), step, lambda acc: acc["n"].cast("long"))
+            if not batch.num_rows:
+                continue
+            terms, ends, postings, sizes = inverted(batch["_text"].to_pylist())
+            n = len(terms)
+            none = pa.array([None] * n, pa.int32())
+            offsets = pa.array(np.concatenate([[0], ends, ends[-1:]]) if n else np.zeros(2, np.int64), pa.int32())
+            own = pa.array([*[0] * (n + 1), len(sizes)], pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(n + 1, batch["_rid"][0].as_py())),  # of the segment's first row: no other has it
+                    pa.concat_arrays([pa.array(terms, pa.binary()).cast(pa.string()), pa.array([None], pa.string())]),
+                    pa.array(np.diff(offsets.to_numpy()), pa.int64()),
+                    pa.ListArray.from_arrays(offsets, pa.array(postings)),
+                    pa.ListArray.from_arrays(own, batch["_id"]),
+                    pa.ListArray.from_arrays(own, pa.array(sizes, pa.int64())),
+                ],
+                ["segment", "term", "n", "postings", "ids", "sizes"],
+            )
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return rows.mapInArrow(build, f"segment long, term string, n long, postings array<long>, ids array<{kind}>, sizes array<long>")
+
+
+def indexed_documents(indexed: DataFrame) -> DataFrame:
+    """segment, doc, _id, n_words: every row that was indexed."""
+    rows = indexed.where("term IS NULL").select("segment", F.posexplode(F.arrays_zip("ids", "sizes")).alias("doc", "x"))
+    return rows.select("segment", F.col("doc").cast("long").alias("doc"), F.col("x.ids").alias("_id"), F.col("x.sizes").alias("n_words"))
+
+
+# ---------------------------------------------------------------- the search
+
+
+def windows_of(items: DataFrame, indexed: DataFrame, window: int) -> DataFrame:
+    """item, words, start, n (words of the window) and rarest, the offsets in the item of its RAREST rarest terms (ties: the first).
+
+    A window with a term that isn't indexed can't match and isn't returned.
+    """
+    at = items.select("item", "words", F.posexplode("words").alias("offset", "term"))
+    counts = indexed.join(at.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("df"))
+    counts = counts.withColumnRenamed("term", "_term")
+    ranked = at.join(counts, F.col("term") == F.col("_term"), "left").select("item", "words", F.struct(F.coalesce("df", F.lit(0)).alias("df"), "offset").alias("x"), "offset")
+    by_item = ranked.groupBy("item", "words").agg(F.array_sort(F.collect_list(F.struct("offset", "x")))["x"].alias("list"))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("list") - window, F.lit(0)))
+    rows = by_item.select("item", "words", "list", F.explode(starts).alias("start"))
+    own = F.array_sort(F.slice("list", F.col("start") + 1, F.lit(window)))
+    rows = rows.withColumn("own", own).where(F.col("own")[0]["df"] > 0)
+    return rows.select("item", "words", "start", F.size("own").alias("n"), F.slice("own", 1, RAREST)["offset"].alias("rarest"))
+
+
+def present(indexed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of wanted (segment, term, posting), distinct, that are in the index."""
+    asked = wanted.groupBy(F.col("segment").alias("_segment"), F.col("term").alias("_term")).agg(F.collect_set("posting").alias("asked"))
+    rows = indexed.join(asked, (F.col("segment") == F.col("_segment")) & (F.col("term") == F.col("_term")))
+    return rows.select("segment", "term", F.explode(F.array_intersect("postings", "asked")).alias("posting"))
+
+
+def standing(indexed: DataFrame, candidates: DataFrame, offsets: Column, slop: int) -> DataFrame:
+    """segment, doc, item, place, offset, near: the offsets (an array column of candidates, with words) whose terms stand where
+    they belong when the item's first word is put at place, or (near) up to slop places beside."""
+    rows = candidates.select("segment", "doc", "item", "place", "words", F.explode(offsets).alias("offset")).distinct()
+    shifts = F.array(*(F.lit(i) for i in range(-slop, slop + 1)))
+    rows = rows.select("segment", "doc", "item", "place", "offset", F.element_at("words", F.col("offset") + 1).alias("term"), F.explode(shifts).alias("shift"))
+    rows = rows.withColumn("at", F.col("place") + F.col("offset") + F.col("shift")).where("at >= 0")
+    rows = rows.withColumn("posting", F.shiftleft("doc", 32).bitwiseOR(F.col("at")))
+    found = present(indexed, rows.select("segment", "term", "posting").distinct())
+    rows = rows.join(found, ["segment", "term", "posting"], "left_semi")
+    return rows.groupBy("segment", "doc", "item", "place", "offset").agg((F.min(F.abs("shift")) > 0).alias("near"))
+
+
+def matches(indexed: DataFrame, items: DataFrame, work: Workspace, window: int = WINDOW, slop: int = 0) -> DataFrame:
+    """segment, doc, item, kind ('exact' or 'near'), start, end: where windows of the items (as item_words gives them) occur. indexed: staged."""
+    found = work.stage(windows_of(items, indexed, window), "windows")
+    key = ["segment", "doc", "item", "place"]
+    first = found.select("item", "words", "rarest", F.col("rarest")[0].alias("offset")).distinct()
+    first = first.withColumn("_term", F.element_at("words", F.col("offset") + 1))
+    rows = indexed.join(first, F.col("term") == F.col("_term")).select("segment", "item", "words", "rarest", "offset", F.explode("postings").alias("posting"))
+    doc, at = F.shiftrightunsigned("posting", 32), F.col("posting").bitwiseAND(F.lit((1 << 32) - 1))
+    candidates = work.stage(rows.select("segment", doc.alias("doc"), "item", "words", "rarest", (at - F.col("offset")).alias("place")).distinct(), "candidates")
+    # The next rarest terms of the windows.
+    others = standing(indexed, candidates, F.slice("rarest", 2, RAREST), slop).groupBy(*key).agg(F.collect_set("offset").alias("have"))
+    joined = candidates.join(others, key, "left").withColumn("have", F.coalesce("have", F.array().cast("array<int>")))
+    joined = work.stage(joined.where(F.size(F.array_except(F.slice("rarest", 2, RAREST), "have")) == 0).drop("have"), "joined")
+    # All terms of the windows that are left.
+    mine = found.select("item", "rarest", "start", "n")
+    spans = joined.join(mine, ["item", "rarest"])
+    need = standing(indexed, spans, F.expr("sequence(start, start + n - 1)"), slop)
+    have = need.groupBy(*key).agg(F.collect_list(F.struct("offset", "near")).alias("have"))
+    joined = spans.select(*key, "start", "n").distinct().join(have, key)
+    within = F.filter("have", lambda x: x["offset"].between(F.col("start"), F.col("start") + F.col("n") - 1))
+    joined = joined.withColumn("own", within).where(F.size("own") == F.col("n"))
+    kind = F.when(F.exists("own", lambda x: x["near"]), F.lit("near")).otherwise(F.lit("exact"))
+    begin = F.col("place") + F.col("start")
+    return joined.select("segment", "doc", "item", kind.alias("kind"), begin.alias("start"), (begin + F.col("n")).alias("end"))
+
+
+def covered(spans: DataFrame) -> DataFrame:
+    """segment, doc, n_hit: the places that the spans (segment, doc, start, end) cover, each once."""
+    before = Window.partitionBy("segment", "doc").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    rows = spans.withColumn("upto", F.coalesce(F.max("end").over(before), F.lit(0).cast("long")))
+    return rows.groupBy("segment", "doc").agg(F.sum(F.greatest(F.col("end") - F.greatest("start", "upto"), F.lit(0).cast("long"))).alias("n_hit"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, slop: int = 0) -> DataFrame:
-    """A row per row of docs: its id, n_words, n_hit (words inside exact matches), items (ids as text, sorted) and near_items.
+    """A row per row of docs: its id, n_words, n_hit (words inside exact matches), items (ids as text, sorted) and near_items, those that match
+    with slop only.
 
     Null or empty texts have no words and no hits; rows that repeat are counted alike and apart. An item without words is
     no item; items that repeat are one. An empty items table leaves every document clean.
     """
     work = Workspace(docs.sparkSession, "phrases")
     wanted = work.stage(item_words(items, item_id_col, item_text_col), "items")
-    indexed = work.stage(index(docs, wanted, id_col, text_col, window, slop), "index")
-    hits = matches(indexed, wanted, window, slop).groupBy("_rid").agg(
-        F.collect_set(F.when(F.col("kind") == "exact", F.struct("start", "end"))).alias("spans"),
-        F.array_sort(F.collect_set(F.when(F.col("kind") == "exact", F.col("item_id")))).alias("items"),
-        F.array_sort(F.collect_set(F.when(F.col("kind") == "near", F.col("item_id")))).alias("near_items"),
+    indexed = work.stage(index(docs, id_col, text_col), "index")
+    found = work.stage(matches(indexed.where("term IS NOT NULL"), wanted, work, window, slop), "matches")
+    exact = found.where("kind = 'exact'")
+    named = found.select("segment", "doc", "item", "kind").distinct().join(wanted.select("item", "item_id"), "item")
+    hit = covered(exact.select("segment", "doc", "start", "end").distinct())
+    ids = named.groupBy("segment", "doc").agg(
+        F.array_sort(F.collect_set(F.when(F.col("kind") == "exact", F.col("item_id")))).alias("items"), F.array_sort(F.collect_set(F.when(F.col("kind") == "near", F.col("item_id")))).alias("near_items")
     )
-    hits = hits.select(F.col("_rid").alias("_hit"), covered("spans").alias("n_hit"), "items", "near_items")
     none = F.array().cast("array<string>")
-    out = indexed.select("_rid", "_id", "n_words").join(hits, F.col("_rid") == F.col("_hit"), "left")
-    return out.select(F.col("_id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items"), F.coalesce("near_items", none).alias("near_items"))
+    out = indexed_documents(indexed).join(hit, ["segment", "doc"], "left").join(ids, ["segment", "doc"], "left")
+    near = F.array_except(F.coalesce("near_items", none), F.coalesce("items", none))
+    return out.select(F.col("_id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items"), near.alias("near_items"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kwargs) -> DataFrame:

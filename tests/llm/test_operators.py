@@ -84,13 +84,22 @@ def test_contamination(docs, spark, empty):
     assert {r.doc_id for r in phrase_index.drop_contaminated(docs, items).collect()} == {d for d, _ in ROWS} - hit
 
 
-def test_contamination_without_a_list_of_terms(docs, spark, monkeypatch):
-    monkeypatch.setattr(phrase_index, "MAX_TERMS", 0)
+def test_contamination_in_small_segments(docs, spark, monkeypatch):
+    monkeypatch.setattr(phrase_index, "bounded_batches", lambda spark: spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7"))
     items = spark.createDataFrame(BENCH, "item_id LONG, text STRING")
     got = phrase_index.contamination(docs, items).collect()
     same([(r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in got], [(d, n, h, tuple(i)) for d, n, h, i in ref.contamination(ROWS, BENCH)])
 
 
+def test_contamination_of_texts_of_few_words(spark):
+    pick = random.Random(4)
+    texts = [(i, " ".join(pick.choices("ab", k=pick.randint(0, 60)))) for i in range(60)]
+    items = [(i, " ".join(pick.choices("ab", k=n))) for i, n in enumerate((13, 10, 3, 12, 1, 16))]
+    items += [(i, " ".join(pick.choices("ab", k=n))) for i, n in enumerate((11, 2))]  # ids that occur twice
+    got = phrase_index.contamination(spark.createDataFrame(texts, "doc_id LONG, text STRING"), spark.createDataFrame(items, "item_id LONG, text STRING")).collect()
+    same([(r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in got], [(d, n, h, tuple(i)) for d, n, h, i in ref.contamination(texts, items)])
+
+
 def test_proximity(spark):
     words = [f"w{i}" for i in range(12)]
     swapped = words[:4] + ["zz"] + words[4:]
