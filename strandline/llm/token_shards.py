@@ -15,6 +15,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -74,63 +75,128 @@ def ef_decode(n: int, ef_bits: int, ef_low: bytes, ef_high: bytes) -> np.ndarray
 
 def separable(spec: dict) -> bool:
     """Whether a tokenizer file gives a text the ids of its pieces between ASCII white space, one after the other: it never looks
-    across white space (canonical composition and letter case don't), drops it, and no added token holds or eats any."""
+    across white space (canonical composition and letter case don't), drops it, and no added token holds or eats any. Such a split
+    also parts an ASCII letter or digit from the marks after it; no added token may end with one of those."""
     parts = lambda key, inner: (spec.get(key) or {}).get(inner) or [spec.get(key) or {}]
     normal = all(
         n.get("type") in ("NFC", "Lowercase") or (n.get("type") == "Replace" and n.get("pattern") == {"Regex": r"\s+"} and n.get("content") == " ") for n in parts("normalizer", "normalizers")
     )
     first, *rest = parts("pre_tokenizer", "pretokenizers")
-    # Of the split, alternatives are single classes without white space, or texts without it.
+    # Alternatives of the split: letters, numbers, what is neither, or a mark with letters.
     wanted = re.split(r"\|(?![^\[]*\])", first.get("pattern", {}).get("Regex", " "))
-    solid = all(re.fullmatch(r"'[a-z]+|\[(?:\\p\{[A-Z][a-z]?\})+\]\+?|\[\^\\s(?:\\p\{[A-Z]\})*\]\+?", x) for x in wanted)
+    solid = all(re.fullmatch(r"'[a-z]+|\[\\p\{[LN]\}\]\+?|\[\^\\s\\p\{L\}\\p\{N\}\]\+?", x) for x in wanted)
     split = first.get("type") == "Split" and first.get("behavior") == "Removed" and bool(first.get("invert")) and solid
     within = all(r.get("type") == "ByteLevel" and not r.get("add_prefix_space") and not r.get("use_regex", True) for r in rest)
-    added = all(not x.get("lstrip") and not x.get("rstrip") and not x.get("single_word") and not re.search(r"\s", x["content"]) for x in spec.get("added_tokens", []))
+    added = all(not x.get("lstrip") and not x.get("rstrip") and not x.get("single_word") and not re.search(r"\s|[.,;:!?#$%&*]$", x["content"]) for x in spec.get("added_tokens", []))
     return normal and split and within and added and spec.get("truncation") is None
 
 
 class Encoder:
     """Ids of texts by a tokenizer file. All ids come from the tokenizer itself; where its rules allow (separable), it is asked once for
-    each piece between ASCII white space, of which up to ``max_pieces`` are remembered, in place of each text."""
+    each piece between ASCII white space, in place of each text. Of those seen lately, up to twice ``max_pieces`` are remembered."""
 
+    #: Small letters of Latin-1. Of a text of them alone the tokenizer makes one word, letter by letter: plain_letters() makes sure of it.
+    LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, [*range(0xDF, 0xF7), *range(0xF8, 0x100)]))
     REMEMBERED = 64  # bytes; longer pieces hardly occur again
+    MARKS = b".,;:!?#$%&*"
+    ENDS = frozenset(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
-    def __init__(self, path: str, max_pieces: int = 400_000):
+    def __init__(self, path: str, max_pieces: int = 300_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
         spec = json.loads(open(path, encoding="utf-8").read())
         self.tokenizer = Tokenizer.from_file(path)
         self.by_piece = separable(spec)
-        # Where letter case is dropped, ASCII texts share their pieces in lower case, unless an added token could arise.
+        # Where letter case is dropped, pieces are shared in lower case (of ASCII), unless an added token could arise or a letter stands
+        # before a combining mark of U+0300 to U+037F, with which it could compose in one case only.
         lower = any(n.get("type") == "Lowercase" for n in (spec.get("normalizer") or {}).get("normalizers", [spec.get("normalizer") or {}]))
         self.added = tuple(x["content"].encode().lower() for x in spec.get("added_tokens", [])) if lower else (b"",)
+        # A control character that stands between pieces has an id that no other text has.
+        mark = self.ids_of(["\x01"])[0]
+        self.mark = mark if self.by_piece and len(mark) == 4 and self.ids_of(["\x01 \x01"])[0] == 2 * mark else b""
+        self.plain = self.plain_letters() if self.by_piece else {}
+        self.is_plain = re.compile(f"[{''.join(map(chr, self.plain))}]+" if self.plain else "(?!)").fullmatch
+        self.model = self.tokenizer.model
         self.max_pieces = max_pieces
         self.ids: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
 
     def ids_of(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def plain_letters(self) -> dict[int, str]:
+        """What the tokenizer's model sees for each of LETTERS. Empty unless its normaliser leaves every pair of them as it is and its
+        splitter leaves it whole, so that words of them can be handed to the model at once."""
+        t = self.tokenizer
+        seen = {c: t.pre_tokenizer.pre_tokenize_str(c) for c in self.LETTERS}
+        if any(len(x) != 1 for x in seen.values()):
+            return {}
+        for a in self.LETTERS:
+            for b in self.LETTERS:
+                whole = t.pre_tokenizer.pre_tokenize_str(a + b)
+                if (t.normalizer and t.normalizer.normalize_str(a + b) != a + b) or [x for x, _ in whole] != [seen[a][0][0] + seen[b][0][0]]:
+                    return {}
+        return {ord(c): x[0][0] for c, x in seen.items()}
+
+    def ids_of_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece; those of plain letters by the tokenizer's model, the others by the tokenizer."""
+        out: list[bytes | None] = [None] * len(pieces)
+        rest = []
+        for i, piece in enumerate(pieces):
+            if self.is_plain(word := piece.decode("utf-8", "replace")):
+                out[i] = array("I", [t.id for t in self.model.tokenize(word if piece.isascii() else word.translate(self.plain))]).tobytes()
+            else:
+                rest.append(i)
+        for i, ids in zip(rest, self.ids_of_texts([pieces[i] for i in rest])):
+            out[i] = ids
+        return out
+
+    def ids_of_texts(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece; as one text of all, which is quicker, if none holds the mark."""
+        if not self.mark or len(pieces) < 2 or any(b"\x01" in x for x in pieces):
+            return self.ids_of([x.decode("utf-8", "replace") for x in pieces])
+        ids = np.array(self.tokenizer.encode_batch_fast([b" \x01 ".join(pieces).decode("utf-8", "replace")], add_special_tokens=False)[0].ids, "<u4")
+        ends = 4 * np.flatnonzero(ids == int.from_bytes(self.mark, "little"))
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *(ends + 4).tolist()], [*ends.tolist(), len(raw)])]
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as 32-bit integers, little-endian as all platforms that Spark runs Python on."""
-        known = self.ids
         for text in texts:
             if not self.by_piece:
                 yield self.ids_of([text])[0]
                 continue
             raw = text.encode("utf-8", "surrogatepass")
-            if raw.isascii() and not any(x in low for low in [raw.lower()] for x in self.added):
-                raw = raw.lower()
+            low = raw.lower()
+            if b"\xcc" not in raw and b"\xcd" not in raw and not any(x in low for x in self.added):
+                raw = low
             pieces = raw.split()
-            if len(known) > self.max_pieces:
-                known.clear()
-            new = list(set(pieces) - known.keys())
-            own = dict(zip(new, self.ids_of([x.decode("utf-8", "replace") for x in new])))
-            known.update((x, ids) for x, ids in own.items() if len(x) <= self.REMEMBERED)
-            if len(own) and max(map(len, new)) > self.REMEMBERED:
-                yield b"".join([known[x] if x in known else own[x] for x in pieces])
-            else:
-                yield b"".join(map(known.__getitem__, pieces))
+            if len(self.ids) > self.max_pieces:
+                self.before, self.ids = self.ids, {}
+            known, before = self.ids, self.before
+            found = list(map(known.get, pieces))
+            gaps = [i for i, x in enumerate(found) if x is None] if None in found else []
+            missing = {pieces[i] for i in gaps}
+            own = {x: before[x] for x in missing if x in before}
+            new = [x for x in missing if x not in own]
+            # What ends in marks after a letter or digit, as the word and its marks.
+            cut = {x: core for x in new if (core := x.rstrip(self.MARKS)) != x and core and core[-1] in self.ENDS}
+            own.update((c, before[c]) for c in cut.values() if c not in known and c in before)
+            asked = {c for x in new for c in ((cut[x], x[len(cut[x]) :]) if x in cut else (x,)) if c not in known and c not in own}
+            own.update(zip(asked, self.ids_of_pieces(list(asked))))
+            own.update((x, b"".join([own[y] if y in own else known[y] for y in (c, x[len(c) :])])) for x, c in cut.items())
+            if own:
+                for i in gaps:
+                    found[i] = own[pieces[i]]
+                known.update(own if max(map(len, own)) <= self.REMEMBERED else {x: ids for x, ids in own.items() if len(x) <= self.REMEMBERED})
+            yield b"".join(found)
+
+
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """One for all tasks of a Python worker, which share what it remembers."""
+    return Encoder(path)
 
 
 # ---------------------------------------------------------------- shards
@@ -153,7 +219,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str =
     schema = _schema("doc_ids", ArrayType(id_type), "part int, seq int, n_docs long, n_tokens long, id_bytes int, ids binary, ef_bits int, ef_low binary, ef_high binary, ef_select binary")
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         wide = max(encoder.tokenizer.get_vocab_size(), end_id + 1) > 1 << 16
         end = np.array([end_id], "<u4").tobytes()
         part, seq = TaskContext.get().partitionId(), 0
