@@ -1,8 +1,8 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
 One pass over the texts inverts every batch of documents into a segment of the index: a row per (segment, term) holds the term's
-postings, each the document's place in the segment and the word's place in the document, in ascending order. All words are indexed, so
-an index serves any benchmark. A frequent term's postings are as many rows as there are segments, and no key gathers them.
+postings, the places of its occurrences in the words of all the segment's documents, in ascending order. All words are indexed, so an
+index serves any benchmark. A frequent term's postings are as many rows as there are segments, and no key gathers them.
 
 Each window of a test item (or the whole of a shorter item) is looked up by its rarest terms in three steps, each a join on the
 index's rows, of which only those of the wanted terms are read in full: the postings of the rarest term, less its offset, give candidate places;
@@ -16,6 +16,7 @@ returned as proximity matches.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,24 +41,27 @@ def item_words(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
 # ---------------------------------------------------------------- the index
 
 
-def inverted(texts: list[str | None]) -> tuple[list[bytes], np.ndarray, np.ndarray, list[int]]:
-    """terms, the ends of their postings, the postings (place of the text << 32 | place of the word) by term, and the words of each text."""
-    ids: dict[bytes, int] = {}
-    terms, sizes = [], []
-    for text in texts:
-        words = (text or "").encode("utf-8", "surrogatepass").translate(SEPARATED).split()
-        sizes.append(len(words))
-        terms.append(np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int32, len(words)))
-    flat = np.concatenate([*terms, np.zeros(0, np.int32)])
-    counts = np.array(sizes, np.int64)
-    first = np.repeat(np.cumsum(counts) - counts, counts)
-    at = np.repeat(np.arange(len(texts), dtype=np.int64) << 32, counts) | (np.arange(len(flat)) - first)
-    return list(ids), np.cumsum(np.bincount(flat, minlength=len(ids))), at[np.argsort(flat, kind="stable")], sizes
+class Numbers(dict):
+    """Numbers of terms, in the order in which they are first asked for."""
+
+    def __missing__(self, term: bytes) -> int:
+        n = self[term] = len(self)
+        return n
+
+
+def inverted(texts: list[str | None]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """terms, the ends of their postings, the postings by term (places in the words of all texts), and the number of words of each text."""
+    words = [(text or "").encode("utf-8", "surrogatepass").translate(SEPARATED).split() for text in texts]
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    numbers = Numbers()
+    flat = np.fromiter(map(numbers.__getitem__, chain.from_iterable(words)), np.int64, int(sizes.sum()))
+    by_term = np.sort(flat << 32 | np.arange(len(flat)))
+    return list(numbers), np.cumsum(np.bincount(flat, minlength=len(numbers))), (by_term & 0xFFFFFFFF).astype(np.int32), sizes
 
 
 def index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The index of all rows of docs, to be staged: a row per segment and term (segment, term, n, postings), and one per segment without a
-    term that names its documents (ids, sizes: words of each)."""
+    term that names its documents (ids, sizes: words of each). A segment holds one batch of rows, whose texts have fewer than 2 ** 31 words."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.monotonically_increasing_id().alias("_rid"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
 
@@ -67,42 +71,41 @@ def index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 continue
             terms, ends, postings, sizes = inverted(batch["_text"].to_pylist())
             n = len(terms)
-            none = pa.array([None] * n, pa.int32())
-            offsets = pa.array(np.concatenate([[0], ends, ends[-1:]]) if n else np.zeros(2, np.int64), pa.int32())
+            offsets = np.concatenate([[0], ends, [len(postings)]]).astype(np.int32)
             own = pa.array([*[0] * (n + 1), len(sizes)], pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.full(n + 1, batch["_rid"][0].as_py())),  # of the segment's first row: no other has it
                     pa.concat_arrays([pa.array(terms, pa.binary()).cast(pa.string()), pa.array([None], pa.string())]),
-                    pa.array(np.diff(offsets.to_numpy()), pa.int64()),
-                    pa.ListArray.from_arrays(offsets, pa.array(postings)),
+                    pa.array(np.diff(offsets)),
+                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(postings)),
                     pa.ListArray.from_arrays(own, batch["_id"]),
-                    pa.ListArray.from_arrays(own, pa.array(sizes, pa.int64())),
+                    pa.ListArray.from_arrays(own, pa.array(sizes)),
                 ],
                 ["segment", "term", "n", "postings", "ids", "sizes"],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(build, f"segment long, term string, n long, postings array<long>, ids array<{kind}>, sizes array<long>")
+    return rows.mapInArrow(build, f"segment long, term string, n int, postings array<int>, ids array<{kind}>, sizes array<long>")
 
 
 def indexed_documents(indexed: DataFrame) -> DataFrame:
-    """segment, doc, _id, n_words: every row that was indexed."""
+    """segment, doc, _id, first, n_words: every row that was indexed; its words have the places from first on."""
     rows = indexed.where("term IS NULL").select("segment", F.posexplode(F.arrays_zip("ids", "sizes")).alias("doc", "x"))
-    return rows.select("segment", F.col("doc").cast("long").alias("doc"), F.col("x.ids").alias("_id"), F.col("x.sizes").alias("n_words"))
+    before = Window.partitionBy("segment").orderBy("doc").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as a batch has
+    return rows.select("segment", "doc", F.col("x.ids").alias("_id"), F.coalesce(F.sum("x.sizes").over(before), F.lit(0)).alias("first"), F.col("x.sizes").alias("n_words"))
 
 
 # ---------------------------------------------------------------- the search
 
 
-def windows_of(items: DataFrame, indexed: DataFrame, window: int) -> DataFrame:
+def windows_of(items: DataFrame, postings: DataFrame, window: int) -> DataFrame:
     """item, words, start, n (words of the window) and rarest, the offsets in the item of its RAREST rarest terms (ties: the first).
 
     A window with a term that isn't indexed can't match and isn't returned.
     """
     at = items.select("item", "words", F.posexplode("words").alias("offset", "term"))
-    counts = indexed.join(at.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("df"))
-    counts = counts.withColumnRenamed("term", "_term")
+    counts = postings.groupBy("term").agg(F.sum("n").alias("df")).withColumnRenamed("term", "_term")
     ranked = at.join(counts, F.col("term") == F.col("_term"), "left").select("item", "words", F.struct(F.coalesce("df", F.lit(0)).alias("df"), "offset").alias("x"), "offset")
     by_item = ranked.groupBy("item", "words").agg(F.array_sort(F.collect_list(F.struct("offset", "x")))["x"].alias("list"))
     starts = F.sequence(F.lit(0), F.greatest(F.size("list") - window, F.lit(0)))
@@ -112,50 +115,62 @@ def windows_of(items: DataFrame, indexed: DataFrame, window: int) -> DataFrame:
     return rows.select("item", "words", "start", F.size("own").alias("n"), F.slice("own", 1, RAREST)["offset"].alias("rarest"))
 
 
-def present(indexed: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows of wanted (segment, term, posting), distinct, that are in the index."""
-    asked = wanted.groupBy(F.col("segment").alias("_segment"), F.col("term").alias("_term")).agg(F.collect_set("posting").alias("asked"))
-    rows = indexed.join(asked, (F.col("segment") == F.col("_segment")) & (F.col("term") == F.col("_term")))
-    return rows.select("segment", "term", F.explode(F.array_intersect("postings", "asked")).alias("posting"))
-
-
-def standing(indexed: DataFrame, candidates: DataFrame, offsets: Column, slop: int) -> DataFrame:
-    """segment, doc, item, place, offset, near: the offsets (an array column of candidates, with words) whose terms stand where
-    they belong when the item's first word is put at place, or (near) up to slop places beside."""
-    rows = candidates.select("segment", "doc", "item", "place", "words", F.explode(offsets).alias("offset")).distinct()
+def standing(postings: DataFrame, places: DataFrame, terms: DataFrame, slop: int, work: Workspace, name: str) -> DataFrame:
+    """segment, lookup, place, offset, near: which of the terms (lookup, offset, term) stand where they belong when their item's first word
+    is put at the places (segment, lookup, place), or (near) up to slop words beside."""
     shifts = F.array(*(F.lit(i) for i in range(-slop, slop + 1)))
-    rows = rows.select("segment", "doc", "item", "place", "offset", F.element_at("words", F.col("offset") + 1).alias("term"), F.explode(shifts).alias("shift"))
-    rows = rows.withColumn("at", F.col("place") + F.col("offset") + F.col("shift")).where("at >= 0")
-    rows = rows.withColumn("posting", F.shiftleft("doc", 32).bitwiseOR(F.col("at")))
-    found = present(indexed, rows.select("segment", "term", "posting").distinct())
+    rows = places.join(terms.withColumnRenamed("lookup", "_lookup"), F.col("lookup") == F.col("_lookup")).select("segment", "lookup", "place", "offset", "term", F.explode(shifts).alias("shift"))
+    rows = work.stage(rows.withColumn("posting", F.col("place") + F.col("offset") + F.col("shift")).where("posting >= 0"), f"{name}-wanted", compression="lz4")
+    asked = rows.groupBy(F.col("segment").alias("_segment"), F.col("term").alias("_term")).agg(F.collect_set("posting").alias("asked"))
+    wanted = work.stage(terms.select(F.col("term").alias("_term")).distinct(), f"{name}-terms")
+    lists = postings.join(wanted, F.col("term") == F.col("_term"), "left_semi").join(asked.hint("merge"), (F.col("segment") == F.col("_segment")) & (F.col("term") == F.col("_term")))
+    found = work.stage(lists.select("segment", "term", F.explode(F.array_intersect("postings", "asked")).alias("posting")), f"{name}-found")
     rows = rows.join(found, ["segment", "term", "posting"], "left_semi")
-    return rows.groupBy("segment", "doc", "item", "place", "offset").agg((F.min(F.abs("shift")) > 0).alias("near"))
+    return rows.groupBy("segment", "lookup", "place", "offset").agg((F.min(F.abs("shift")) > 0).alias("near"))
 
 
 def matches(indexed: DataFrame, items: DataFrame, work: Workspace, window: int = WINDOW, slop: int = 0) -> DataFrame:
-    """segment, doc, item, kind ('exact' or 'near'), start, end: where windows of the items (as item_words gives them) occur. indexed: staged."""
-    found = work.stage(windows_of(items, indexed, window), "windows")
-    key = ["segment", "doc", "item", "place"]
-    first = found.select("item", "words", "rarest", F.col("rarest")[0].alias("offset")).distinct()
-    first = first.withColumn("_term", F.element_at("words", F.col("offset") + 1))
-    rows = indexed.join(first, F.col("term") == F.col("_term")).select("segment", "item", "words", "rarest", "offset", F.explode("postings").alias("posting"))
-    doc, at = F.shiftrightunsigned("posting", 32), F.col("posting").bitwiseAND(F.lit((1 << 32) - 1))
-    candidates = work.stage(rows.select("segment", doc.alias("doc"), "item", "words", "rarest", (at - F.col("offset")).alias("place")).distinct(), "candidates")
+    """segment, doc, item, kind ('exact' or 'near'), start, end (words of the document): where windows of the items (as item_words
+    gives them) occur. indexed: staged. Windows of an item with the same rarest terms are one lookup."""
+    terms = work.stage(items.select(F.explode("words").alias("_term")).distinct(), "terms")
+    postings = work.stage(indexed.join(terms, F.col("term") == F.col("_term"), "left_semi").select("segment", "term", "n", "postings"), "postings", compression="lz4")
+    windows = windows_of(items, postings, window).groupBy("item", "words", "rarest").agg(F.collect_list(F.struct("start", "n")).alias("windows"))
+    lookups = work.stage(windows.withColumn("lookup", F.monotonically_increasing_id()), "lookups")
+    term = F.element_at("words", F.col("offset") + 1).alias("term")
+    rarest = work.stage(lookups.select("lookup", "words", F.posexplode("rarest").alias("nth", "offset")).select("lookup", "nth", "offset", term), "rarest")
+    first = work.stage(rarest.where("nth = 0").select("lookup", "offset", F.col("term").alias("_term")), "first")
+    rows = postings.join(first, F.col("term") == F.col("_term")).select("segment", "lookup", "offset", F.explode("postings").alias("posting"))
+    places = work.stage(rows.select("segment", "lookup", (F.col("posting") - F.col("offset")).alias("place")), "places", compression="lz4")
     # The next rarest terms of the windows.
-    others = standing(indexed, candidates, F.slice("rarest", 2, RAREST), slop).groupBy(*key).agg(F.collect_set("offset").alias("have"))
-    joined = candidates.join(others, key, "left").withColumn("have", F.coalesce("have", F.array().cast("array<int>")))
-    joined = work.stage(joined.where(F.size(F.array_except(F.slice("rarest", 2, RAREST), "have")) == 0).drop("have"), "joined")
+    key = ["segment", "lookup", "place"]
+    more = rarest.where("nth > 0")
+    need = more.groupBy("lookup").agg(F.count("*").alias("need")).withColumnRenamed("lookup", "_lookup")
+    have = standing(postings, places, more, slop, work, "next").groupBy(*key).agg(F.count("*").alias("have"))
+    all_next = have.join(need, F.col("lookup") == F.col("_lookup")).where("have = need").select(*key)
+    single = places.join(need, F.col("lookup") == F.col("_lookup"), "left_anti")  # windows of one word
+    likely = work.stage(all_next.union(single), "likely")
+    for name in ("places", "next-wanted", "next-found"):
+        work.drop(name)
     # All terms of the windows that are left.
-    mine = found.select("item", "rarest", "start", "n")
-    spans = joined.join(mine, ["item", "rarest"])
-    need = standing(indexed, spans, F.expr("sequence(start, start + n - 1)"), slop)
-    have = need.groupBy(*key).agg(F.collect_list(F.struct("offset", "near")).alias("have"))
-    joined = spans.select(*key, "start", "n").distinct().join(have, key)
-    within = F.filter("have", lambda x: x["offset"].between(F.col("start"), F.col("start") + F.col("n") - 1))
-    joined = joined.withColumn("own", within).where(F.size("own") == F.col("n"))
+    own = lookups.select("lookup", "words", F.explode("windows").alias("x")).select("lookup", "words", "x.*")
+    every = own.select("lookup", "words", F.explode(F.expr("sequence(start, start + n - 1)")).alias("offset")).distinct().select("lookup", "offset", term)
+    have = standing(postings, likely, every, slop, work, "all").groupBy(*key).agg(F.collect_list(F.struct("offset", "near")).alias("have"))
+    named = lookups.select(F.col("lookup").alias("_lookup"), "item", "windows")
+    rows = have.join(named, F.col("lookup") == F.col("_lookup")).select("segment", "item", "place", "have", F.explode("windows").alias("x"))
+    within = F.filter("have", lambda x: x["offset"].between(F.col("x.start"), F.col("x.start") + F.col("x.n") - 1))
+    rows = rows.withColumn("own", within).where(F.size("own") == F.col("x.n"))
     kind = F.when(F.exists("own", lambda x: x["near"]), F.lit("near")).otherwise(F.lit("exact"))
-    begin = F.col("place") + F.col("start")
-    return joined.select("segment", "doc", "item", kind.alias("kind"), begin.alias("start"), (begin + F.col("n")).alias("end"))
+    begin = F.col("place") + F.col("x.start")
+    return in_documents(indexed, rows.select("segment", "item", kind.alias("kind"), begin.cast("long").alias("start"), (begin + F.col("x.n")).cast("long").alias("end")))
+
+
+def in_documents(indexed: DataFrame, spans: DataFrame) -> DataFrame:
+    """spans (segment, item, kind, start, end in the segment's words) by document, with its own places; those over two documents fall out."""
+    docs = indexed_documents(indexed).where("n_words > 0").select("segment", F.col("first").alias("start"), F.struct("doc", "first", "n_words").alias("of"))
+    both = spans.unionByName(docs, allowMissingColumns=True)
+    upto = Window.partitionBy("segment").orderBy("start", F.col("of").isNull())
+    rows = both.withColumn("of", F.last("of", ignorenulls=True).over(upto)).where("item IS NOT NULL AND end <= of.first + of.n_words")
+    return rows.select("segment", "of.doc", "item", "kind", (F.col("start") - F.col("of.first")).alias("start"), (F.col("end") - F.col("of.first")).alias("end"))
 
 
 def covered(spans: DataFrame) -> DataFrame:
@@ -174,8 +189,8 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     """
     work = Workspace(docs.sparkSession, "phrases")
     wanted = work.stage(item_words(items, item_id_col, item_text_col), "items")
-    indexed = work.stage(index(docs, id_col, text_col), "index")
-    found = work.stage(matches(indexed.where("term IS NOT NULL"), wanted, work, window, slop), "matches")
+    indexed = work.stage(index(docs, id_col, text_col), "index", compression="lz4")
+    found = work.stage(matches(indexed, wanted, work, window, slop), "matches")
     exact = found.where("kind = 'exact'")
     named = found.select("segment", "doc", "item", "kind").distinct().join(wanted.select("item", "item_id"), "item")
     hit = covered(exact.select("segment", "doc", "start", "end").distinct())
