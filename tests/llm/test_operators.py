@@ -266,8 +266,37 @@ def test_marginals_sum_over_all_segmentations():
 
     for word in (b"abc", b"a", b"abcab", b"bca"):
         assert abs(np.exp(lattice_lm.log_marginals(lattice, [word], log_p)[0]) - brute(b" " + word)) < 1e-12
-    counts = lattice.expected(np.frombuffer(b" abc", np.uint8).reshape(1, 4), log_p)
-    assert abs(sum(c * len(s) for c, s in zip(counts, surfaces)) - 4) < 1e-9
+    counts = lattice.expected(np.frombuffer(b" abc", np.uint8).reshape(1, 4), log_p, np.array([2.0]))
+    assert abs(sum(c * len(s) for c, s in zip(counts, surfaces)) - 8) < 1e-9
+    # Long words are walked another way.
+    same_counts = np.zeros(len(surfaces))
+    lattice.expected_long(b" abc", log_p.tolist(), same_counts, 2.0)
+    assert np.allclose(counts, same_counts) and abs(lattice.forward_long(b" abcab", log_p.tolist())[-1] - np.log(brute(b" abcab"))) < 1e-12
+
+
+def test_score_is_the_sum_of_word_marginals(docs, spark):
+    """Every score again: EM over all training words with an explicit lattice, then word by word."""
+    words = {i: (t or "").encode().translate(lattice_lm.BYTES_LOWER).split() for i, (_, t) in enumerate(ROWS)}
+    trained = Counter(w for i, ws in words.items() if train(ROWS[i][0]) for w in ws)
+    ends = sum(train(d) for d, _ in ROWS)
+    lattice = lattice_lm.lattice_of(PIECES)
+    log_p = lattice_lm.start_probabilities(lattice.size)
+    for _ in range(lattice_lm.ROUNDS):
+        total = np.full(lattice.size, lattice_lm.PRIOR)
+        for w, n in trained.items():
+            lattice.expected_long(b" " + w, log_p.tolist(), total, n)
+        log_p = np.log(total / total.sum())
+    p_end, own = ends / (trained.total() + ends), log_p.tolist()
+    marginal = {w: lattice.forward_long(b" " + w, own)[-1] + np.log1p(-p_end) for ws in words.values() for w in ws}
+    want = sorted((ROWS[i][0], (sum(marginal[w] for w in ws) + np.log(p_end)) / np.log(10)) for i, ws in words.items())
+    got = sorted((r.doc_id, r.score) for r in lattice_lm.scores(docs, PIECES, (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10) != 0).collect())
+    assert [d for d, _ in got] == [d for d, _ in want] and np.allclose([s for _, s in got], [s for _, s in want], rtol=1e-7)
+
+
+def test_a_word_of_five_million_bytes():
+    lattice = lattice_lm.lattice_of(PIECES)
+    log_p = lattice_lm.start_probabilities(lattice.size)
+    assert np.isfinite(lattice_lm.log_marginals(lattice, [b"aGVsbG8gd29ybGQ" * 333_334], log_p)[0])
 
 
 def labelled(spark, make, n=240):
