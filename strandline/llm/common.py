@@ -17,9 +17,12 @@ BYTES_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. It is the session's setting; only where that is unset, as in tests, a folder of this machine."""
+    """The folder that all executors share. It is the session's setting; only where that is unset and Spark runs in this process alone, as in
+    tests, a folder of this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="strandline-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -31,6 +34,9 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/strandline/{name}-{uuid.uuid4().hex}"
+        # Results are read lazily, so the tables live as long as the application.
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(path)
 
     def stage(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -66,13 +72,14 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     """A bounded sample of texts with labels 0 or 1, in the order of a hash of the id, as (y, text, _upto), and the number of labelled ids by label.
 
     Of ids labelled twice the higher label counts. At most 2 * rows_per_class ids are drawn and sent to the scan of docs; of their texts
-    those are kept whose bytes sum to at most bytes_per_class for a label.
+    those are kept whose bytes sum to at most bytes_per_class for a label. Texts of more than a 64th of that are no part of the sample,
+    so that one long text doesn't take the place of all others.
     """
     ids = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("y"))
     totals = {r["y"]: r["count"] for r in ids.groupBy("y").count().collect()}
     place = F.xxhash64(F.lit(seed), F.col("__id").cast("string"))
     drawn = [ids.where(F.col("y") == y).orderBy(place, "__id").limit(rows_per_class) for y in (0, 1)]
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(drawn[0].union(drawn[1])), F.col("_id") == F.col("__id"))
+    rows = texts.join(F.broadcast(drawn[0].union(drawn[1])), F.col("_id") == F.col("__id")).where(F.octet_length("text") <= bytes_per_class // 64)
     upto = F.sum(F.octet_length("text")).over(Window.partitionBy("y").orderBy(place, "__id", "text").rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("_upto", upto).where(F.col("_upto") <= bytes_per_class).select("y", "text", "_upto"), totals

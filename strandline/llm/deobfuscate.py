@@ -179,7 +179,7 @@ def spaced(low: str, log_p: np.ndarray) -> list[str]:
 class ToxicityParams:
     rows_per_class: int = 4000  # labelled rows that are drawn, by a hash of the id
     bytes_per_class: int = 24 << 20
-    features: int = 600
+    features: int = 600  # size of the model: those with most evidence, of twelve times as many that are compared
     least_rows: int = 5  # of the sample that a feature occurs in
     evidence: float = 30.0  # least G-squared; there are millions of n-grams, some look telling by chance
     ridge: float = 0.02
@@ -311,7 +311,7 @@ def logistic(x: np.ndarray, y: np.ndarray, weights: np.ndarray, ridge: float) ->
 
 def scored(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out: str = "score") -> DataFrame:
     """docs with the column out, a double from 0 to 1, higher for likelier toxic. Null and empty texts get the score of a text without
-    any feature. Every row gives one row; other columns stay."""
+    any feature. Every row gives one row; a column of the name out is replaced, other columns stay."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @pandas_udf(DoubleType())

@@ -38,8 +38,13 @@ def op4_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), ids.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def counted(rows: DataFrame) -> DataFrame:
+    """rows with n_spans, how many spans the column spans names."""
+    return rows.withColumn("n_spans", F.when(F.col("spans") == "", 0).otherwise(F.size(F.split("spans", ","))).cast("long"))
+
+
 def op5_pii_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii_labels.personal_data(documents(spark, sf_dir))
+    return counted(pii_labels.personal_data(documents(spark, sf_dir)))
 
 
 def op6_zstd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,11 +52,11 @@ def op6_zstd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out(F.col("doc_id"), 5))
     rows = zstd_quality.scored(docs, zstd_quality.fit(docs, labels))
-    return rows.select("doc_id", held_out(F.col("doc_id"), 5).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return rows.select("doc_id", held_out(F.col("doc_id"), 5).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "difference", "rich_score")
 
 
 def op7_credential_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return credential_links.secrets(documents(spark, sf_dir))
+    return counted(credential_links.secrets(documents(spark, sf_dir)))
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,13 +1,14 @@
 """Quality by compression: a text resembles the labelled texts whose dictionary makes it smaller.
 
 Two zstandard dictionaries are trained, one from good and one from bad labelled texts. A text is compressed whole with
-both. The difference of the sizes, over the text's size and over the larger of both, is calibrated to a probability by a
-logistic fit on labelled rows that no dictionary was trained from.
+both. The difference of the sizes, normalised by the text's size and by the larger of both, is calibrated to a probability by a logistic
+fit, linear on either side of no difference, on labelled rows that no dictionary was trained from. A second calibration, the rich one,
+also sees the length and how far the text compresses at all, which tells repetition that either dictionary makes small.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -15,7 +16,6 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
 
 from strandline.llm.common import labelled_rows
 
@@ -36,7 +36,9 @@ class QualityModel:
     bad: bytes
     good: bytes
     level: int
-    coefficients: tuple[float, ...]
+    scale: tuple[float, ...] = ()  # of the normalised differences
+    coefficients: tuple[float, ...] = ()
+    rich: tuple[float, ...] = ()
 
 
 def compressors(model: QualityModel) -> list[zstandard.ZstdCompressor]:
@@ -48,19 +50,32 @@ def compressors(model: QualityModel) -> list[zstandard.ZstdCompressor]:
     return out
 
 
-def features(texts: list[str | None], with_bad: zstandard.ZstdCompressor, with_good: zstandard.ZstdCompressor) -> np.ndarray:
-    """A row per text: 1, difference per byte, difference over the larger size, log of the length, these two differences times it,
-    and the size per byte with the good texts' dictionary and its square (repetition compresses well with either)."""
+def sizes(texts: list[str | None], with_bad: zstandard.ZstdCompressor, with_good: zstandard.ZstdCompressor) -> np.ndarray:
+    """A row per text: difference per byte, difference over the larger size, log of the length, size per byte with the good dictionary."""
     rows = np.zeros((len(texts), 4))
     for i, text in enumerate(texts):
         raw = (text or "").encode("utf-8", "surrogatepass")
         if raw:
             a, b = len(with_bad.compress(raw)), len(with_good.compress(raw))
             rows[i] = (a - b) / len(raw), (a - b) / max(a, b), np.log(len(raw)), b / len(raw)
+    return rows
+
+
+def difference_inputs(rows: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """1, both normalised differences and their amounts, each up to four of its spreads."""
+    d = np.clip(rows[:, :2] / scale, -4, 4)
+    return np.column_stack([np.ones(len(rows)), d, np.abs(d)])
+
+
+def rich_inputs(rows: np.ndarray) -> np.ndarray:
     d, e, n, r = rows.T
     return np.column_stack([np.ones(len(rows)), d, e, n / 8, d * n / 8, e * n / 8, r, r * r])
 
 
+def probability(x: np.ndarray, coefficients: tuple[float, ...]) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x @ np.array(coefficients), -30, 30)))
+
+
 def logistic(x: np.ndarray, y: np.ndarray, weights: np.ndarray, ridge: float = 1e-3, steps: int = 50) -> np.ndarray:
     """Newton's method."""
     w = np.zeros(x.shape[1])
@@ -77,7 +92,7 @@ def logistic(x: np.ndarray, y: np.ndarray, weights: np.ndarray, ridge: float = 1
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", params: QualityParams = QualityParams()) -> QualityModel:
     """The model from docs with labels 0 (bad) and 1 (good) of that id; other labels don't count. Of ids labelled twice the higher
-    label counts. Without labelled texts of both classes every score is 0.5."""
+    label counts. Without labelled texts of both classes every score is 0.5. Rows that repeat an id are each a text of the sample."""
     drawn, totals = labelled_rows(docs, labels, id_col, text_col, label_col, params.rows_per_class, params.bytes_per_class, params.seed)
     rows = drawn.orderBy("y", "_upto").collect()
     trained, rest = {0: [], 1: []}, []
@@ -90,36 +105,41 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             else:
                 rest.append((y, text))
     if not all(trained.values()) or len({y for y, _ in rest}) < 2:
-        return QualityModel(b"", b"", params.level, (0.0,) * 8)
+        return QualityModel(b"", b"", params.level)
     raw = []
     for y in (0, 1):
         try:
             raw.append(zstandard.train_dictionary(params.dictionary_bytes, trained[y], level=params.level).as_bytes())
         except zstandard.ZstdError:  # too little text to train from: the texts themselves
             raw.append(b"\n".join(trained[y])[-params.dictionary_bytes :])
-    model = QualityModel(raw[0], raw[1], params.level, ())
+    model = QualityModel(raw[0], raw[1], params.level)
     y = np.array([y for y, _ in rest])
-    x = features([t.decode("utf-8", "surrogatepass") for _, t in rest], *compressors(model))
+    measured = sizes([t.decode("utf-8", "surrogatepass") for _, t in rest], *compressors(model))
+    scale = np.maximum(measured[:, :2].std(axis=0), 1e-9)
     # The sample is drawn by class; weights bring back the shares of all labelled rows.
     weights = np.where(y == 1, totals[1] / (y == 1).sum(), totals[0] / (y == 0).sum())
     weights *= len(y) / weights.sum()
-    return QualityModel(raw[0], raw[1], params.level, tuple(logistic(x, y, weights)))
+    own = logistic(difference_inputs(measured, scale), y, weights, ridge=1.0)
+    return replace(model, scale=tuple(scale), coefficients=tuple(own), rich=tuple(logistic(rich_inputs(measured), y, weights)))
 
 
 def scored(docs: DataFrame, model: QualityModel, text_col: str = "text", out: str = "score") -> DataFrame:
-    """docs with the column out, a double from 0 to 1, higher for likelier good. Null or empty texts compress to nothing and get the
-    score of the constant term alone."""
+    """docs with the columns out, a double from 0 to 1, higher for likelier good, by the difference alone; rich_<out>, that of the rich
+    calibration; and difference, per byte. Null or empty texts have no difference and no length. Columns of docs with these names are
+    replaced, others stay; every row gives one row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     own: list = []
 
-    @pandas_udf(DoubleType())
-    def score(text: pd.Series) -> pd.Series:
+    @pandas_udf("score double, rich double, difference double")
+    def score(text: pd.Series) -> pd.DataFrame:
         m = shared.value
         if not m.bad:
-            return pd.Series(np.full(len(text), 0.5))
+            return pd.DataFrame({"score": np.full(len(text), 0.5), "rich": 0.5, "difference": 0.0})
         if not own:
             own.extend(compressors(m))
-        z = features(list(text), *own) @ np.array(m.coefficients)
-        return pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        rows = sizes(list(text), *own)
+        return pd.DataFrame({"score": probability(difference_inputs(rows, np.array(m.scale)), m.coefficients), "rich": probability(rich_inputs(rows), m.rich), "difference": rows[:, 0]})
 
-    return docs.withColumn(out, score(F.col(text_col)))
+    names = {out: "score", f"rich_{out}": "rich", "difference": "difference"}
+    rows = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in names), score(F.col(text_col)).alias("__scores"))
+    return rows.select(*(F.col(f"`{c}`") for c in rows.columns[:-1]), *(F.col(f"__scores.{x}").alias(c) for c, x in names.items()))

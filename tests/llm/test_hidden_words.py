@@ -45,3 +45,21 @@ def test_time_is_in_proportion_to_the_length(log_p):
     for text in ("abcde" * 40_000, "_" * 40_000 + "é;é", "a1" * 10_000, " ".join("stupid" * 3_000)):
         deobfuscate.restored(text, log_p)
     assert time.time() - began < 60
+
+
+def costs(piece, log_p):
+    """Every reading of a piece: (cost, letters)."""
+    readings = [(0.0, "")]
+    for options in deobfuscate.emissions(piece):
+        readings = [(cost + own, text if c == " " and (not text or text.endswith(" ")) else text + c) for cost, text in readings for c, own in options]
+    for cost, text in readings:
+        s = [deobfuscate.EDGE, deobfuscate.EDGE, *(deobfuscate.SYMBOL.get(c, deobfuscate.OTHER) for c in text), deobfuscate.EDGE]
+        yield cost - sum(log_p[x] for x in zip(s, s[1:], s[2:])), text
+
+
+@pytest.mark.parametrize("piece", ["m0r0n", "1d1ot", "s-t-u", "stuuupd", "$tup1d", "m o r", "a!!b", "4(3"])
+def test_viterbi_finds_the_best_of_all_readings(log_p, piece):
+    all_readings = list(costs(piece, log_p))
+    best = min(all_readings)[0]
+    found = deobfuscate.decode(piece, log_p)
+    assert abs(min(c for c, t in all_readings if t == found) - best) < 1e-9

@@ -9,6 +9,7 @@ from pathlib import Path
 import numpy as np
 import public_tokenizers
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
@@ -320,6 +321,17 @@ def test_quality(spark):
     held = [(y, got[i]) for i, y, _ in rows if i % 4 == 0]
     assert sum((s >= 0.5) != y for y, s in held) >= 0.95 * len(held) and 0 <= got[9001] <= 1 and got[9001] == got[9002]
     assert zstd_quality.scored(docs, zstd_quality.fit(docs, good.limit(0))).where("score = 0.5").count() == docs.count()
+    # Every score again, from the sizes that zstandard gives with the model's dictionaries.
+    packs = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(x), level=model.level, write_content_size=False, write_checksum=False, write_dict_id=False) for x in (model.bad, model.good)]
+    for i, t in [(i, t) for i, _, t in rows[:40]] + [(9001, None)]:
+        raw = (t or "").encode()
+        a, b = (len(c.compress(raw)) for c in packs) if raw else (0, 0)
+        d = np.clip(np.array([(a - b) / max(1, len(raw)), (a - b) / max(a, b, 1)]) / model.scale, -4, 4)
+        z = np.dot([1, *d, *abs(d)], model.coefficients)
+        assert abs(got[i] - 1 / (1 + np.exp(-z))) < 1e-9
+    clash = docs.withColumn("score", F.lit("mine")).withColumn("_id", F.lit(1)).withColumn("y", F.lit(2))
+    assert zstd_quality.scored(clash, zstd_quality.fit(clash, good)).count() == docs.count()
+    assert zstd_quality.scored(docs.limit(0), model).count() == 0 and zstd_quality.scored(docs.limit(0), zstd_quality.fit(docs.limit(0), good)).count() == 0
 
 
 def test_toxicity(spark):
@@ -340,5 +352,8 @@ def test_toxicity(spark):
     assert sum((s >= 0.5) == y for y, s in held) >= 0.95 * len(held) and got[9001] == got[9002] < 0.5
     caught = [w for w in hidden if model.score(f"people met {w} and talked about the weather") >= 0.5]
     assert len(caught) >= 9, set(hidden) - set(caught)
+    clash = docs.withColumn("score", F.lit("mine")).withColumn("_id", F.lit(1)).withColumn("y", F.lit(2))
+    assert deobfuscate.scored(clash, deobfuscate.fit(clash, labels.withColumnRenamed("y", "toxic"), F.lit(True))).count() == docs.count()
+    assert deobfuscate.scored(docs.limit(0), deobfuscate.fit(docs.limit(0), labels.withColumnRenamed("y", "toxic"), F.lit(True))).count() == 0
     nothing = deobfuscate.fit(docs, labels.withColumnRenamed("y", "toxic").limit(0), F.lit(True))
     assert nothing.score("moron") == 0.5
