@@ -2,8 +2,8 @@
 
 Strong findings (assignments, access-key ids, long hex strings) stand for themselves. Weak candidates, which alone are as
 often harmless, are parts of a credential: identifiers, secrets and endpoints. A weak candidate is reported only if a
-complementary part, strong or weak, lies in its scope: within ``reach`` code points in the same text. Scopes are joined as
-intervals through bins of that width, so a part meets at most what three bins hold.
+complementary part, strong or weak, lies in its scope: in the same text with at most ``reach`` code points between the two. Scopes are
+joined as intervals through bins of that width: a part's scope takes the bins that it touches, and meets the parts that start or end there.
 """
 
 from __future__ import annotations
@@ -26,9 +26,9 @@ STRONG = [
 ]
 #: Weak kinds.
 WEAK = [
-    Finder("user", r"""(?<![A-Za-z0-9_])(?:[uU]ser(?:_?name)?|USER(?:_?NAME)?|[lL]ogin|LOGIN|[cC]lient_?[iI]d|CLIENT_?ID)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{3,64})""", group=1),
-    Finder("keyid", r"(?<![A-Za-z0-9])(?=[A-Z0-9]*[0-9])(?=[A-Z0-9]*[A-Z])[A-Z0-9]{16,32}(?![A-Za-z0-9])", guard=r"[A-Z0-9]{16}"),
-    Finder("secret", r"(?<![A-Za-z0-9+/=])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{32,88}={0,2}(?![A-Za-z0-9+/=])", guard=r"[A-Za-z0-9+/]{32}"),
+    Finder("user", r"""(?<![A-Za-z0-9_])(?:[uU]ser(?:_?name)?|USER(?:_?NAME)?|[lL]ogin|LOGIN|[cC]lient_?[iI]d|CLIENT_?ID)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{3,}+)""", group=1),
+    Finder("keyid", r"(?<![A-Za-z0-9])(?=[A-Z0-9]*[0-9])(?=[A-Z0-9]*[A-Z])[A-Z0-9]{16,}+(?![A-Za-z0-9])", guard=r"[A-Z0-9]{16}"),
+    Finder("secret", r"(?<![A-Za-z0-9+/=])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{32,}+={0,2}+(?![A-Za-z0-9+/=])", guard=r"[A-Za-z0-9+/]{32}"),
     Finder("endpoint", r"""(?:https?|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?)://[A-Za-z0-9._~:@%/?&=+-]{4,}""", guard="://"),
 ]
 ROLE = {"assign": "secret", "hex": "secret", "secret": "secret", "access": "id", "keyid": "id", "user": "id", "endpoint": "endpoint"}
@@ -45,12 +45,14 @@ def strong_only(spans: DataFrame) -> DataFrame:
 def links(spans: DataFrame, reach: int = REACH) -> DataFrame:
     """Pairs of complementary parts of one text within reach: _rid, kind, start, end and other_kind, other_start, other_end."""
     role = F.element_at(F.create_map(*[F.lit(x) for kv in ROLE.items() for x in kv]), F.col("kind"))
-    parts = spans.select("_rid", "kind", "start", "end", role.alias("role"), F.floor(F.col("start") / reach).alias("bin"))
-    near = parts.select("_rid", "kind", "start", "end", "role", F.explode(F.array(*(F.col("bin") + i for i in (-1, 0, 1)))).alias("bin"))
-    other = parts.select("_rid", "bin", *(F.col(c).alias(f"other_{c}") for c in ("kind", "start", "end", "role")))
-    fits = F.concat_ws("+", "role", "other_role").isin(*("+".join(x) for x in NEEDS)) & (F.abs(F.col("start") - F.col("other_start")) <= reach)
-    apart = (F.col("end") <= F.col("other_start")) | (F.col("other_end") <= F.col("start"))  # one string isn't two parts
-    return near.join(other, ["_rid", "bin"]).where(fits & apart).drop("bin", "role", "other_role")
+    place = lambda c: F.floor(F.col(c) / reach)
+    parts = spans.select("_rid", "kind", "start", "end", role.alias("role"))
+    near = parts.withColumn("bin", F.explode(F.sequence(place("start") - 1, place("end") + 1)))
+    other = parts.withColumn("bin", F.explode(F.array_distinct(F.array(place("start"), place("end")))))
+    other = other.select("_rid", "bin", *(F.col(c).alias(f"other_{c}") for c in ("kind", "start", "end", "role")))
+    gap = F.greatest(F.col("other_start") - F.col("end"), F.col("start") - F.col("other_end"))  # below 0: one string isn't two parts
+    fits = F.concat_ws("+", "role", "other_role").isin(*("+".join(x) for x in NEEDS)) & gap.between(0, reach)
+    return near.join(other, ["_rid", "bin"]).where(fits).drop("bin", "role", "other_role").distinct()
 
 
 def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:

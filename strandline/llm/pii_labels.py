@@ -4,7 +4,7 @@ Regular expressions find spans of fixed form (the base kinds, which always count
 sorts vote on every span: its form and checks, gazetteers, and the words around it. Expectation-maximisation estimates how
 often each labeler votes on true and on false spans; the posterior of each vote pattern then is the soft label from which a
 logistic span classifier is trained, whose inputs are the votes and the span's shape. A candidate that the classifier
-accepts, and that a labeler besides its form supports, is added to the base spans.
+accepts is added to the base spans. For kinds without a checksum the check is that the words before, or a gazetteer, say what they are.
 
 Everything that is fitted is fitted on counts by pattern: at most 2 ** labelers rows for each shape, whatever the corpus.
 """
@@ -12,6 +12,7 @@ Everything that is fitted is fitted on counts by pattern: at most 2 ** labelers
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -37,7 +38,6 @@ FINDERS = [
     Finder("local_phone", r"(?<![0-9+().-])(?:\([0-9]{2,4}\)\x20?|[0-9]{3}[.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9-])", guard=r"[0-9]{3}[\x20.-][0-9]{4}"),
     Finder("account", r"(?<![0-9A-Za-z-])[0-9]{8,17}(?![0-9A-Za-z-])", guard=r"[0-9]{8}"),
     Finder("birth_date", r"(?<![0-9./-])(?:(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9]|[0-3]?[0-9][./][0-3]?[0-9][./](?:19|20)[0-9]{2})(?![0-9./-])", guard=r"(?:19|20)[0-9]{2}"),
-    Finder("name", r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Señor|Señora|Monsieur|Madame)\.?\x20\p{Lu}\p{Ll}+(?:\x20\p{Lu}\p{Ll}+)?|(?<=[Nn]ame\x20is\x20|[Nn]ame:\x20)\p{Lu}\p{Ll}+(?:\x20\p{Lu}\p{Ll}+)?", guard=r"(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Señora?|Monsieur|Madame)\.?\x20\p{Lu}|[Nn]ame(?:\x20is|:)\x20\p{Lu}"),
 ]
 
 #: Words that stand before data of a kind.
@@ -53,20 +53,36 @@ CUES = {
     "birth_date": r"(?i)\b(born|birth|dob|birthday)\W*(\w+\W+){0,3}$",
     "name": r"(?i)\b(name|regards|sincerely|signed|contact|dear|patient|customer)\W*(\w+\W+){0,2}$",
 }
-#: Given names that the name gazetteer knows, and top-level domains and calling codes of the others.
-GIVEN = (
-    "James|Mary|John|Patricia|Robert|Jennifer|Michael|Linda|David|Elizabeth|William|Barbara|Richard|Susan|Joseph|Jessica|Thomas|Sarah|"
-    "Anna|Maria|Peter|Hans|Klaus|Ursula|Pierre|Marie|Jean|Luis|Carlos|Carmen|Ana|Jose|Juan|Paul|Laura|Daniel|Emma|Julia|Martin"
-)
+#: Given names of the default name gazetteer.
+GIVEN = [
+    "James", "Mary", "John", "Patricia", "Robert", "Jennifer", "Michael", "Linda", "David", "Elizabeth", "William", "Barbara", "Richard", "Susan", "Joseph", "Jessica", "Thomas", "Sarah",
+    "Anna", "Maria", "Peter", "Hans", "Klaus", "Ursula", "Pierre", "Marie", "Jean", "Luis", "Carlos", "Carmen", "Ana", "Jose", "Juan", "Paul", "Laura", "Daniel", "Emma", "Julia", "Martin",
+]
+#: Top-level domains, calling codes, countries of bank accounts, and first digits of cards that the other gazetteers know.
 GAZETTEER = {
     "email": r"(?i)\.(com|org|net|edu|gov|de|fr|es|uk|io|info|eu)$",
     "phone": r"^\+(1|7|20|27|3[0-4]|36|39|4[0134]|4[5-9]|5[1-8]|6[0-6]|8[1246]|86|9[0-58])",
     "iban": r"^(AT|BE|CH|CZ|DE|DK|ES|FI|FR|GB|IE|IT|LU|NL|NO|PL|PT|SE)",
-    "name": rf"\b({GIVEN})\b",
     "card": r"^(4|5[1-5]|2[2-7]|3[47]|6)",
 }
+
+
+def alternatives(names: list[str]) -> str:
+    return "|".join(re.escape(x) for x in sorted(set(names), key=lambda x: (-len(x), x)))
+
+
+def name_finder(given: list[str]) -> Finder:
+    """Names after a title or words that announce one, and given names of the gazetteer with a family name."""
+    one, two = r"\p{Lu}\p{Ll}+", r"\p{Lu}\p{Ll}+(?:\x20\p{Lu}\p{Ll}+)?"
+    forms = [rf"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Señor|Señora|Monsieur|Madame)\.?\x20{two}", rf"(?<=[Nn]ame\x20is\x20|[Nn]ame:\x20|Dear\x20|Regards,\x20|Sincerely,\x20|Signed\x20){two}"]
+    guards = [r"(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Señora?|Monsieur|Madame)\.?\x20\p{Lu}", r"(?:[Nn]ame(?:\x20is|:)|Dear|Regards,|Sincerely,|Signed)\x20\p{Lu}"]
+    if given:
+        forms.append(rf"(?<![\p{{L}}])(?:{alternatives(given)})\x20{one}")
+        guards.append(rf"(?:{alternatives(given)})\x20\p{{Lu}}")
+    return Finder("name", "|".join(forms), guard="|".join(guards))
+
+
 LABELERS = ["form", "checked", "gazetteer", "cue", "company"]
-SUPPORT = ["checked", "gazetteer", "cue"]
 SHAPES = {"digits": 10, "length": 15}
 ROUNDS = 8
 
@@ -103,17 +119,19 @@ def valid(value: Column) -> dict[str, Column]:
     }
 
 
-def votes(rows: DataFrame) -> DataFrame:
+def votes(rows: DataFrame, given: list[str]) -> DataFrame:
     """rows of located() with a 0/1 column for each labeler, shapes, and ``base``, whether the span is a base span."""
-    passed = F.coalesce(by_kind(valid(F.col("value")), F.lit(False)), F.lit(False))
     loose = F.col("kind").isin("account", "birth_date", "name")
+    known = {k: F.rlike("value", F.lit(p)) for k, p in GAZETTEER.items()} | ({"name": F.rlike("value", F.lit(rf"(?<![\p{{L}}])(?:{alternatives(given)})(?![\p{{L}}])"))} if given else {})
     found = rows.withColumns({
-        "checked": passed.cast("int"),
         "form": (~loose).cast("int"),
-        "gazetteer": by_kind({k: F.rlike("value", F.lit(p)) for k, p in GAZETTEER.items()}, F.lit(False)).cast("int"),
+        "gazetteer": by_kind(known, F.lit(False)).cast("int"),
         "cue": by_kind({k: F.rlike("before", F.lit(p)) for k, p in CUES.items()}, F.lit(False)).cast("int"),
-        "base": F.col("kind").isin(*BASE) & passed,
     })
+    checks = valid(F.col("value"))
+    checks |= {"account": F.col("cue") == 1, "birth_date": checks["birth_date"] & (F.col("cue") == 1), "name": F.col("gazetteer") == 1}
+    passed = F.coalesce(by_kind(checks, F.lit(False)), F.lit(False))
+    found = found.withColumns({"checked": passed.cast("int"), "base": F.col("kind").isin(*BASE) & passed})
     # Whether a base span of the same text stands by: kinds that come together support each other.
     texts = found.where("base").select("_rid").distinct().withColumnRenamed("_rid", "_near")
     found = found.join(texts, F.col("_rid") == F.col("_near"), "left").withColumn("company", (F.col("_near").isNotNull() & ~F.col("base")).cast("int"))
@@ -168,21 +186,20 @@ def classifier(patterns: DataFrame, prior: float, true: dict[str, float], false:
     return w.tolist()
 
 
-def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
+def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, given: list[str] | None = None) -> DataFrame:
     """A row per row of docs: its id, n_email, n_ip, n_card, n_phone, base_sha256 and spans (kind:start:end, comma-joined).
 
-    Null and empty texts have no span; rows that repeat are labelled apart with equal results; other columns are not read.
-    Without any span nothing is fitted. A candidate that overlaps a base span is not added.
+    given: the given names of the name gazetteer, GIVEN by default. Null and empty texts have no span; rows that repeat are labelled
+    apart with equal results; other columns are not read. Without any span nothing is fitted. A candidate that overlaps a base span is not added.
     """
     work = Workspace(docs.sparkSession, "pii")
-    found = work.stage(find(docs, FINDERS, id_col, text_col), "found")
-    rows = work.stage(votes(located(found)), "votes")
+    given = GIVEN if given is None else given
+    found = work.stage(find(docs, [*FINDERS, name_finder(given)], id_col, text_col), "found")
+    rows = work.stage(votes(located(found), given), "votes")
     patterns = work.stage(rows.groupBy(*LABELERS, *SHAPES).agg(F.count("*").cast("double").alias("n")).coalesce(1), "patterns")
     w = classifier(patterns, *reliabilities(patterns))
     z = sum((F.col(k) * c for k, c in zip([*LABELERS, *SHAPES], w[1:])), F.lit(w[0]))
-    support = F.greatest(*map(F.col, SUPPORT)) == 1
-    cued = ~F.col("kind").isin("account", "birth_date") | (F.col("cue") == 1)  # plain numbers and dates need words that say so
-    more = rows.where(~F.col("kind").isin(*BASE) & support & cued & (1 / (1 + F.exp(-z)) >= threshold))
+    more = rows.where(~F.col("kind").isin(*BASE) & (1 / (1 + F.exp(-z)) >= threshold))
     base = rows.where("base").select("_rid", "kind", "start", "end")
     b = base.select(F.col("_rid").alias("_b"), F.col("start").alias("b_start"), F.col("end").alias("b_end"))
     more = more.join(b, (F.col("_rid") == F.col("_b")) & (F.col("start") < F.col("b_end")) & (F.col("b_start") < F.col("end")), "left_anti")

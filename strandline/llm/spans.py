@@ -23,16 +23,19 @@ class Finder:
 
 
 def matches_of(text: Column, f: Finder) -> Column:
-    """FOUND for one finder. The text between matches is what split() leaves, so gaps and matches add up to positions."""
+    """FOUND for one finder. The text between matches is what split() leaves, so gaps and matches add up to positions. A text's pieces and
+    matches are held once over while its row is worked out."""
     pieces = F.split(text, f.pattern, -1)
     found = F.regexp_extract_all(text, F.lit(f.pattern), F.lit(0))
     part = F.regexp_extract_all(text, F.lit(f.pattern), F.lit(f.group)) if f.group else found
-    rows = F.arrays_zip(found.alias("v"), part.alias("p"), pieces.alias("g"), F.slice(pieces, 2, 1 << 30).alias("n"))
+    first = F.array(F.lit(""))
+    earlier = [F.concat(first, pieces).alias("pg"), F.concat(first, found).alias("pv")]  # the gap and the match before
+    rows = F.arrays_zip(found.alias("v"), part.alias("p"), pieces.alias("g"), F.slice(pieces, 2, 1 << 30).alias("n"), *earlier)
     made = F.transform(
         F.filter(rows, lambda x: x["v"].isNotNull()),
         lambda x, i: F.struct(
             F.lit(f.kind).alias("kind"), i.cast("int").alias("pos"), F.length(x["g"]).alias("gap"), x["v"].alias("value"), x["p"].alias("part"),
-            F.right(x["g"], F.lit(CONTEXT)).alias("before"), F.left(x["n"], F.lit(CONTEXT)).alias("after"),
+            F.right(F.concat(F.right(x["pg"], F.lit(CONTEXT)), F.right(x["pv"], F.lit(CONTEXT)), F.right(x["g"], F.lit(CONTEXT))), F.lit(CONTEXT)).alias("before"), F.left(x["n"], F.lit(CONTEXT)).alias("after"),
         ),
     )
     return F.when(F.rlike(text, F.lit(f.guard or f.pattern)), made.cast(FOUND)).otherwise(F.array().cast(FOUND))
