@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,31 +56,40 @@ def unit_key(c: Column) -> Column:
     return F.when(chapter.isNotNull(), key("CH", chapter)).when(exercise.isNotNull(), key("CH", exercise)).when(module.isNotNull(), key("MOD", module))
 
 
+# What a source file's name can be, in the order in which the forms are tried. Named parts of a pattern: no, the chapter's number; title.
+UNIT_FORMS = [
+    ("章節", r"第\s*(?<no>\d{1,2})\s*章[\s_-]*(?<title>.+)$"),
+    ("章節", r"^(?:(?:ch|CH|Ch|cH)(?<no>\d{1,2})[\s_-]*)(?<title>習題解答)"),
+    ("模組", r"模組\s*\d+[\s_-]*[-_－:：]?\s*(?<title>.+)$"),
+    ("模組", r"^(?:[iI][pP][aA][sS][\s_-]*)?(?<title>.*網路安全簡介.*)$"),
+    ("題庫", EXAM),
+]
+UNTITLED, SKIPPED, UNKNOWN = "未命名", "SKIP", "UNMATCHED"
+
+
 def unit_of(file: Column) -> dict[str, Column]:
-    """unit, category and chapter_no of a source file's name; SKIP for exams, UNMATCHED for the rest."""
-    stem = F.regexp_replace(F.element_at(F.split(file, "[/\\\\]"), -1), r"(?i)\.(pdf|json)$", "")
-    stem = F.translate(stem, "０１２３４５６７８９", "0123456789")
-
-    def title(c: Column) -> Column:
-        c = F.regexp_replace(F.regexp_replace(c, r"(?i)\.(pdf|json)$", ""), r"(?i)[_\s-]*e\d+$", "")
-        c = F.regexp_replace(F.regexp_replace(c, r"^[\s_-]+|[\s_-]+$", ""), r"\s+", "")
-        return F.when(c == "", "未命名").otherwise(c)
-
-    chapter = F.regexp_extract(stem, r"第\s*(\d{1,2})\s*章[\s_-]*(.+)$", 1).try_cast("int")
-    exercise = F.regexp_extract(stem, r"(?i)^ch(\d{1,2})[\s_-]*習題解答", 1).try_cast("int")
-    module = F.regexp_extract(stem, r"(?i)模組\s*\d+[\s_-]*[-_－:：]?\s*(.+)$", 1)
-    is_module = (module != "") | F.contains(stem, F.lit("網路安全簡介"))
-    plain = F.regexp_replace(stem, r"(?i)^ipas[\s_-]*", "")
-    two = lambda n: F.lpad(n.cast("string"), 2, "0")
-    unit = (
-        F.when(chapter.isNotNull(), F.concat_ws("_", two(chapter), title(F.regexp_extract(stem, r"第\s*(\d{1,2})\s*章[\s_-]*(.+)$", 2))))
-        .when(exercise.isNotNull(), F.concat_ws("_", two(exercise), F.lit("習題解答")))
-        .when(is_module, F.concat(F.lit("M_"), title(F.when(module != "", module).otherwise(plain))))
-        .when(F.rlike(stem, F.lit(EXAM)), "SKIP")
-        .otherwise("UNMATCHED")
-    )
-    category = F.when(chapter.isNotNull() | exercise.isNotNull(), "章節").when(is_module, "模組").when(unit == "SKIP", "題庫").otherwise("UNMATCHED")
-    return {"unit": unit, "category": category, "chapter_no": F.coalesce(chapter, exercise), "is_exercise": chapter.isNull() & exercise.isNotNull()}
+    """unit, category, chapter_no and is_exercise of a source file's name: the first of UNIT_FORMS that fits."""
+    stem = F.translate(F.regexp_replace(file, r"^.*[/\\\\]|\.(?i:pdf|json)$", ""), "０１２３４５６７８９", "0123456789")
+
+    def part(pattern: str, name: str) -> Column:
+        groups = re.findall(r"\((?!\?)|\(\?<([a-z]+)>", pattern)
+        return F.regexp_extract(stem, pattern, groups.index(name) + 1) if name in groups else F.lit("")
+
+    def named(pattern: str) -> Column:
+        """The title without a suffix, marks at its ends and white space."""
+        bare = F.regexp_replace(part(pattern, "title"), r"(?i)^[\s_-]+|[\s_-]*(?:e\d+)?(?:\.(?:pdf|json))?[\s_-]*$|\s+", "")
+        return F.coalesce(F.nullif(bare, F.lit("")), F.lit(UNTITLED))
+
+    found = []
+    for category, pattern in UNIT_FORMS:
+        no = part(pattern, "no").try_cast("int")
+        prefix = F.coalesce(F.lpad(no.cast("string"), 2, "0"), F.lit("M"))
+        unit = F.lit(SKIPPED) if category == "題庫" else F.concat_ws("_", prefix, named(pattern))
+        exercise = F.lit("習題解答" in pattern)
+        found.append(F.when(F.rlike(stem, F.lit(pattern)), F.struct(unit.alias("unit"), F.lit(category).alias("category"), no.alias("chapter_no"), exercise.alias("is_exercise"))))
+    other = F.struct(F.lit(UNKNOWN).alias("unit"), F.lit(UNKNOWN).alias("category"), F.lit(None).cast("int").alias("chapter_no"), F.lit(False).alias("is_exercise"))
+    first = F.coalesce(*found, F.when(file.isNotNull(), other))
+    return {name: first[name] for name in ("unit", "category", "chapter_no", "is_exercise")}
 
 
 def answer_letters(c: Column) -> Column:

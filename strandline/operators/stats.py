@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators.graph import staged
+from strandline.operators.ranges import running
+from strandline.sources.staging import shared_dir
+
 
 def entropy(rows: DataFrame, group: str, kind: str) -> DataFrame:
     """Shannon entropy in bits of ``kind`` in each group."""
@@ -15,18 +20,20 @@ def entropy(rows: DataFrame, group: str, kind: str) -> DataFrame:
     return counts.withColumn("p", p).groupBy(group).agg(F.sum("n").alias("n"), F.round(-F.sum(F.col("p") * F.log2("p")), 6).alias("entropy"))
 
 
-def log_factorials(spark, most: int) -> DataFrame:
-    """x and ln(x!) up to ``most``. One task builds the prefix sums; the table is as long as the largest population."""
-    values = [0.0]
-    for x in range(1, most + 1):
-        values.append(values[-1] + math.log(x))
-    return spark.createDataFrame([(values,)], "lf ARRAY<DOUBLE>")
+SMALL = 16  # factorials below are exact
+
+
+def log_factorial(x: Column) -> Column:
+    """ln(x!) of a whole number: exact below SMALL, by Stirling's series (error below 1e-11) from there on."""
+    x = x.cast("double")
+    table = F.array(*(F.lit(math.lgamma(i + 1)) for i in range(SMALL)))
+    series = x * F.log(x) - x + 0.5 * F.log(2 * math.pi * x) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+    return F.when(x < 0, F.lit(None)).when(x < SMALL, F.get(table, x.cast("int"))).otherwise(series)
 
 
-def hypergeometric_tail(k: Column, draws: Column, good: Column, total: Column, lf: Column) -> Column:
-    """P(X >= k) of ``draws`` from ``total`` with ``good`` hits; lf: ln(x!) by x."""
-    at = lambda x: F.get(lf, x.cast("int"))
-    choose = lambda n, r: at(n) - at(r) - at(n - r)
+def hypergeometric_tail(k: Column, draws: Column, good: Column, total: Column) -> Column:
+    """P(X >= k) of ``draws`` from ``total`` with ``good`` hits."""
+    choose = lambda n, r: log_factorial(n) - log_factorial(r) - log_factorial(n - r)
     most = F.least(draws, good)
     first = F.greatest(k, draws + good - total, F.lit(0))
     term = lambda x: F.exp(choose(good, x) + choose(total - good, draws - x) - choose(total, draws))
@@ -41,9 +48,8 @@ def enrichment(rows: DataFrame, group: str, kind: str, total: int) -> DataFrame:
     grid = groups.join(F.broadcast(kinds), how="cross")  # kinds are entity types, a handful
     counts = rows.groupBy(group, kind).agg(F.count("*").alias("k"))
     table = grid.join(counts, [group, kind], "left").withColumn("k", F.coalesce("k", F.lit(0)))
-    table = table.join(F.broadcast(log_factorials(rows.sparkSession, total)), how="cross")
-    p = hypergeometric_tail(F.col("k"), F.col("n_group"), F.col("n_kind"), F.lit(total).cast("long"), F.col("lf"))
-    table = table.withColumn("p", p).drop("lf")
+    p = hypergeometric_tail(F.col("k"), F.col("n_group"), F.col("n_kind"), F.lit(total).cast("long"))
+    table = table.withColumn("p", p)
     return bh(table, [group, kind]).withColumn("expected", F.col("n_group") * F.col("n_kind") / F.lit(total))
 
 
@@ -59,8 +65,9 @@ def two_sample(rows: DataFrame, value: str, is_a: Column) -> DataFrame:
     """Sizes, means, deviations, medians, Welch's t, Mann-Whitney's U (average ranks of ties) and Cohen's d of two samples."""
     counts = rows.select(F.col(value).alias("v"), is_a.alias("a")).groupBy("v").agg(F.sum(F.col("a").cast("long")).alias("na"), F.count("*").alias("n"))
     # Ranks over distinct values; a value's rank is the mean of the places that its rows take.
-    before = F.coalesce(F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.withColumn("r", before + (F.col("n") + 1) / 2).agg(F.sum(F.col("na") * F.col("r")).alias("rank_sum"))
+    path = f"{shared_dir(rows.sparkSession)}/ranks-{uuid.uuid4().hex}"
+    ranks = running(counts, [F.col("v")], ["n"], lambda df, name: staged(df, f"{path}/{name}"), "values")
+    ranks = ranks.withColumn("r", F.col("_before_n") + (F.col("n") + 1) / 2).agg(F.sum(F.col("na") * F.col("r")).alias("rank_sum"))
     side = lambda c: [f(F.when(c, F.col(value))) for f in (F.count, F.avg, F.stddev_samp, F.median)]
     names = [f"{s}_{x}" for x in ("n", "mean", "sd", "median") for s in ("a", "b")]
     columns = [c for pair in zip(side(is_a), side(~is_a)) for c in pair]

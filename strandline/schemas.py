@@ -1,30 +1,19 @@
 """Schemas of triple files and decision tables; always given, never inferred."""
 
-
-def columns(fields: dict[str, str]) -> str:
-    return ", ".join(f"{k} {v}" for k, v in fields.items())
-
-
-def struct(fields: dict[str, str]) -> str:
-    return f"STRUCT<{', '.join(f'{k}: {v}' for k, v in fields.items())}>"
-
-
-_ENTITY = struct({"name": "STRING", "type": "STRING"})
-_SHOWN = struct({"name": "STRING", "type": "STRING", "display_name": "STRING"})
-_SOURCE = {"reasoning": "STRING", "source_id": "STRING", "source_file": "STRING", "source_index": "INT"}
-_RAW = {"subject": _ENTITY, "relation": "STRING", "object": _ENTITY, **_SOURCE}
-_STEPS = {
-    "step_1": ["step_1_list_check", "step_2_alignment_check", "response", "reason"],
-    "step_2": ["granularity_analysis", "response", "standard_subject", "standard_object", "reason"],
-    "step_3": ["step_1_rule_matching", "response", "reason"],
-}
-
-RAW_TRIPLE = columns(_RAW)
-VALIDATED_TRIPLE = columns(
-    {"subject": _SHOWN, "relation": "STRING", "object": _SHOWN, **_SOURCE}
-    | {"validation_history": struct({step: struct(dict.fromkeys(names, "STRING")) for step, names in _STEPS.items()})}
-    | {"reject_reason": "STRING", "original_raw_triple": struct(_RAW)}
+# The fields of the files.
+RAW_TRIPLE = (
+    "subject STRUCT<name: STRING, type: STRING>, relation STRING, object STRUCT<name: STRING, type: STRING>, "
+    "reasoning STRING, source_id STRING, source_file STRING, source_index INT"
 )
-MERGE_DECISION = columns(
-    {"name_a": "STRING", "type_a": "STRING", "name_b": "STRING", "type_b": "STRING", "similarity": "DOUBLE", "decision": "STRING", "confidence": "DOUBLE", "reason": "STRING"}
+VALIDATED_TRIPLE = (
+    "subject STRUCT<name: STRING, type: STRING, display_name: STRING>, relation STRING, object STRUCT<name: STRING, type: STRING, display_name: STRING>, "
+    "reasoning STRING, source_id STRING, source_file STRING, source_index INT, "
+    "validation_history STRUCT<"
+    "step_1: STRUCT<step_1_list_check: STRING, step_2_alignment_check: STRING, response: STRING, reason: STRING>, "
+    "step_2: STRUCT<granularity_analysis: STRING, response: STRING, standard_subject: STRING, standard_object: STRING, reason: STRING>, "
+    "step_3: STRUCT<step_1_rule_matching: STRING, response: STRING, reason: STRING>>, "
+    "reject_reason STRING, "
+    "original_raw_triple STRUCT<subject: STRUCT<name: STRING, type: STRING>, relation: STRING, object: STRUCT<name: STRING, type: STRING>, "
+    "reasoning: STRING, source_id: STRING, source_file: STRING, source_index: INT>"
 )
+MERGE_DECISION = "name_a STRING, type_a STRING, name_b STRING, type_b STRING, similarity DOUBLE, decision STRING, confidence DOUBLE, reason STRING"
