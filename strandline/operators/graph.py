@@ -22,12 +22,18 @@ def staged(df: DataFrame, path: str) -> DataFrame:
 
 
 def fold_nodes(mentions: DataFrame, keys: list[str]) -> DataFrame:
-    """Mentions (keys, display, ord, source) folded to a node per key: the first display, all sources in order."""
+    """Mentions (keys, display, ord, source) folded to a node per key: the first display and source, and how many there are. No list is
+    gathered, so that a hub's mentions are aggregated in part before the shuffle."""
     return mentions.groupBy(*keys).agg(
-        F.min_by("display", "ord").alias("display"), F.count("*").alias("n_mentions"), F.array_sort(F.collect_list(F.struct("ord", "source"))).alias("sources")
+        F.min_by("display", "ord").alias("display"), F.count("*").alias("n_mentions"), F.min("ord").alias("first_ord"), F.min_by("source", "ord").alias("first_source"), F.count("source").alias("n_sources")
     )
 
 
+def fold_sources(mentions: DataFrame, keys: list[str]) -> DataFrame:
+    """The sources of each node (keys, ord, source) in rows, each source as often as it is mentioned; sorted on reading by (keys, ord)."""
+    return mentions.where(F.col("source").isNotNull()).select(*keys, "ord", "source")
+
+
 def fold_nodes_by_name(mentions: DataFrame) -> DataFrame:
     """A node per name alone: the first mention's label and display win."""
     return mentions.groupBy("name").agg(F.min_by("label", "ord").alias("label"), F.min_by("display", "ord").alias("display"), F.count("*").alias("n_mentions"))

@@ -59,8 +59,7 @@ def kg_structure(spark, sf):
 
 @query(f"WITH {MENTIONS_SQL} SELECT label, name, arg_min(display, ord) display, count(*) n_mentions, min(ord) first_ord, arg_min(source, ord) first_source, count(source) n_sources FROM mentions GROUP BY 1, 2")
 def kg_node_fold(spark, sf):
-    rows = graph.fold_nodes(mentions(spark, sf), ["label", "name"])
-    return rows.select("label", "name", "display", "n_mentions", F.col("sources")[0]["ord"].alias("first_ord"), F.col("sources")[0]["source"].alias("first_source"), F.size("sources").cast("long").alias("n_sources"))
+    return graph.fold_nodes(mentions(spark, sf), ["label", "name"])
 
 
 @query(f"WITH {MENTIONS_SQL} SELECT name, arg_min(label, ord) label, arg_min(display, ord) display, count(*) n_mentions FROM mentions GROUP BY 1")

@@ -304,6 +304,49 @@ def threshold_steps(spark, sf):
     return rows.withColumns({"step": F.lag("n").over(Window.orderBy("t")) - F.col("n"), "best": F.col("parts") == F.max("parts").over(Window.partitionBy())})
 
 
+@query("""WITH s AS (SELECT l_linenumber t, count(*) n, count(DISTINCT l_partkey) parts FROM lineitem GROUP BY 1)
+    SELECT a.t t_from, b.t t_to, b.n - a.n n_diff, b.parts - a.parts parts_diff FROM s a JOIN s b ON a.t < b.t""")
+def threshold_pairs(spark, sf):
+    """Differences of all pairs of thresholds, later less earlier. A row per threshold, of which there are a handful."""
+    rows = table(spark, sf, "lineitem").groupBy(F.col("l_linenumber").alias("t")).agg(F.count("*").alias("n"), F.countDistinct("l_partkey").alias("parts"))
+    a, b = rows.alias("a"), rows.alias("b")
+    return a.join(b, F.col("a.t") < F.col("b.t")).select(
+        F.col("a.t").alias("t_from"), F.col("b.t").alias("t_to"), (F.col("b.n") - F.col("a.n")).alias("n_diff"), (F.col("b.parts") - F.col("a.parts")).alias("parts_diff")
+    )
+
+
+@query("""SELECT user_id, count(*) FILTER (value >= 50) correct, count(*) FILTER (value < 50) missed, greatest(0, 3 - count(*) FILTER (value < 50)) lives FROM events GROUP BY 1""")
+def quiz_score(spark, sf):
+    """Right and wrong answers of a user, and the lives that are left of three."""
+    right = F.col("value") >= 50
+    rows = table(spark, sf, "events").groupBy("user_id").agg(F.count_if(right).alias("correct"), F.count_if(F.col("value") < 50).alias("missed"))
+    return rows.withColumn("lives", F.greatest(F.lit(0).cast("long"), 3 - F.col("missed")))
+
+
+@query("""WITH ids AS (SELECT DISTINCT CASE WHEN p_size % 2 = 0 THEN p_size::VARCHAR ELSE p_brand END id FROM part)
+    SELECT id, row_number() OVER (ORDER BY try_cast(id AS DOUBLE) IS NULL, try_cast(id AS DOUBLE), id) place FROM ids""")
+def id_order(spark, sf):
+    """Ids in order: numbers first, by value, then texts. The ids are those of a report, sizes and brands."""
+    ids = table(spark, sf, "part").select(F.when(F.col("p_size") % 2 == 0, F.col("p_size").cast("string")).otherwise(F.col("p_brand")).alias("id")).distinct()
+    number = F.col("id").try_cast("double")
+    return ids.withColumn("place", F.row_number().over(Window.orderBy(number.isNull(), number, "id")).cast("long"))
+
+
+@query("""SELECT count(*) "before", count(DISTINCT lower(trim(p_name))) "after", round((count(*) - count(DISTINCT lower(trim(p_name)))) / count(*), 4) reduction FROM part""")
+def node_reduction(spark, sf):
+    """The share of names that fall away when equal ones are merged."""
+    rows = table(spark, sf, "part").agg(F.count("*").alias("before"), F.countDistinct(fn.name_key(F.col("p_name"))).alias("after"))
+    return rows.withColumn("reduction", F.round((F.col("before") - F.col("after")) / F.col("before"), 4))
+
+
+@query("""SELECT file, count(DISTINCT node) nodes FROM (SELECT l_returnflag || '/' || l_linenumber file, unnest(['s' || l_suppkey, 'p' || l_partkey]) node FROM lineitem) GROUP BY 1""")
+def nodes_per_source(spark, sf):
+    """Distinct nodes at either end of the edges that a source file gives."""
+    ends = F.array(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")), F.concat(F.lit("p"), F.col("l_partkey").cast("string")))
+    rows = table(spark, sf, "lineitem").select(F.concat_ws("/", "l_returnflag", F.col("l_linenumber").cast("string")).alias("file"), F.explode(ends).alias("node"))
+    return rows.groupBy("file").agg(F.countDistinct("node").alias("nodes"))
+
+
 @query("SELECT user_id, event_type, max(event_id) AS last FROM events GROUP BY 1, 2 HAVING count(*) % 2 = 1")
 def toggle_state(spark, sf):
     return evidence.toggled(table(spark, sf, "events"), ["user_id", "event_type"], F.col("event_id"))
