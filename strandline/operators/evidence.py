@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.functions.text import lenient_json
+from strandline.models import Client, ask
 from strandline.operators.graph import staged
 from strandline.sources.staging import shared_dir
 
@@ -75,6 +77,71 @@ def first_wins(triples: DataFrame) -> DataFrame:
     return triples.groupBy("qid").applyInPandas(work, triples.schema)
 
 
+# The fields of answers, and the form of a line where there is no JSON.
+CLAIMS = "STRUCT<sub_claims: ARRAY<STRUCT<sentence: STRING, entities: ARRAY<STRING>>>>"
+RELATIONS = "STRUCT<selected_relations: ARRAY<STRING>>"
+CLAIM_LINE = r"^\d+\.\s*(.+?)\s*[,，]?\s*Entity\s*set\s*[:：]\s*\[(.*?)\]\s*$"
+MOST_ENTITIES, MOST_RELATIONS = 2, 10
+
+
+def sub_claims(answers: DataFrame) -> DataFrame:
+    """qid, place (from 1), sentence, entities (at most MOST_ENTITIES) of answers (qid, answer): from JSON, else from lines of CLAIM_LINE. Claims without sentence or entity are left out."""
+    tidy = lambda names: F.slice(F.filter(F.transform(names, lambda x: F.trim(x)), lambda x: x != ""), 1, MOST_ENTITIES)
+    claim = lambda sentence, names: F.struct(F.trim(sentence).alias("sentence"), tidy(names).alias("entities"))
+    whole = lambda claims: F.filter(claims, lambda c: (c["sentence"] != "") & (F.size(c["entities"]) > 0))
+    stated = F.from_json(lenient_json(F.col("answer"), array_first=False), CLAIMS)["sub_claims"]
+    stated = whole(F.transform(stated, lambda c: claim(c["sentence"], F.coalesce(c["entities"], F.array().cast("array<string>")))))
+
+    def of_line(line):
+        names = F.transform(F.split(F.regexp_extract(line, CLAIM_LINE, 2), "##"), lambda x: F.btrim(F.trim(x), F.lit("'\"")))
+        return claim(F.regexp_replace(F.regexp_extract(line, CLAIM_LINE, 1), "[,，。 ]+$", ""), names)
+
+    lines = F.filter(F.transform(F.split("answer", "\r?\n"), lambda x: F.trim(x)), lambda x: F.rlike(x, F.lit(CLAIM_LINE)))
+    both = F.when(F.size(stated) > 0, stated).otherwise(whole(F.transform(lines, of_line)))
+    rows = answers.select("qid", F.posexplode(both).alias("_pos", "_c"))
+    return rows.select("qid", (F.col("_pos") + 1).alias("place"), "_c.sentence", "_c.entities")
+
+
+def chosen_relations(answer: Column, candidates: Column) -> Column:
+    """The candidates that an answer names, in its order, at most MOST_RELATIONS: from JSON, else from its first list in brackets, else the first candidates."""
+    bare = lambda names: F.transform(names, lambda x: F.btrim(F.trim(x), F.lit("'\"")))
+    stated = bare(F.from_json(lenient_json(answer, array_first=False), RELATIONS)["selected_relations"])
+    listed = bare(F.split(F.regexp_extract(answer, r"\[([^\[\]]*)\]", 1), ","))
+    valid = lambda names: F.filter(names, lambda x: F.array_contains(candidates, x))
+    found = F.when(F.size(valid(stated)) > 0, valid(stated)).when(F.size(valid(listed)) > 0, valid(listed)).otherwise(candidates)
+    return F.slice(found, 1, MOST_RELATIONS)
+
+
+def retrieve(questions: DataFrame, nodes: DataFrame, edges: DataFrame, claims_by: Client, relations_by: Client, again: Client | None = None) -> tuple[DataFrame, DataFrame]:
+    """Evidence for questions (qid long, stem) from a graph, and what became of each question.
+
+    Claims are asked for and parsed, with ``again`` once more for questions without one; their entities are linked to nodes; the relations that touch them are
+    chosen by a model where there are more than MOST_RELATIONS; triples around them over these come first, then those one hop further; of equal ones the first
+    counts, and first_wins thins them. Returns evidence (qid, head, rel, tail, ord) and outcomes (qid, outcome, n_claims), outcome first, retry or failed.
+    """
+    root = f"{shared_dir(questions.sparkSession)}/strandline/evidence-{uuid.uuid4().hex}"
+    claims = staged(sub_claims(ask(questions, "qid", "stem", claims_by)).withColumn("outcome", F.lit("first")), f"{root}/claims")
+    if again:
+        rest = questions.join(claims.select("qid"), "qid", "left_anti")
+        claims = claims.unionByName(staged(sub_claims(ask(rest, "qid", "stem", again)).withColumn("outcome", F.lit("retry")), f"{root}/retry"))
+    claims = claims.withColumn("cid", F.concat_ws("#", "qid", "place"))
+    linked = link_entities(claims.select(F.col("cid").alias("qid"), F.explode("entities").alias("mention")), nodes)
+    linked = staged(linked.select("qid", "id").distinct(), f"{root}/linked")
+    found = relation_candidates(linked, edges)
+    few = found.where(F.size("relations") <= MOST_RELATIONS)
+    many = found.where(F.size("relations") > MOST_RELATIONS)
+    prompts = many.join(claims.select(F.col("cid").alias("qid"), "sentence"), "qid").withColumn("prompt", F.concat_ws("\n", "sentence", F.array_join("relations", ", ")))
+    picked = many.join(ask(prompts, "qid", "prompt", relations_by), "qid").select("qid", chosen_relations(F.col("answer"), F.col("relations")).alias("relations"))
+    over = few.unionByName(picked).select("qid", F.explode("relations").alias("rel"))
+    near = expand(linked, edges).join(over, ["qid", "rel"], "left_semi").join(claims.select(F.col("cid").alias("qid"), F.col("qid").alias("of"), "place"), "qid")
+    near = staged(near.groupBy(F.col("of").alias("qid"), "head", "rel", "tail").agg(F.min("place").alias("place")).withColumn("hop", F.lit(1)), f"{root}/near")
+    far = hop(near.select("qid", "head", "rel", "tail"), edges).withColumns({"place": F.lit(0), "hop": F.lit(2)})
+    every = near.unionByName(far).groupBy("qid", "head", "rel", "tail").agg(F.min(F.struct("hop", "place")).alias("o"))
+    ordered = every.withColumn("ord", F.row_number().over(Window.partitionBy("qid").orderBy("o.hop", "o.place", "rel", "head", "tail"))).drop("o")
+    outcomes = questions.select("qid").join(claims.groupBy("qid").agg(F.min("outcome").alias("outcome"), F.count("*").alias("n_claims")), "qid", "left")
+    return first_wins(ordered), outcomes.select("qid", F.coalesce("outcome", F.lit("failed")).alias("outcome"), F.coalesce("n_claims", F.lit(0)).alias("n_claims"))
+
+
 PRIME = 2**61 - 1  # above any number of pairs
 
 

@@ -52,3 +52,17 @@ def changes(pairs: DataFrame, fields: list[str]) -> DataFrame:
 def resume(work: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """What is still to do: work without a row of the same keys in done."""
     return work.join(done.select(*keys).distinct(), keys, "left_anti")
+
+
+def outcomes(records: DataFrame) -> DataFrame:
+    """What standardisation did to records (has_original, response, and subject, object before as original_ and after): null responses had no such step.
+
+    Names count as changed only where the step was taken; a missing one is empty.
+    """
+    has, taken = F.col("has_original"), F.col("has_original") & F.col("response").isNotNull()
+    named = lambda c: F.coalesce(F.col(c), F.lit(""))
+    renamed = lambda c: F.count_if(taken & (named(c) != named(f"original_{c}"))).alias(f"{c}_renamed")
+    return records.agg(
+        F.count("*").alias("total"), F.count_if(has).alias("with_original"), F.count_if(taken).alias("taken"), F.count_if(taken & (F.col("response") == "duplicate")).alias("duplicate"),
+        F.count_if(taken & (F.col("response") != "duplicate")).alias("correct"), F.count_if(has & F.col("response").isNull()).alias("not_taken"), renamed("subject"), renamed("object"),
+    )

@@ -62,12 +62,10 @@ def structure(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- neighbourhoods and subgraphs
 
 
-def neighbours(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """A row per node: its undirected neighbours as sorted texts rel>id or rel<id; nodes without any stay."""
-    both = edges.select(F.col("src").alias("id"), F.concat_ws("", "rel", F.lit(">"), "dst").alias("n"))
-    both = both.union(edges.where("src <> dst").select("dst", F.concat_ws("", "rel", F.lit("<"), "src")))
-    found = both.groupBy("id").agg(F.array_sort(F.collect_list("n")).alias("list"))
-    return nodes.join(found, "id", "left").select("id", F.coalesce(F.size("list"), F.lit(0)).alias("n"), F.coalesce(F.array_join("list", ","), F.lit("")).alias("neighbours"))
+def neighbour_rows(edges: DataFrame) -> DataFrame:
+    """id, rel, other, way: each node's undirected neighbours in rows, a self-loop once."""
+    out = edges.select(F.col("src").alias("id"), "rel", F.col("dst").alias("other"), F.lit("out").alias("way"))
+    return out.union(edges.where("src <> dst").select("dst", "rel", "src", F.lit("in")))
 
 
 def induced(edges: DataFrame, members: DataFrame) -> DataFrame:
@@ -157,6 +155,41 @@ def path_plan(edges: DataFrame, target: str, learned: list[str]) -> DataFrame:
         seen = staged(seen.union(more), f"{root}/{distance}")
 
 
+def learning_path(edges: DataFrame, layered: DataFrame, target: str, learned: list[str]) -> DataFrame:
+    """id, layer, degree, distance, learned of what leads to target over edges between nodes with a layer (id, layer, degree); low layers, then high degrees first."""
+    found = path_plan(induced(edges, layered.where("layer IS NOT NULL")), target, learned)
+    known = F.col("id").isin(*learned) if learned else F.lit(False)
+    rows = found.join(layered, "id").select("id", "layer", "degree", "distance", known.alias("learned"))
+    return rows.orderBy(F.coalesce("layer", F.lit(0)), F.desc(F.coalesce("degree", F.lit(0))), "distance", "id")
+
+
+def ranked(rows: DataFrame, metrics: list[str]) -> DataFrame:
+    """rows (id, community, metrics) with rank_<metric> within the community: high scores first, then ids."""
+    place = lambda m: F.row_number().over(Window.partitionBy("community").orderBy(F.desc(m), "id"))
+    return rows.withColumns({f"rank_{m}": place(m) for m in metrics})
+
+
+def rewired(edges: DataFrame, into: DataFrame) -> DataFrame:
+    """Edges (src, rel, dst) after nodes (id, into) were merged: ends moved, self-loops dropped, equal ones one, with the number of edges that each stands for."""
+    a, b = into.toDF("src", "to_a"), into.toDF("dst", "to_b")
+    moved = edges.join(a, "src", "left").join(b, "dst", "left").select(F.coalesce("to_a", "src").alias("src"), "rel", F.coalesce("to_b", "dst").alias("dst"))
+    return moved.where("src <> dst").groupBy("src", "rel", "dst").agg(F.count("*").alias("n"))
+
+
+def merged_sources(sources: DataFrame, into: DataFrame) -> DataFrame:
+    """Provenance in rows (id, ord, source) after a merge: a merged node's sources follow those of the node it went into (own, then by ord)."""
+    rows = sources.join(into, "id", "left")
+    return rows.select(F.coalesce("into", "id").alias("id"), F.col("into").isNull().alias("own"), "ord", "source")
+
+
+def united(graphs: list[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    """Several graphs as one: nodes by id, edges by (src, rel, dst), each once."""
+    nodes, edges = graphs[0]
+    for n, e in graphs[1:]:
+        nodes, edges = nodes.unionByName(n), edges.unionByName(e)
+    return nodes.dropDuplicates(["id"]), edges.dropDuplicates(["src", "rel", "dst"])
+
+
 # ---------------------------------------------------------------- per community, sequential by nature
 
 

@@ -20,6 +20,22 @@ def entropy(rows: DataFrame, group: str, kind: str) -> DataFrame:
     return counts.withColumn("p", p).groupBy(group).agg(F.sum("n").alias("n"), F.round(-F.sum(F.col("p") * F.log2("p")), 6).alias("entropy"))
 
 
+def entropy_summary(rows: DataFrame, group: str, kind: str) -> DataFrame:
+    """One row: the entropy of all rows, mean and median of the groups' entropies, the number of groups and of those below the entropy of all."""
+    each = entropy(rows, group, kind)
+    whole = entropy(rows.withColumn("_all", F.lit(0)), "_all", kind).select(F.col("entropy").alias("global_entropy"))  # one row
+    both = each.join(F.broadcast(whole), how="cross")
+    below = F.count_if(F.col("entropy") < F.col("global_entropy"))
+    return both.agg(F.first("global_entropy").alias("global_entropy"), F.avg("entropy").alias("mean_entropy"), F.median("entropy").alias("median_entropy"), F.count("*").alias("groups"), below.alias("below_global"))
+
+
+def matrix(rows: DataFrame, unit: str, group: str) -> DataFrame:
+    """unit, group, n, and the totals of the unit and of the group."""
+    counts = rows.groupBy(unit, group).agg(F.count("*").alias("n"))
+    units, groups = counts.groupBy(unit).agg(F.sum("n").alias("unit_total")), counts.groupBy(group).agg(F.sum("n").alias("group_total"))
+    return counts.join(units, unit).join(groups, group).select(unit, group, "n", "unit_total", "group_total")
+
+
 SMALL = 16  # factorials below are exact
 
 
@@ -31,6 +47,52 @@ def log_factorial(x: Column) -> Column:
     return F.when(x < 0, F.lit(None)).when(x < SMALL, F.get(table, x.cast("int"))).otherwise(series)
 
 
+def log_gamma(x: Column) -> Column:
+    """ln of the gamma function of a positive number: Stirling's series at x + SMALL, less the factors between."""
+    x = x.cast("double")
+    y = x + SMALL
+    series = (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5)
+    return series - F.aggregate(F.sequence(F.lit(0), F.lit(SMALL - 1)), F.lit(0.0), lambda acc, i: acc + F.log(x + i))
+
+
+def normal_tails(z: Column) -> Column:
+    """P(|Z| >= |z|) of a standard normal Z: a series for small z, a continued fraction beyond, which keeps small tails exact."""
+    x = F.abs(z) / math.sqrt(2)
+
+    def step(s: Column, n: Column) -> Column:
+        term = s["term"] * 2 * x * x / (2 * n + 3)
+        return F.struct(term.alias("term"), (s["sum"] + term).alias("sum"))
+
+    series = F.aggregate(F.sequence(F.lit(0), F.lit(80)), F.struct(x.alias("term"), x.alias("sum")), step)["sum"]
+    fraction = F.aggregate(F.sequence(F.lit(80), F.lit(1), F.lit(-1)), x, lambda acc, k: x + k / 2 / acc)
+    density = F.exp(-x * x) / math.sqrt(math.pi)
+    return F.when(x < 3, 1 - 2 * density * series).otherwise(density / fraction)
+
+
+NORMAL_FROM = 10_000  # degrees of freedom from which t is taken for normal after a correction of its first order
+
+
+def student_tails(t: Column, df: Column) -> Column:
+    """P(|T| >= |t|) of Student's t: the incomplete beta function as a continued fraction."""
+    t, df = F.abs(t).cast("double"), df.cast("double")
+
+    def beta(x: Column, a: Column, b: Column) -> Column:
+        def part(acc: Column, n: Column) -> Column:
+            m = F.floor(n / 2)
+            even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+            odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+            return 1 + F.when(n % 2 == 0, even).otherwise(odd) / acc
+
+        fraction = F.aggregate(F.sequence(F.lit(600), F.lit(1), F.lit(-1)), F.lit(1.0), part)
+        front = F.exp(a * F.log(x) + b * F.log(1 - x) + log_gamma(a + b) - log_gamma(a) - log_gamma(b)) / a
+        return front / fraction
+
+    x, a, b = df / (df + t * t), df / 2, F.lit(0.5)
+    exact = F.when(x < (a + 1) / (a + b + 2), beta(x, a, b)).otherwise(1 - beta(1 - x, b, a))
+    near = normal_tails(t * (1 - 1 / (4 * df)) / F.sqrt(1 + t * t / (2 * df)))
+    return F.when(t == 0, 1.0).when(df >= NORMAL_FROM, near).otherwise(exact)
+
+
 def hypergeometric_tail(k: Column, draws: Column, good: Column, total: Column) -> Column:
     """P(X >= k) of ``draws`` from ``total`` with ``good`` hits."""
     choose = lambda n, r: log_factorial(n) - log_factorial(r) - log_factorial(n - r)
@@ -62,12 +124,15 @@ def bh(table: DataFrame, order: list[str]) -> DataFrame:
 
 
 def two_sample(rows: DataFrame, value: str, is_a: Column) -> DataFrame:
-    """Sizes, means, deviations, medians, Welch's t, Mann-Whitney's U (average ranks of ties) and Cohen's d of two samples."""
+    """Sizes, means, deviations, medians, Welch's t and Mann-Whitney's U (average ranks of ties) with their p of both sides, and Cohen's d of two samples.
+
+    U's z is corrected for ties and continuity.
+    """
     counts = rows.select(F.col(value).alias("v"), is_a.alias("a")).groupBy("v").agg(F.sum(F.col("a").cast("long")).alias("na"), F.count("*").alias("n"))
     # Ranks over distinct values; a value's rank is the mean of the places that its rows take.
     path = f"{shared_dir(rows.sparkSession)}/ranks-{uuid.uuid4().hex}"
     ranks = running(counts, [F.col("v")], ["n"], lambda df, name: staged(df, f"{path}/{name}"), "values")
-    ranks = ranks.withColumn("r", F.col("_before_n") + (F.col("n") + 1) / 2).agg(F.sum(F.col("na") * F.col("r")).alias("rank_sum"))
+    ranks = ranks.withColumn("r", F.col("_before_n") + (F.col("n") + 1) / 2).agg(F.sum(F.col("na") * F.col("r")).alias("rank_sum"), F.sum(F.pow("n", F.lit(3)) - F.col("n")).alias("ties"))
     side = lambda c: [f(F.when(c, F.col(value))) for f in (F.count, F.avg, F.stddev_samp, F.median)]
     names = [f"{s}_{x}" for x in ("n", "mean", "sd", "median") for s in ("a", "b")]
     columns = [c for pair in zip(side(is_a), side(~is_a)) for c in pair]
@@ -76,8 +141,12 @@ def two_sample(rows: DataFrame, value: str, is_a: Column) -> DataFrame:
     t = (F.col("a_mean") - F.col("b_mean")) / F.sqrt(va / F.col("a_n") + vb / F.col("b_n"))
     u = F.col("rank_sum") - F.col("a_n") * (F.col("a_n") + 1) / 2
     d = (F.col("a_mean") - F.col("b_mean")) / F.sqrt((va + vb) / 2)
-    z = (F.abs(u - F.col("a_n") * F.col("b_n") / 2) - 0.5) / F.sqrt(F.col("a_n") * F.col("b_n") * (F.col("a_n") + F.col("b_n") + 1) / 12)
-    return base.select(*names, t.alias("t"), u.alias("u"), d.alias("d"), z.alias("u_z"))
+    n = F.col("a_n") + F.col("b_n")
+    sigma = F.sqrt(F.col("a_n") * F.col("b_n") / 12 * (n + 1 - F.col("ties") / (n * (n - 1))))
+    z = F.greatest(F.abs(u - F.col("a_n") * F.col("b_n") / 2) - 0.5, F.lit(0.0)) / sigma
+    df = (va / F.col("a_n") + vb / F.col("b_n")) ** 2 / ((va / F.col("a_n")) ** 2 / (F.col("a_n") - 1) + (vb / F.col("b_n")) ** 2 / (F.col("b_n") - 1))
+    found = base.select(*names, t.alias("t"), df.alias("df"), u.alias("u"), z.alias("u_z"), d.alias("d"))
+    return found.withColumns({"t_p": student_tails(F.col("t"), F.col("df")), "u_p": normal_tails(F.col("u_z"))})
 
 
 def dominant(rows: DataFrame, group: str, unit: str) -> DataFrame:

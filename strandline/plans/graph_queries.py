@@ -106,9 +106,13 @@ def ontology_rejected(spark, sf):
 
 
 @query(G0 + """, b AS (SELECT src id, rel || '>' || dst n FROM edges UNION ALL SELECT dst, rel || '<' || src FROM edges WHERE src <> dst)
-    SELECT nodes.id, count(b.n) n, md5(coalesce(string_agg(b.n, ',' ORDER BY b.n), '')) neighbours FROM nodes LEFT JOIN b USING (id) GROUP BY 1""")
+    SELECT nodes.id, count(b.n) n, min(b.n) first_neighbour, coalesce(sum(('0x' || md5(b.n)[1:8])::BIGINT), 0)::BIGINT digest FROM nodes LEFT JOIN b USING (id) GROUP BY 1""")
 def neighbours(spark, sf):
-    return graph.neighbours(nodes(spark, sf), edges(spark, sf)).select("id", F.col("n").cast("long").alias("n"), F.md5("neighbours").alias("neighbours"))
+    """Every node's neighbours as a count, the first and a digest that takes no order, so that a hub's are aggregated in part before the shuffle."""
+    rows = graph.neighbour_rows(edges(spark, sf)).withColumn("t", F.concat("rel", F.when(F.col("way") == "out", ">").otherwise("<"), "other"))
+    digest = F.sum(F.conv(F.substring(F.md5("t"), 1, 8), 16, 10).cast("long"))
+    found = rows.groupBy("id").agg(F.count("*").alias("n"), F.min("t").alias("first_neighbour"), digest.alias("digest"))
+    return nodes(spark, sf).select("id").join(found, "id", "left").fillna(0, ["n", "digest"])
 
 
 @query(G0 + " SELECT src, rel, dst FROM edges WHERE src IN (SELECT id FROM nodes WHERE community = 7) AND dst IN (SELECT id FROM nodes WHERE community = 7)")
@@ -177,17 +181,18 @@ def community_sizes(spark, sf):
 
 @query("""WITH u AS (SELECT o_custkey, o_orderpriority p FROM orders) SELECT a.p unit, b.p other, count(*) n FROM u a JOIN u b ON a.o_custkey = b.o_custkey AND a.p <> b.p GROUP BY 1, 2""")
 def chapter_cross_degree(spark, sf):
-    """Lists of units on both ends of an edge, unnested; what repeats in the lists multiplies."""
-    orders = table(spark, sf, "orders").groupBy("o_custkey").agg(F.collect_list("o_orderpriority").alias("units"))
-    pairs = orders.select(F.explode("units").alias("unit"), "units").select("unit", F.explode("units").alias("other")).where("unit <> other")
-    return pairs.groupBy("unit", "other").agg(F.count("*").alias("n"))
+    """Units on both ends of an edge; what repeats multiplies. Each end's units are counted first, so a hot customer is a few rows, not all pairs of its orders."""
+    counts = table(spark, sf, "orders").groupBy("o_custkey", F.col("o_orderpriority").alias("unit")).agg(F.count("*").alias("k"))
+    pairs = counts.join(counts.toDF("o_custkey", "other", "k_other"), "o_custkey").where("unit <> other")
+    return pairs.groupBy("unit", "other").agg(F.sum(F.col("k") * F.col("k_other")).alias("n"))
 
 
 @query("SELECT a.p unit, count(*) n FROM (SELECT o_custkey, o_orderpriority p FROM orders) a WHERE a.p IN (SELECT o_orderpriority FROM orders o WHERE o.o_custkey = a.o_custkey AND o.o_orderstatus = 'F') GROUP BY 1")
 def membership_join(spark, sf):
     """Units of a list that the other list holds."""
-    by = table(spark, sf, "orders").groupBy("o_custkey").agg(F.collect_list("o_orderpriority").alias("own"), F.collect_set(F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority"))).alias("other"))
-    return by.select(F.explode("own").alias("unit"), "other").where(F.array_contains("other", F.col("unit"))).groupBy("unit").agg(F.count("*").alias("n"))
+    orders = table(spark, sf, "orders")
+    other = orders.where("o_orderstatus = 'F'").select("o_custkey", "o_orderpriority").distinct()
+    return orders.join(other, ["o_custkey", "o_orderpriority"], "left_semi").groupBy(F.col("o_orderpriority").alias("unit")).agg(F.count("*").alias("n"))
 
 
 @query()
@@ -196,18 +201,6 @@ def wcc(spark, sf):
     return graph.components(edges(spark, sf), nodes(spark, sf))
 
 
-PLAN_EDGES_SQL = "SELECT DISTINCT l_orderkey % 97 a, l_suppkey % 89 b, 'N' || (l_orderkey % 97) src, 'N' || (l_suppkey % 89) dst FROM lineitem WHERE l_quantity = 50"
-
-
-@query(f"""WITH RECURSIVE e AS ({PLAN_EDGES_SQL}), r(id, distance) AS (SELECT 'N0', 0 UNION SELECT e.src, r.distance + 1 FROM r JOIN e ON e.dst = r.id
-    WHERE (r.id NOT IN ('N3', 'N5') OR r.id = 'N0') AND r.distance < 12) SELECT id, min(distance)::INT distance FROM r GROUP BY 1""")
-def reverse_path_plan(spark, sf):
-    """A plan over a cut of the line items folded to at most 97 nodes, as its SQL has it; bound_path_plan has the whole graph."""
-    lines = table(spark, sf, "lineitem").where("l_quantity = 50")
-    own = lines.select(F.concat(F.lit("N"), F.col("l_orderkey") % 97).alias("src"), F.concat(F.lit("N"), F.col("l_suppkey") % 89).alias("dst"))
-    return graph.path_plan(own, "N0", ["N3", "N5"])
-
-
 LEARNED = ["customer/Customer#000000003", "supplier/Supplier#000000005", "nation/NATION_7"]
 
 
@@ -218,6 +211,15 @@ def bound_path_plan(spark, sf):
     return nodes(spark, sf).select("id").join(graph.path_plan(edges(spark, sf), "region/ASIA", LEARNED), "id", "left")
 
 
+@query(f"""WITH RECURSIVE {NODES_SQL}, {EDGES_SQL}{LAYER_SQL}, p AS (SELECT src, dst FROM edges WHERE src IN (SELECT id FROM l) AND dst IN (SELECT id FROM l)),
+    r(id, distance) AS (SELECT 'part/Part#7', 0 UNION SELECT src, distance + 1 FROM r JOIN p ON dst = r.id WHERE r.id NOT IN {tuple(LEARNED)})
+    SELECT l.id, layer::BIGINT layer, degree, distance::INT distance, l.id IN {tuple(LEARNED)} learned FROM l JOIN (SELECT id, min(distance) distance FROM r GROUP BY 1) USING (id)""")
+def reverse_path_plan(spark, sf):
+    """What leads to a part over all edges between nodes with a layer, in the order in which to learn it."""
+    layered = graph.intra_degree_layers(edges(spark, sf), nodes(spark, sf)).select("id", F.col("layer").cast("long").alias("layer"), "degree")
+    return graph.learning_path(edges(spark, sf), layered, "part/Part#7", LEARNED)
+
+
 @query(G0 + """, m AS (SELECT count(*)::DOUBLE m FROM edges), c AS (SELECT id, coalesce(community, -1) cid FROM nodes),
     d AS (SELECT cid, count(*) degree FROM (SELECT src id FROM edges UNION ALL SELECT dst FROM edges) JOIN c USING (id) GROUP BY 1),
     i AS (SELECT a.cid, count(*) inside FROM edges JOIN c a ON src = a.id JOIN c b ON dst = b.id WHERE a.cid = b.cid GROUP BY 1)
@@ -229,7 +231,8 @@ def modularity(spark, sf):
 
 @query()
 def centrality(spark, sf):
-    return graph.centrality(edges(spark, sf), nodes(spark, sf).where("community IS NOT NULL"))
+    """Degree, betweenness and closeness within communities, and the rank by each."""
+    return graph.ranked(graph.centrality(edges(spark, sf), nodes(spark, sf).where("community IS NOT NULL")), ["degree", "betweenness", "closeness"])
 
 
 @query()

@@ -119,11 +119,21 @@ def chunk_windows(spark, sf):
     return rows.select("doc_id", "chunk", "n_tokens", F.md5("text").alias("digest"))
 
 
-@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) n FROM documents)
-    SELECT doc_id, n::INT line_no, CASE WHEN regexp_matches(line, 'sk-[A-Za-z0-9_-]{20,}') THEN 'OPENAI_API_KEY' WHEN regexp_matches(line, 'token = "[0-9a-f]{40}"') THEN 'TOKEN' ELSE 'PATH' END kind
-    FROM l WHERE regexp_matches(line, 'nvapi-[A-Za-z0-9_-]{20,}|gsk_[A-Za-z0-9_-]{20,}|AIza[A-Za-z0-9_-]{20,}|sk-(?:proj-|live-)?[A-Za-z0-9_-]{20,}|token = "[0-9a-f]{40}"|\\b[A-Za-z]:[\\\\/]')""")
+ENV_SQL = r"\b(OPENAI_API_KEY|GOOGLE_API_KEY|GEMINI_API_KEY|GROQ_API_KEY(?:_[0-9])?|NVIDIA_API_KEY_[0-9]|NEO4J_PASSWORD)\s*=\s*(.+)"
+
+
+@query(rf"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) n FROM documents),
+    v AS (SELECT *, regexp_extract(line, '{ENV_SQL}', 1) var, regexp_extract(line, '{ENV_SQL}', 2) given, trim(trim(regexp_extract(line, '{ENV_SQL}', 2)), chr(34) || chr(39)) bare FROM l)
+    SELECT doc_id, n::INT line_no, 'NVIDIA_API_KEY' kind FROM l WHERE regexp_matches(line, 'nvapi-[A-Za-z0-9_-]{{20,}}')
+    UNION ALL SELECT doc_id, n::INT, 'GROQ_API_KEY' FROM l WHERE regexp_matches(line, 'gsk_[A-Za-z0-9_-]{{20,}}')
+    UNION ALL SELECT doc_id, n::INT, 'GOOGLE_API_KEY' FROM l WHERE regexp_matches(line, 'AIza[A-Za-z0-9_-]{{20,}}')
+    UNION ALL SELECT doc_id, n::INT, 'OPENAI_API_KEY' FROM l WHERE regexp_matches(line, 'sk-(proj-|live-)?[A-Za-z0-9_-]{{20,}}')
+    UNION ALL SELECT doc_id, n::INT, 'TOKEN' FROM l WHERE regexp_matches(line, 'token = "[0-9a-f]{{40}}"')
+    UNION ALL SELECT doc_id, n::INT, 'PATH' FROM l WHERE regexp_matches(line, '\b[A-Za-z]:[\\/]')
+    UNION ALL SELECT doc_id, n::INT, 'ENV ' || var FROM v WHERE var <> '' AND NOT contains(given, 'getenv(') AND NOT (starts_with(bare, '<') AND ends_with(bare, '>'))
+      AND lower(bare) NOT IN ('', 'your_api_key_here', 'your-key-here', 'replace_me', 'changeme', 'placeholder', 'example', 'none', 'null')""")
 def secret_scan(spark, sf):
-    """A row per line and kind of leak: keys, assignments of secrets, tokens, local paths. The SQL has one kind per line and no assignments; it suits tables without such lines."""
+    """A row per line and kind of leak: keys, assignments of secrets, tokens, local paths."""
     lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     return lines.select("doc_id", (F.col("pos") + 1).alias("line_no"), F.explode(fn.secret_kinds(F.col("line"))).alias("kind"))
 
@@ -231,11 +241,16 @@ def enrichment(spark, sf):
 
 
 @query("""WITH x AS (SELECT o_totalprice v, o_orderstatus = 'F' a FROM orders), r AS (SELECT a, v, avg(i) OVER (PARTITION BY v) r FROM (SELECT *, row_number() OVER (ORDER BY v) i FROM x)),
-    s AS (SELECT count(*) FILTER (a) an, count(*) FILTER (NOT a) bn, avg(v) FILTER (a) am, avg(v) FILTER (NOT a) bm, stddev_samp(v) FILTER (a) asd, stddev_samp(v) FILTER (NOT a) bsd, median(v) FILTER (a) amed, median(v) FILTER (NOT a) bmed, sum(r) FILTER (a) rs FROM r)
-    SELECT an a_n, bn b_n, round(am, 4) a_mean, round(bm, 4) b_mean, round(amed, 4) a_median, round(bmed, 4) b_median, round((am - bm) / sqrt(asd ** 2 / an + bsd ** 2 / bn), 5) t, round(rs - an * (an + 1) / 2, 1) u, round((am - bm) / sqrt((asd ** 2 + bsd ** 2) / 2), 6) d FROM s""")
+    s AS (SELECT count(*) FILTER (a) an, count(*) FILTER (NOT a) bn, avg(v) FILTER (a) am, avg(v) FILTER (NOT a) bm, var_samp(v) FILTER (a) av, var_samp(v) FILTER (NOT a) bv, median(v) FILTER (a) amed, median(v) FILTER (NOT a) bmed, sum(r) FILTER (a) rs FROM r),
+    k AS (SELECT sum(n ** 3 - n) ties FROM (SELECT count(*)::DOUBLE n FROM x GROUP BY v)),
+    q AS (SELECT *, (am - bm) / sqrt(av / an + bv / bn) t, (av / an + bv / bn) ** 2 / ((av / an) ** 2 / (an - 1) + (bv / bn) ** 2 / (bn - 1)) df, rs - an * (an + 1) / 2 u FROM s, k),
+    y AS (SELECT *, greatest(abs(u - an * bn / 2) - 0.5, 0) / sqrt(an * bn / 12 * (an + bn + 1 - ties / ((an + bn) * (an + bn - 1)))) z FROM q)
+    SELECT an a_n, bn b_n, round(am, 4) a_mean, round(bm, 4) b_mean, round(amed, 4) a_median, round(bmed, 4) b_median, round(t, 5) t, round(df, 3) df, round(u, 1) u, round(z, 5) u_z, round((am - bm) / sqrt((av + bv) / 2), 6) d,
+      round(1 - 2 * abs(t) / 50000 * list_sum(list_transform(range(50000), lambda i: exp(lgamma((df + 1) / 2) - lgamma(df / 2) - (df + 1) / 2 * ln(1 + (abs(t) * (i + 0.5) / 50000) ** 2 / df)))) / sqrt(df * pi()), 5) t_p,
+      round(1 - 2 * z / 50000 * list_sum(list_transform(range(50000), lambda i: exp(-0.5 * (z * (i + 0.5) / 50000) ** 2))) / sqrt(2 * pi()), 5) u_p FROM y""")
 def two_sample(spark, sf):
     r = stats.two_sample(table(spark, sf, "orders"), "o_totalprice", F.col("o_orderstatus") == "F")
-    digits = {"a_mean": 4, "b_mean": 4, "a_median": 4, "b_median": 4, "t": 5, "u": 1, "d": 6}
+    digits = {"a_mean": 4, "b_mean": 4, "a_median": 4, "b_median": 4, "t": 5, "df": 3, "u": 1, "u_z": 5, "d": 6, "t_p": 5, "u_p": 5}
     return r.select("a_n", "b_n", *(F.round(c, n).alias(c) for c, n in digits.items()))
 
 

@@ -15,6 +15,27 @@ def read_triples(spark: SparkSession, path: str, schema: str = schemas.RAW_TRIPL
     return rows.where("_corrupt IS NULL AND relation IS NOT NULL").drop("_corrupt")
 
 
+def scan_documents(spark: SparkSession, path: str, pattern: str = "*.{pdf,json}") -> DataFrame:
+    """path, length, modificationTime of all documents below path; their contents aren't read."""
+    rows = spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter=pattern).load(path)
+    return rows.select("path", "length", "modificationTime")
+
+
+def read_texts(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
+    """file, text: each document below path as one text."""
+    rows = spark.read.options(wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern).text(path)
+    return rows.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+
+
+def append_new(rows: DataFrame, keys: list[str], path: str) -> DataFrame:
+    """Appends the rows whose keys the table at path doesn't hold, and returns it: a store that a restarted job goes on with."""
+    spark = rows.sparkSession
+    spark.createDataFrame([], rows.schema).write.mode("append").parquet(path)
+    held = spark.read.schema(rows.schema).parquet(path)
+    rows.join(held.select(*keys).distinct(), keys, "left_anti").select(*rows.columns).write.mode("append").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def originals(validated: DataFrame) -> DataFrame:
     """The triple as it was before validation, where it is kept, else as it is; and whether it was kept."""
     has = F.col("original_raw_triple").isNotNull()
