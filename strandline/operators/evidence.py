@@ -120,6 +120,7 @@ def retrieve(questions: DataFrame, nodes: DataFrame, edges: DataFrame, claims_by
     counts, and first_wins thins them. Returns evidence (qid, head, rel, tail, ord) and outcomes (qid, outcome, n_claims), outcome first, retry or failed.
     """
     root = f"{shared_dir(questions.sparkSession)}/strandline/evidence-{uuid.uuid4().hex}"
+    edges = staged(edges.select("src", "rel", "dst"), f"{root}/edges")
     claims = staged(sub_claims(ask(questions, "qid", "stem", claims_by)).withColumn("outcome", F.lit("first")), f"{root}/claims")
     if again:
         rest = questions.join(claims.select("qid"), "qid", "left_anti")

@@ -141,7 +141,7 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def path_plan(edges: DataFrame, target: str, learned: list[str]) -> DataFrame:
     """id, distance: what leads to target over edges backwards. Learned nodes are reached but not passed, except the target."""
     root = f"{shared_dir(edges.sparkSession)}/strandline/plan-{uuid.uuid4().hex}"
-    back = edges.select("src", "dst").distinct()
+    back = staged(edges.select("src", "dst").distinct(), f"{root}/back")  # so that no step works the edges out again
     seen = staged(edges.sparkSession.createDataFrame([(target, 0)], "id STRING, distance INT"), f"{root}/0")
     distance = 0
     while True:

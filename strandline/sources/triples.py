@@ -23,7 +23,7 @@ def scan_documents(spark: SparkSession, path: str, pattern: str = "*.{pdf,json}"
 
 def read_texts(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
     """file, text: each document below path as one text."""
-    rows = spark.read.options(wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern).text(path)
+    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
     return rows.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
 
 
