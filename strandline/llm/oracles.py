@@ -35,3 +35,36 @@ WITH d AS (SELECT doc_id, {_WORDS} w FROM documents), b AS (SELECT item_id, {_WO
   items AS (SELECT doc_id, count(*) n_items, string_agg(item_id, ',' ORDER BY item_id) ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR item_id FROM hits) GROUP BY 1)
 SELECT doc_id, len(w)::BIGINT n_words, coalesce(n_hit, 0)::BIGINT n_hit, coalesce(n_items, 0)::BIGINT n_items, sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+
+#: Unsigned crc32 of a text, bit by bit.
+_CRC32 = """xor(list_reduce(list_transform(range(1, strlen({0}) + 1), lambda i: ('0x' || substr(hex(encode({0})), (2 * i - 1)::INT, 2))::UBIGINT),
+    lambda a, b: list_reduce(range(8), lambda x, k: xor(x::UBIGINT >> 1, 3988292384::UBIGINT * (x::UBIGINT & 1)), xor(a, b)), 4294967295::UBIGINT), 4294967295::UBIGINT)"""
+
+
+def _leaf(n_chars: str) -> str:
+    fields = ("doc_id::VARCHAR", "source", "lang", f"({n_chars})::VARCHAR", "text")
+    return f"sha256({' || '.join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields)})"
+
+
+OP13 = f"""
+WITH RECURSIVE d AS (SELECT *, row_number() OVER () r, coalesce({_CRC32.format("doc_id::VARCHAR")} % 7 = 0, false) altered FROM documents),
+  leaves AS (SELECT r, doc_id, lang, {_leaf("n_chars")} leaf, CASE WHEN altered THEN {_leaf("n_chars + 1")} ELSE {_leaf("n_chars")} END told FROM d),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, r) - 1 i, count(*) OVER (PARTITION BY lang) n FROM leaves),
+  tree(lang, level, i, node, n) AS (SELECT lang, 0::BIGINT, i, leaf, n FROM placed
+    UNION ALL SELECT lang, level + 1, i // 2, sha256(string_agg(node, '' ORDER BY i)), (n + 1) // 2 FROM tree WHERE n > 1 GROUP BY lang, level, i // 2, n),
+  tops AS (SELECT lang, node, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 i, count(*) OVER () n FROM tree WHERE n = 1),
+  crown(level, i, node, n) AS (SELECT 0::BIGINT, i, node, n FROM tops
+    UNION ALL SELECT level + 1, i // 2, sha256(string_agg(node, '' ORDER BY i)), (n + 1) // 2 FROM crown WHERE n > 1 GROUP BY level, i // 2, n),
+  heights AS (SELECT lang, max(level) h FROM tree GROUP BY 1), steps0 AS (
+    SELECT p.r, l.level step, (p.i >> l.level) & 1 = 1 is_right, s.node sibling FROM placed p JOIN (SELECT DISTINCT lang, level FROM tree WHERE n > 1) l ON l.lang IS NOT DISTINCT FROM p.lang
+      LEFT JOIN tree s ON s.lang IS NOT DISTINCT FROM p.lang AND s.level = l.level AND s.i = xor(p.i >> l.level, 1)
+    UNION ALL SELECT p.r, 1000 + l.level, (t.i >> l.level) & 1 = 1, s.node FROM placed p JOIN tops t ON t.lang IS NOT DISTINCT FROM p.lang, (SELECT DISTINCT level FROM crown WHERE n > 1) l
+      LEFT JOIN crown s ON s.level = l.level AND s.i = xor(t.i >> l.level, 1)),
+  steps AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY step) k FROM steps0),
+  proofs AS (SELECT r, sha256(coalesce(string_agg(sibling, '' ORDER BY k), '')) proof FROM steps GROUP BY 1),
+  fold(r, k, node) AS (SELECT r, 0::BIGINT, told FROM placed
+    UNION ALL SELECT fold.r, steps.k, sha256(CASE WHEN is_right THEN sibling || node ELSE node || coalesce(sibling, '') END) FROM fold JOIN steps ON steps.r = fold.r AND steps.k = fold.k + 1),
+  ends AS (SELECT r, arg_max(node, k) node FROM fold GROUP BY 1)
+SELECT doc_id, leaf, tops.node subroot, crown.node root, coalesce(proof, sha256('')) proof_sha256, ends.node folded_root, ends.node = crown.node verified
+FROM placed p JOIN tops ON tops.lang IS NOT DISTINCT FROM p.lang JOIN crown ON crown.n = 1 JOIN ends USING (r) LEFT JOIN proofs USING (r)"""
