@@ -42,6 +42,22 @@ _CRC32 = """xor(list_reduce(list_transform(range(1, strlen({0}) + 1), lambda i:
     lambda a, b: list_reduce(range(8), lambda x, k: xor(x::UBIGINT >> 1, 3988292384::UBIGINT * (x::UBIGINT & 1)), xor(a, b)), 4294967295::UBIGINT), 4294967295::UBIGINT)"""
 
 
+OP12 = f"""
+WITH RECURSIVE found AS (SELECT coalesce(doc_id::VARCHAR, '') id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]{{6,}}')) w FROM documents),
+  runs AS (SELECT w, id || ':' || w k, count(*) n FROM found GROUP BY id, w),
+  checked AS (SELECT w, n, {_CRC32.format("k")} h FROM runs),
+  words AS (SELECT word, sum(n)::BIGINT n FROM (SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, (h % length(w))::BIGINT) || substr(w, (h % length(w))::BIGINT + 2) ELSE w END word, n FROM checked)
+    WHERE length(word) >= 6 GROUP BY 1 HAVING sum(n) >= 5),
+  less AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) rest FROM (SELECT word, unnest(range(1, length(word) + 1)) i FROM words)),
+  near AS (SELECT a.word, b.word other FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+    UNION SELECT less.word, w.word FROM less JOIN words w ON w.word = rest UNION SELECT w.word, less.word FROM less JOIN words w ON w.word = rest),
+  best AS (SELECT near.word, count(*) n_near, arg_min(o.word, (-o.n, o.word)) form, max(o.n) form_n FROM near JOIN words o ON o.word = other GROUP BY 1),
+  forms AS (SELECT w.word, w.n, coalesce(n_near, 0) n_near, CASE WHEN form_n >= 5 * n THEN form END form, CASE WHEN form_n >= 5 * n THEN form_n END form_n FROM words w LEFT JOIN best USING (word)),
+  chain(word, root, k) AS (SELECT word, form, 1 FROM forms WHERE form IS NOT NULL UNION ALL SELECT chain.word, form, k + 1 FROM chain JOIN forms ON forms.word = root WHERE form IS NOT NULL),
+  ends AS (SELECT word, arg_max(root, k) root FROM chain GROUP BY 1)
+SELECT word, form, coalesce(root, word) root, n, n_near, form_n FROM forms LEFT JOIN ends USING (word)"""
+
+
 def _leaf(n_chars: str) -> str:
     fields = ("doc_id::VARCHAR", "source", "lang", f"({n_chars})::VARCHAR", "text")
     return f"sha256({' || '.join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields)})"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import credential_links, deobfuscate, lattice_lm, line_rules, merkle, oracles, phrase_index, pii_labels, simhash_gray, source_mix, token_shards, zstd_quality
+from strandline.llm import credential_links, deobfuscate, lattice_lm, line_rules, merkle, oracles, packing, phrase_index, pii_labels, simhash_gray, source_mix, spelling, token_shards, zstd_quality
 from strandline.llm.common import bounded_batches, documents, held_out
 
 
@@ -75,6 +75,17 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.encoded(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    placed, _ = packing.packed(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return placed.drop("_row", "cut")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     altered = F.col("n_chars") + F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, 1)  # null elsewhere
@@ -85,9 +96,9 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lattice_lm, op2_deobfuscate, op3_line_rules, op4_phrase_index, op5_pii_labels, op6_zstd_quality, op7_credential_links, op8_source_mix, op9_simhash_gray, op10_token_shards, op13_merkle_manifest)}
+    return {f.__name__: f for f in (op1_lattice_lm, op2_deobfuscate, op3_line_rules, op4_phrase_index, op5_pii_labels, op6_zstd_quality, op7_credential_links, op8_source_mix, op9_simhash_gray, op10_token_shards, op11_packing, op12_spelling_variants, op13_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL has no lattices, Viterbi search, SimHash, zstandard, tokenizers or look-behind; tests/llm holds the other queries against brute force."""
-    return {"op3_line_rules": oracles.OP3, "op4_phrase_index": oracles.OP4, "op13_merkle_manifest": oracles.OP13}
+    return {"op3_line_rules": oracles.OP3, "op4_phrase_index": oracles.OP4, "op12_spelling_variants": oracles.OP12, "op13_merkle_manifest": oracles.OP13}
