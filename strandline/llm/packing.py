@@ -42,7 +42,7 @@ class ByteEncoder:
     """Ids of texts by a tokenizer file, which is asked once for each piece between white space where its rules allow.
 
     Byte-level splitting never joins what stands before a run of white space with the run, and looks ahead at white space only; so a text's ids are those of
-    its pieces, each a run of white space and what follows up to the next. It also parts an ASCII letter or digit from marks after it. Texts
+    its pieces, each a run of white space and what follows up to the next. It also parts an ASCII letter or digit from the marks after it. Texts
     with white space beyond ASCII, or with the text of an added token, go to the tokenizer whole. Of the pieces seen lately, up to twice
     ``max_pieces`` are remembered.
     """
@@ -52,6 +52,8 @@ class ByteEncoder:
     MARKS = b".,;:!?"
     ENDS = frozenset(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
     REMEMBERED = 64  # bytes
+    #: Letters of Latin-1 after at most one space.
+    PLAIN = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 
     def __init__(self, path: str, max_pieces: int = 300_000):
         from tokenizers import Tokenizer
@@ -62,23 +64,45 @@ class ByteEncoder:
         self.by_piece = split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and not any(spec.get(x) for x in ("normalizer", "post_processor", "truncation"))
         self.added = [x["content"] for x in spec.get("added_tokens", [])]
         self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.plain = self.tokenizer.model, self.PLAIN.fullmatch
+        # What the model sees for each byte that plain words have.
+        self.letters = {b: self.tokenizer.pre_tokenizer.pre_tokenize_str(bytes([b]).decode())[0][0] for b in range(128)} if self.by_piece else {}
+        for c in range(0xC0, 0x100) if self.by_piece else ():
+            self.letters.update(zip(chr(c).encode(), self.tokenizer.pre_tokenizer.pre_tokenize_str(chr(c))[0][0]))
         self.max_pieces = max_pieces
+        self.marks: dict[bytes, bytes] = {}
         self.ids: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
+    def of_marks(self, marks: bytes) -> bytes:
+        if marks not in self.marks:
+            self.marks[marks] = self.whole([marks.decode()])[0]
+        return self.marks[marks]
+
     def learn(self, pieces: set[bytes]) -> dict[bytes, bytes]:
-        """The ids of each piece; what ends in marks after a letter or digit as the word and its marks."""
-        own = {x: self.before[x] for x in pieces if x in self.before}
-        cut = {x: core for x in pieces if x not in own and (core := x.rstrip(self.MARKS)) != x and core and core[-1] in self.ENDS}
-        parts = {y for x, core in cut.items() for y in (core, x[len(core) :])} | {x for x in pieces if x not in own and x not in cut}
-        known = {x: ids for x in parts if (ids := self.ids.get(x) or self.before.get(x)) is not None}
-        new = [x for x in parts if x not in known]
-        known.update(zip(new, self.whole([x.decode() for x in new])))
-        own.update((x, known[x]) for x in parts)
-        own.update((x, known[core] + known[x[len(core) :]]) for x, core in cut.items())
+        """The ids of each piece. A word of plain letters is one word to the splitter too, and goes to the tokenizer's model at once."""
+        own: dict[bytes, bytes] = {}
+        rest = []
+        for x in pieces:
+            ids = self.before.get(x)
+            if ids is None:
+                core = x.rstrip(self.MARKS)
+                marks = x[len(core) :]
+                if not core or core[-1] not in self.ENDS or len(marks) > 8:
+                    core, marks = x, b""
+                ids = (self.ids.get(core) or self.before.get(core)) if marks else None
+                if ids is None:
+                    if not self.plain(core):
+                        rest.append(x)
+                        continue
+                    ids = own[core] = array("I", [t.id for t in self.model.tokenize(core.decode("latin-1").translate(self.letters))]).tobytes()
+                if marks:
+                    ids += self.of_marks(marks)
+            own[x] = ids
+        own.update(zip(rest, self.whole([x.decode() for x in rest])))
         return own
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
@@ -96,7 +120,7 @@ class ByteEncoder:
                 own = self.learn({pieces[i] for i in gaps})
                 for i in gaps:
                     found[i] = own[pieces[i]]
-                self.ids.update((x, ids) for x, ids in own.items() if len(x) <= self.REMEMBERED)
+                self.ids.update(own if max(map(len, own)) <= self.REMEMBERED else {x: ids for x, ids in own.items() if len(x) <= self.REMEMBERED})
             yield b"".join(found)
 
 
