@@ -38,26 +38,27 @@ PADDING = 0.005  # of all ids; above, packs are taken apart
 # ---------------------------------------------------------------- ids
 
 
-class ByteEncoder:
-    """Ids of texts by a tokenizer file, which is asked once for each piece between white space where its rules allow.
+class ByteEncoder(dict):
+    """Ids of texts by a tokenizer file: a table from pieces of text to their ids, which asks the tokenizer for what it lacks.
 
-    Byte-level splitting never joins what stands before a run of white space with the run, and looks ahead at white space only; so a text's ids are those of
-    its pieces, each a run of white space and what follows up to the next. It also parts an ASCII letter or digit from the marks after it. Texts
-    with white space beyond ASCII, or with the text of an added token, go to the tokenizer whole. Of the pieces seen lately, up to twice
-    ``max_pieces`` are remembered.
+    Byte-level splitting takes a space with what follows it, leaves other white space alone, and looks ahead at white space only; so a text's ids are those
+    of its pieces: a run without white space, with the space before it; the rest of white space before such a run, its last mark alone; white space at the
+    end. It also parts an ASCII letter or digit from the marks after it. Where the file has other rules, or a text white space beyond ASCII or the text of an
+    added token, the text goes to the tokenizer whole. Of the pieces seen lately, up to twice ``max_pieces`` are remembered.
     """
 
-    PIECE = re.compile(rb"[\x09-\x0d\x20]*[^\x09-\x0d\x20]+|[\x09-\x0d\x20]+")
+    PIECE = re.compile(rb" ?[^\x09-\x0d\x20]+|[\x09-\x0d\x20]+(?![^\x09-\x0d\x20])|[\x09-\x0d\x20]")
     OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
     MARKS = b".,;:!?"
     ENDS = frozenset(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
     REMEMBERED = 64  # bytes
-    #: Letters of Latin-1 after at most one space.
+    #: Letters of Latin-1 after at most one space: one word to the splitter, so the tokenizer's model can be asked at once.
     PLAIN = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 
-    def __init__(self, path: str, max_pieces: int = 300_000):
+    def __init__(self, path: str, max_pieces: int = 600_000):
         from tokenizers import Tokenizer
 
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
         spec = json.loads(open(path, encoding="utf-8").read())
         split = spec.get("pre_tokenizer") or {}
@@ -66,62 +67,39 @@ class ByteEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.plain = self.tokenizer.model, self.PLAIN.fullmatch
         # What the model sees for each byte that plain words have.
-        self.letters = {b: self.tokenizer.pre_tokenizer.pre_tokenize_str(bytes([b]).decode())[0][0] for b in range(128)} if self.by_piece else {}
-        for c in range(0xC0, 0x100) if self.by_piece else ():
-            self.letters.update(zip(chr(c).encode(), self.tokenizer.pre_tokenizer.pre_tokenize_str(chr(c))[0][0]))
+        seen = lambda c: self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0]
+        self.letters = {b: x for c in (" ", *map(chr, range(0xC0, 0x100))) for b, x in zip(c.encode(), seen(c))} if self.by_piece else {}
         self.max_pieces = max_pieces
-        self.marks: dict[bytes, bytes] = {}
-        self.ids: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
-
-    def of_marks(self, marks: bytes) -> bytes:
-        if marks not in self.marks:
-            self.marks[marks] = self.whole([marks.decode()])[0]
-        return self.marks[marks]
-
-    def learn(self, pieces: set[bytes]) -> dict[bytes, bytes]:
-        """The ids of each piece. A word of plain letters is one word to the splitter too, and goes to the tokenizer's model at once."""
-        own: dict[bytes, bytes] = {}
-        rest = []
-        for x in pieces:
-            ids = self.before.get(x)
-            if ids is None:
-                core = x.rstrip(self.MARKS)
-                marks = x[len(core) :]
-                if not core or core[-1] not in self.ENDS or len(marks) > 8:
-                    core, marks = x, b""
-                ids = (self.ids.get(core) or self.before.get(core)) if marks else None
-                if ids is None:
-                    if not self.plain(core):
-                        rest.append(x)
-                        continue
-                    ids = own[core] = array("I", [t.id for t in self.model.tokenize(core.decode("latin-1").translate(self.letters))]).tobytes()
-                if marks:
-                    ids += self.of_marks(marks)
-            own[x] = ids
-        own.update(zip(rest, self.whole([x.decode() for x in rest])))
-        return own
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, piece: bytes) -> bytes:
+        ids = self.before.get(piece)
+        if ids is None:
+            core = piece.rstrip(self.MARKS)
+            if core and core is not piece and len(core) < len(piece) and core[-1] in self.ENDS:
+                ids = self[core] + self[piece[len(core) :]]
+            elif self.plain(piece):
+                word = piece.decode() if piece.isascii() and piece[0] != 32 else piece.decode("latin-1").translate(self.letters)
+                ids = array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+            else:
+                ids = self.whole(piece.decode())
+        if len(piece) <= self.REMEMBERED:
+            self[piece] = ids
+        return ids
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as 32-bit integers, little-endian."""
         for text in texts:
             if not self.by_piece or any(x in text for x in self.added) or self.OTHER_SPACE.search(text):
-                yield self.whole([text])[0]
+                yield self.whole(text)
                 continue
-            pieces = self.PIECE.findall(text.encode())
-            if len(self.ids) > self.max_pieces:
-                self.before, self.ids = self.ids, {}
-            found = list(map(self.ids.get, pieces))
-            if None in found:
-                gaps = [i for i, x in enumerate(found) if x is None]
-                own = self.learn({pieces[i] for i in gaps})
-                for i in gaps:
-                    found[i] = own[pieces[i]]
-                self.ids.update(own if max(map(len, own)) <= self.REMEMBERED else {x: ids for x, ids in own.items() if len(x) <= self.REMEMBERED})
-            yield b"".join(found)
+            if len(self) > self.max_pieces:
+                self.before = dict(self)
+                self.clear()
+            yield b"".join(map(self.__getitem__, self.PIECE.findall(text.encode())))
 
 
 @lru_cache(maxsize=1)
