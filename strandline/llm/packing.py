@@ -20,6 +20,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from functools import lru_cache
+from operator import attrgetter
 
 import numpy as np
 import pandas as pd
@@ -38,13 +39,16 @@ PADDING = 0.005  # of all ids; above, packs are taken apart
 # ---------------------------------------------------------------- ids
 
 
+TOKEN_ID = attrgetter("id")
+
+
 class ByteEncoder(dict):
     """Ids of texts by a tokenizer file: a table from pieces of text to their ids, which asks the tokenizer for what it lacks.
 
     Byte-level splitting takes a space with what follows it, leaves other white space alone, and looks ahead at white space only; so a text's ids are those
     of its pieces: a run without white space, with the space before it; the rest of white space before such a run, its last mark alone; white space at the
     end. It also parts an ASCII letter or digit from the marks after it. Where the file has other rules, or a text white space beyond ASCII or the text of an
-    added token, the text goes to the tokenizer whole. Of the pieces seen lately, up to twice ``max_pieces`` are remembered.
+    added token, the text goes to the tokenizer whole. At most ``max_pieces`` are remembered, and what a text adds; then the table starts anew.
     """
 
     PIECE = re.compile(rb" ?[^\x09-\x0d\x20]+|[\x09-\x0d\x20]+(?![^\x09-\x0d\x20])|[\x09-\x0d\x20]")
@@ -55,7 +59,7 @@ class ByteEncoder(dict):
     #: Letters of Latin-1 after at most one space: one word to the splitter, so the tokenizer's model can be asked at once.
     PLAIN = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 
-    def __init__(self, path: str, max_pieces: int = 600_000):
+    def __init__(self, path: str, max_pieces: int = 1_000_000):
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -70,26 +74,27 @@ class ByteEncoder(dict):
         seen = lambda c: self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0]
         self.letters = {b: x for c in (" ", *map(chr, range(0xC0, 0x100))) for b, x in zip(c.encode(), seen(c))} if self.by_piece else {}
         self.max_pieces = max_pieces
-        self.before: dict[bytes, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, piece: bytes) -> bytes:
-        ids = self.before.get(piece)
-        if ids is None:
-            core = piece.rstrip(self.MARKS)
-            if core and core is not piece and len(core) < len(piece) and core[-1] in self.ENDS:
-                ids = self[core] + self[piece[len(core) :]]
-            elif self.plain(piece):
-                word = piece.decode() if piece.isascii() and piece[0] != 32 else piece.decode("latin-1").translate(self.letters)
-                ids = array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
-            else:
-                ids = self.whole(piece.decode())
+        word = piece[1:] if piece[0] == 32 else piece
+        if word.isalpha():  # ASCII letters
+            ids = self.of_word((self.letters[32] if word is not piece else "") + word.decode())
+        elif piece[-1] in self.MARKS and (core := piece.rstrip(self.MARKS)) and core[-1] in self.ENDS:
+            ids = self[core] + self[piece[len(core) :]]
+        elif self.plain(piece):
+            ids = self.of_word(piece.decode("latin-1").translate(self.letters))
+        else:
+            ids = self.whole(piece.decode())
         if len(piece) <= self.REMEMBERED:
             self[piece] = ids
         return ids
 
+    def of_word(self, word: str) -> bytes:
+        return array("I", map(TOKEN_ID, self.model.tokenize(word))).tobytes()
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as 32-bit integers, little-endian."""
         for text in texts:
@@ -97,7 +102,6 @@ class ByteEncoder(dict):
                 yield self.whole(text)
                 continue
             if len(self) > self.max_pieces:
-                self.before = dict(self)
                 self.clear()
             yield b"".join(map(self.__getitem__, self.PIECE.findall(text.encode())))
 
