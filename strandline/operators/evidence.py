@@ -2,37 +2,47 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.text import lenient_json
 from strandline.models import Client, ask
-from strandline.operators.graph import staged
-from strandline.sources.staging import shared_dir
+from strandline.sources.staging import Steps
+
+
+GRAM = 3
+
+
+def contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """inner, outer: the texts of inner that are within texts of outer (a column text each, distinct). A text meets those that hold the rarest of its
+    grams only, and a text with a gram that none holds meets none."""
+    grams = lambda size: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - size + 1), lambda at: F.substring(F.col("text"), at, F.lit(size))))
+    sized = lambda sizes: F.concat(*(F.when(F.length("text") >= n, grams(n)).otherwise(F.array().cast("array<string>")) for n in sizes))
+    held = outer.select(F.col("text").alias("outer"), F.explode(sized(range(1, GRAM + 1))).alias("gram"))
+    own = F.when(F.length("text") >= GRAM, grams(GRAM)).otherwise(F.array("text"))  # of a shorter text, itself
+    asked = inner.where("text <> ''").select(F.col("text").alias("inner"), F.explode(own).alias("gram"))
+    counts = held.join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = asked.join(counts, "gram", "left").groupBy("inner").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).where("r.n > 0").select("inner", "r.gram")
+    return rarest.join(held, "gram").where(F.contains("outer", "inner")).select("inner", "outer")
 
 
 def link_entities(questions: DataFrame, names: DataFrame) -> DataFrame:
     """The entity that each (qid, mention) names, in lower case: an equal name, else one that holds the mention, else the longest one within it.
 
-    Of several the first by name and id. Containment is found by equal substrings, so no pair is compared that doesn't match.
+    Of several the first by name and id. Texts that hold each other are found by their rarest grams.
     """
     keyed = names.select("id", F.lower("name").alias("key")).where("key <> ''")
     asked = questions.select("qid", F.lower("mention").alias("key")).distinct()
     exact = asked.join(keyed, "key").groupBy("qid", "key").agg(F.min("id").alias("id"))
     rest = asked.join(exact, ["qid", "key"], "left_anti").where("key <> ''")
-    open_keys = rest.select("key").distinct()
-    first = F.min(F.struct("name", "id"))
-    sizes = open_keys.select(F.length("key").alias("size")).distinct()
-    named = keyed.withColumnRenamed("key", "name").join(F.broadcast(sizes), F.length("name") > F.col("size"))  # a row per length of a mention
-    parts = named.select("id", "name", "size", F.explode(F.sequence(F.lit(1), F.length("name") - F.col("size") + 1)).alias("at"))
-    holding = parts.select("id", "name", F.substring("name", F.col("at"), F.col("size")).alias("key")).join(open_keys, "key", "left_semi").groupBy("key").agg(first.alias("outer"))
-    spans = open_keys.select("key", F.explode(F.sequence(F.lit(1), F.length("key"))).alias("at")).select("key", "at", F.explode(F.sequence(F.lit(1), F.length("key") - F.col("at") + 1)).alias("size"))
-    inner = spans.select("key", F.substring("key", F.col("at"), F.col("size")).alias("name"), F.negative("size").alias("size")).distinct()
-    within = inner.join(keyed.withColumnRenamed("key", "name"), "name").groupBy("key").agg(F.min(F.struct("size", "name", "id")).alias("inner"))
-    loose = open_keys.join(holding, "key", "left").join(within, "key", "left").select("key", F.coalesce("outer.id", "inner.id").alias("id")).where("id IS NOT NULL")
+    open_keys = rest.select(F.col("key").alias("text")).distinct()
+    first = keyed.groupBy(F.col("key").alias("text")).agg(F.min("id").alias("id"))
+    every = first.select("text")
+    holding = contained(open_keys, every).select(F.col("inner").alias("key"), F.col("outer").alias("text")).join(first, "text").groupBy("key").agg(F.min(F.struct("text", "id")).alias("outer"))
+    within = contained(every, open_keys).select(F.col("outer").alias("key"), F.col("inner").alias("text")).join(first, "text")
+    within = within.groupBy("key").agg(F.min(F.struct(F.negative(F.length("text")).alias("size"), "text", "id")).alias("inner"))
+    loose = open_keys.withColumnRenamed("text", "key").join(holding, "key", "left").join(within, "key", "left").select("key", F.coalesce("outer.id", "inner.id").alias("id")).where("id IS NOT NULL")
     return exact.unionByName(rest.join(loose, "key"))
 
 
@@ -42,22 +52,31 @@ def relation_candidates(linked: DataFrame, edges: DataFrame) -> DataFrame:
     return linked.select("qid", "id").distinct().join(touching, "id").groupBy("qid").agg(F.array_sort(F.collect_set("rel")).alias("relations"))
 
 
+def first_neighbours(edges: DataFrame, ids: DataFrame, most: int = 50) -> DataFrame:
+    """id, rel, way (out, in), other: of each of ids (id), relation and direction the first ``most`` by the other end. The order is that of the node, whoever asks,
+    so a hub's neighbours are ranked once, and each task hands on ``most`` of them only."""
+    own = ids.select("id").distinct()
+    out = edges.select(F.col("src").alias("id"), "rel", F.lit("out").alias("way"), F.col("dst").alias("other")).join(own, "id", "left_semi")
+    into = edges.select(F.col("dst").alias("id"), "rel", F.lit("in").alias("way"), F.col("src").alias("other")).join(own, "id", "left_semi")
+    place = F.row_number().over(Window.partitionBy("id", "rel", "way").orderBy("other"))
+    return out.union(into).withColumn("place", place).where(F.col("place") <= most).drop("place")
+
+
 def hop(found: DataFrame, edges: DataFrame, tails: int = 30, relations: int = 10, most: int = 50) -> DataFrame:
     """Triples one hop further (qid, head, rel, tail): from the first tails of a question's triples over the first of their relations, up to most each."""
     place = lambda by, order: F.row_number().over(Window.partitionBy(*by).orderBy(order))
-    start = found.select("qid", F.col("tail").alias("head")).distinct().withColumn("n", place(["qid"], "head")).where(F.col("n") <= tails).select("qid", "head")
+    start = found.select("qid", F.col("tail").alias("id")).distinct().withColumn("n", place(["qid"], "id")).where(F.col("n") <= tails).select("qid", "id")
     over = found.select("qid", "rel").distinct().withColumn("n", place(["qid"], "rel")).where(F.col("n") <= relations).select("qid", "rel")
-    out = start.join(over, "qid").join(edges.select(F.col("src").alias("head"), "rel", F.col("dst").alias("tail")), ["head", "rel"])
-    return out.withColumn("n", place(["qid", "head", "rel"], "tail")).where(F.col("n") <= most).select("qid", "head", "rel", "tail")
+    ahead = first_neighbours(edges, start, most).where("way = 'out'")
+    return start.join(over, "qid").join(ahead, ["id", "rel"]).select("qid", F.col("id").alias("head"), "rel", F.col("other").alias("tail"))
 
 
 def expand(linked: DataFrame, edges: DataFrame, most: int = 50) -> DataFrame:
     """Triples around linked ids (qid, id): for each id, relation and direction the first ``most`` by the other end."""
     ids = linked.select("qid", "id").distinct()
-    out = ids.join(edges.withColumnRenamed("src", "id"), "id").select("qid", F.col("id").alias("head"), "rel", F.col("dst").alias("tail"), F.lit("out").alias("way"), "id", F.col("dst").alias("other"))
-    into = ids.join(edges.withColumnRenamed("dst", "id"), "id").select("qid", F.col("src").alias("head"), "rel", F.col("id").alias("tail"), F.lit("in").alias("way"), "id", F.col("src").alias("other"))
-    place = F.row_number().over(Window.partitionBy("qid", "id", "rel", "way").orderBy("other"))
-    return out.union(into).withColumn("place", place).where(F.col("place") <= most).select("qid", "head", "rel", "tail").distinct()
+    near = ids.join(first_neighbours(edges, ids, most), "id")
+    out = F.col("way") == "out"
+    return near.select("qid", F.when(out, F.col("id")).otherwise(F.col("other")).alias("head"), "rel", F.when(out, F.col("other")).otherwise(F.col("id")).alias("tail")).distinct()
 
 
 def first_wins(triples: DataFrame) -> DataFrame:
@@ -119,15 +138,15 @@ def retrieve(questions: DataFrame, nodes: DataFrame, edges: DataFrame, claims_by
     chosen by a model where there are more than MOST_RELATIONS; triples around them over these come first, then those one hop further; of equal ones the first
     counts, and first_wins thins them. Returns evidence (qid, head, rel, tail, ord) and outcomes (qid, outcome, n_claims), outcome first, retry or failed.
     """
-    root = f"{shared_dir(questions.sparkSession)}/strandline/evidence-{uuid.uuid4().hex}"
-    edges = staged(edges.select("src", "rel", "dst"), f"{root}/edges")
-    claims = staged(sub_claims(ask(questions, "qid", "stem", claims_by)).withColumn("outcome", F.lit("first")), f"{root}/claims")
+    steps = Steps(questions.sparkSession, "evidence")
+    edges = steps(edges.select("src", "rel", "dst"), "edges")
+    claims = steps(sub_claims(ask(questions, "qid", "stem", claims_by)).withColumn("outcome", F.lit("first")), "claims")
     if again:
         rest = questions.join(claims.select("qid"), "qid", "left_anti")
-        claims = claims.unionByName(staged(sub_claims(ask(rest, "qid", "stem", again)).withColumn("outcome", F.lit("retry")), f"{root}/retry"))
+        claims = claims.unionByName(steps(sub_claims(ask(rest, "qid", "stem", again)).withColumn("outcome", F.lit("retry")), "retry"))
     claims = claims.withColumn("cid", F.concat_ws("#", "qid", "place"))
     linked = link_entities(claims.select(F.col("cid").alias("qid"), F.explode("entities").alias("mention")), nodes)
-    linked = staged(linked.select("qid", "id").distinct(), f"{root}/linked")
+    linked = steps(linked.select("qid", "id").distinct(), "linked")
     found = relation_candidates(linked, edges)
     few = found.where(F.size("relations") <= MOST_RELATIONS)
     many = found.where(F.size("relations") > MOST_RELATIONS)
@@ -135,7 +154,7 @@ def retrieve(questions: DataFrame, nodes: DataFrame, edges: DataFrame, claims_by
     picked = many.join(ask(prompts, "qid", "prompt", relations_by), "qid").select("qid", chosen_relations(F.col("answer"), F.col("relations")).alias("relations"))
     over = few.unionByName(picked).select("qid", F.explode("relations").alias("rel"))
     near = expand(linked, edges).join(over, ["qid", "rel"], "left_semi").join(claims.select(F.col("cid").alias("qid"), F.col("qid").alias("of"), "place"), "qid")
-    near = staged(near.groupBy(F.col("of").alias("qid"), "head", "rel", "tail").agg(F.min("place").alias("place")).withColumn("hop", F.lit(1)), f"{root}/near")
+    near = steps(near.groupBy(F.col("of").alias("qid"), "head", "rel", "tail").agg(F.min("place").alias("place")).withColumn("hop", F.lit(1)), "near")
     far = hop(near.select("qid", "head", "rel", "tail"), edges).withColumns({"place": F.lit(0), "hop": F.lit(2)})
     every = near.unionByName(far).groupBy("qid", "head", "rel", "tail").agg(F.min(F.struct("hop", "place")).alias("o"))
     ordered = every.withColumn("ord", F.row_number().over(Window.partitionBy("qid").orderBy("o.hop", "o.place", "rel", "head", "tail"))).drop("o")
@@ -153,14 +172,14 @@ def sample_pairs(nodes: DataFrame, per_community: int = 20, least: int = 10, see
     is drawn twice and the pairs themselves are never listed. A pair that two communities draw belongs to the smaller one. Draws go on until every
     community has its pairs or no more are left.
     """
-    root = f"{shared_dir(nodes.sparkSession)}/strandline/pairs-{uuid.uuid4().hex}"
+    steps = Steps(nodes.sparkSession, "pairs")
     big = nodes.groupBy("community").count().where(F.col("count") >= least).select("community")
     named = nodes.join(big, "community", "left_semi").where("name IS NOT NULL").select("community", "name").distinct()
     sizes = named.groupBy("community").agg(F.count("*").alias("n")).where("n >= 2")
     start = F.sum("n").over(Window.orderBy("community").rowsBetween(Window.unboundedPreceding, -1))  # a row per community
-    sizes = staged(sizes.withColumn("start", F.coalesce(start, F.lit(0))), f"{root}/sizes")
+    sizes = steps(sizes.withColumn("start", F.coalesce(start, F.lit(0))), "sizes")
     place = F.row_number().over(Window.partitionBy("community").orderBy(F.xxhash64(F.lit(seed), "name"), "name")) - 1
-    names = staged(named.withColumn("i", place).join(sizes, "community").select("community", "name", (F.col("start") + F.col("i")).alias("g")), f"{root}/names")
+    names = steps(named.withColumn("i", place).join(sizes, "community").select("community", "name", (F.col("start") + F.col("i")).alias("g")), "names")
     total = sizes.agg(F.sum("n")).first()[0] or 0
     whole = lambda c: c.cast("decimal(38,0)")
     kinds = sizes.select("community", "n", "start", F.explode(F.array(F.lit("in"), F.lit("cross"))).alias("pair_type"), (F.lit(total) - F.col("n")).alias("rest"))
@@ -179,7 +198,7 @@ def sample_pairs(nodes: DataFrame, per_community: int = 20, least: int = 10, see
         pairs = drawn.join(first, ["community", "ga"]).join(second, "gb").where("x <> y").withColumns({"a": F.least("x", "y"), "b": F.greatest("x", "y")})
         owner = pairs.groupBy("a", "b").agg(F.min(F.struct("community", F.col("pair_type") == "cross", "j", "pair_type", "other")).alias("o"))
         kept = owner.select("o.community", "o.pair_type", "o.other", "a", "b", "o.j").withColumn("place", F.row_number().over(Window.partitionBy("community", "pair_type").orderBy("j")))
-        kept = staged(kept.where(F.col("place") <= per_community).drop("j"), f"{root}/kept-{draws}")
+        kept = steps(kept.where(F.col("place") <= per_community).drop("j"), "kept")
         have = kept.groupBy("community", "pair_type").agg(F.count("*").alias("have"))
         if kinds.where(F.col("pairs") > draws).join(have, ["community", "pair_type"], "left").where(F.coalesce("have", F.lit(0)) < per_community).isEmpty():
             return kept

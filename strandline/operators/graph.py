@@ -2,20 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-from collections import defaultdict, deque
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.sources.staging import shared_dir
-
-
-def staged(df: DataFrame, path: str) -> DataFrame:
-    """df, written and read again, which cuts its lineage in loops."""
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from strandline.operators.ranges import places
+from strandline.sources.staging import Steps
 
 
 # ---------------------------------------------------------------- folds of mentions
@@ -110,9 +103,12 @@ def intra_degree_layers(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Out-degree within the community, zeros included, its rank by (degree, name) and its layer: 0 for the highest degree, equal for equal ones."""
     inside = with_communities(edges, nodes).where("src_cid = dst_cid").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("d"))
     rows = nodes.where("community is not null").join(inside, "id", "left").select("id", "name", "community", F.coalesce("d", F.lit(0)).alias("degree"))
-    by = Window.partitionBy("community")
-    rank = F.row_number().over(by.orderBy(F.desc("degree"), "name"))
-    return rows.withColumns({"rank": rank, "layer": F.dense_rank().over(by.orderBy(F.desc("degree"))) - 1})
+    steps = Steps(edges.sparkSession, "degrees")
+    placed = places(rows, ["community"], [F.desc("degree"), F.col("name"), F.col("id")], steps, "places").withColumnRenamed("_place", "rank").drop("_count")
+    # A community of E edges has at most about the root of 2 E different degrees.
+    order = Window.partitionBy("community").orderBy(F.desc("degree"))
+    layers = steps(placed, "placed").select("community", "degree").distinct().withColumn("layer", F.dense_rank().over(order) - 1)
+    return placed.join(layers, ["community", "degree"]).select("id", "name", "community", "degree", "rank", "layer")
 
 
 # ---------------------------------------------------------------- components, paths
@@ -120,17 +116,16 @@ def intra_degree_layers(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """id, component: the smallest id reachable without regard to direction. Large-star and small-star steps, each written."""
-    root = f"{shared_dir(edges.sparkSession)}/strandline/wcc-{uuid.uuid4().hex}"
-    current = staged(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), f"{root}/0")
-    state, step = None, 0
+    steps = Steps(edges.sparkSession, "wcc")
+    current = steps(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
+    state = None
     while True:
         both = current.union(current.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m"))
-        step += 1
-        current = staged(small.where("u <> v").distinct(), f"{root}/{step}")
+        current = steps(small.where("u <> v").distinct())
         now = tuple(current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
             break
@@ -139,20 +134,19 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def path_plan(edges: DataFrame, target: str, learned: list[str]) -> DataFrame:
-    """id, distance: what leads to target over edges backwards. Learned nodes are reached but not passed, except the target."""
-    root = f"{shared_dir(edges.sparkSession)}/strandline/plan-{uuid.uuid4().hex}"
-    back = staged(edges.select("src", "dst").distinct(), f"{root}/back")  # so that no step works the edges out again
-    seen = staged(edges.sparkSession.createDataFrame([(target, 0)], "id STRING, distance INT"), f"{root}/0")
-    distance = 0
+    """id, distance: what leads to target over edges backwards. Learned nodes are reached but not passed, except the target. Each step is a table of its own."""
+    steps = Steps(edges.sparkSession, "plan")
+    back = steps(edges.select("src", "dst").distinct(), "back")  # so that no step works the edges out again
+    found = [steps(edges.sparkSession.createDataFrame([(target, 0)], "id STRING, distance INT"), "target")]
     while True:
-        front = seen.where(F.col("distance") == distance)
+        front = found[-1]
         front = front.where(~F.col("id").isin(*learned) | (F.col("id") == target)) if learned else front
-        more = back.join(front.select(F.col("id").alias("dst")), "dst").select(F.col("src").alias("id")).distinct().join(seen, "id", "left_anti")
-        more = staged(more.withColumn("distance", F.lit(distance + 1)), f"{root}/more-{distance}")
+        seen = reduce(DataFrame.unionByName, found)
+        more = back.join(front.select(F.col("id").alias("dst")), "dst").select(F.col("src").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
+        more = steps(more.withColumn("distance", F.lit(len(found))), "more")
         if more.isEmpty():
             return seen
-        distance += 1
-        seen = staged(seen.union(more), f"{root}/{distance}")
+        found.append(more)
 
 
 def learning_path(edges: DataFrame, layered: DataFrame, target: str, learned: list[str]) -> DataFrame:
@@ -163,12 +157,6 @@ def learning_path(edges: DataFrame, layered: DataFrame, target: str, learned: li
     return rows.orderBy(F.coalesce("layer", F.lit(0)), F.desc(F.coalesce("degree", F.lit(0))), "distance", "id")
 
 
-def ranked(rows: DataFrame, metrics: list[str]) -> DataFrame:
-    """rows (id, community, metrics) with rank_<metric> within the community: high scores first, then ids."""
-    place = lambda m: F.row_number().over(Window.partitionBy("community").orderBy(F.desc(m), "id"))
-    return rows.withColumns({f"rank_{m}": place(m) for m in metrics})
-
-
 def rewired(edges: DataFrame, into: DataFrame) -> DataFrame:
     """Edges (src, rel, dst) after nodes (id, into) were merged: ends moved, self-loops dropped, equal ones one, with the number of edges that each stands for."""
     a, b = into.toDF("src", "to_a"), into.toDF("dst", "to_b")
@@ -188,130 +176,3 @@ def united(graphs: list[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFr
     for n, e in graphs[1:]:
         nodes, edges = nodes.unionByName(n), edges.unionByName(e)
     return nodes.dropDuplicates(["id"]), edges.dropDuplicates(["src", "rel", "dst"])
-
-
-# ---------------------------------------------------------------- per community, sequential by nature
-
-
-def _adjacency(pdf: pd.DataFrame) -> dict[str, list[str]]:
-    out: dict[str, list[str]] = defaultdict(list)
-    for s, d in sorted(set(zip(pdf["src"], pdf["dst"]))):
-        out[s].append(d)
-    return out
-
-
-def centrality(edges: DataFrame, nodes: DataFrame, least: int = 10) -> DataFrame:
-    """id, community, degree, betweenness, closeness within communities of at least ``least`` nodes; a community is a task.
-
-    Edges are directed, parallel ones count once. Betweenness is not normalised; closeness of a node is the number of nodes that reach it over the sum
-    of their distances, 0 if there are none.
-    """
-    big = nodes.groupBy("community").count().where(F.col("count") >= least).select("community")
-    members = nodes.join(big, "community", "left_semi").select(F.col("community").alias("cid"), "id")
-    inside = with_communities(edges, nodes).where("src_cid = dst_cid").select(F.col("src_cid").alias("cid"), "src", "dst").distinct()
-
-    def work(key, ids: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        out = _adjacency(own)
-        names = sorted(ids["id"])
-        between, reach, far = dict.fromkeys(names, 0.0), dict.fromkeys(names, 0), dict.fromkeys(names, 0)
-        for s in names:
-            paths, dist, before, order = {s: 1}, {s: 0}, defaultdict(list), []
-            queue = deque([s])
-            while queue:
-                v = queue.popleft()
-                order.append(v)
-                for w in out.get(v, ()):
-                    if w not in dist:
-                        dist[w] = dist[v] + 1
-                        queue.append(w)
-                    if dist[w] == dist[v] + 1:
-                        paths[w] = paths.get(w, 0) + paths[v]
-                        before[w].append(v)
-            share = dict.fromkeys(order, 0.0)
-            for w in reversed(order):
-                for v in before[w]:
-                    share[v] += paths[v] / paths[w] * (1 + share[w])
-                if w != s:
-                    between[w] += share[w]
-                    reach[w] += 1
-                    far[w] += dist[w]
-        return pd.DataFrame({"community": key[0], "id": names, "degree": [len(out.get(n, ())) for n in names], "betweenness": [between[n] for n in names], "closeness": [reach[n] / far[n] if far[n] else 0.0 for n in names]})
-
-    return members.groupBy("cid").cogroup(inside.groupBy("cid")).applyInPandas(work, "community long, id string, degree long, betweenness double, closeness double")
-
-
-def dag_layers(edges: DataFrame, nodes: DataFrame, least: int = 3) -> DataFrame:
-    """id, community, layer, removed (edges of the community that were dropped to break cycles); a community is a task.
-
-    While there is a cycle, the edge on one with the smallest (in-degree of its end, out-degree of its start, start, end) goes; then a node's
-    layer is the longest path to it. Communities below ``least`` nodes are all layer 0.
-    """
-    inside = with_communities(edges, nodes).where("src_cid = dst_cid").select(F.col("src_cid").alias("cid"), "src", "dst").distinct()
-    members = nodes.where("community is not null").select(F.col("community").alias("cid"), "id")
-
-    def on_cycles(out: dict[str, set[str]]) -> set[tuple[str, str]]:
-        """Edges within strongly connected components: those whose start is reachable from their end."""
-        index: dict[str, int] = {}
-        low: dict[str, int] = {}
-        stack, held, part = [], set(), {}
-        for top in sorted(out):
-            if top in index:
-                continue
-            calls = [(top, iter(sorted(out[top])))]
-            index[top] = low[top] = len(index)
-            stack.append(top)
-            held.add(top)
-            while calls:
-                v, rest = calls[-1]
-                for w in rest:
-                    if w not in index:
-                        index[w] = low[w] = len(index)
-                        stack.append(w)
-                        held.add(w)
-                        calls.append((w, iter(sorted(out.get(w, ())))))
-                        break
-                    if w in held:
-                        low[v] = min(low[v], index[w])
-                else:
-                    calls.pop()
-                    if calls:
-                        low[calls[-1][0]] = min(low[calls[-1][0]], low[v])
-                    if low[v] == index[v]:
-                        while True:
-                            w = stack.pop()
-                            held.discard(w)
-                            part[w] = v
-                            if w == v:
-                                break
-        return {(s, d) for s in out for d in out[s] if part[s] == part.get(d)}
-
-    def work(key, ids: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(ids["id"])
-        layer, removed = dict.fromkeys(names, 0), 0
-        if len(names) >= least:
-            out: dict[str, set[str]] = {n: set() for n in names}
-            for s, d in zip(own["src"], own["dst"]):
-                out[s].add(d)
-            while cyclic := on_cycles(out):
-                into = defaultdict(int)
-                for s in out:
-                    for d in out[s]:
-                        into[d] += 1
-                s, d = min(cyclic, key=lambda e: (into[e[1]], len(out[e[0]]), *e))
-                out[s].discard(d)
-                removed += 1
-            into = defaultdict(int)
-            for s in out:
-                for d in out[s]:
-                    into[d] += 1
-            queue = deque(n for n in names if not into[n])
-            while queue:
-                v = queue.popleft()
-                for w in out[v]:
-                    layer[w] = max(layer[w], layer[v] + 1)
-                    into[w] -= 1
-                    if not into[w]:
-                        queue.append(w)
-        return pd.DataFrame({"community": key[0], "id": names, "layer": [layer[n] for n in names], "removed": removed})
-
-    return members.groupBy("cid").cogroup(inside.groupBy("cid")).applyInPandas(work, "community long, id string, layer long, removed long")

@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import math
-import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.operators.graph import staged
-from strandline.operators.ranges import running
-from strandline.sources.staging import shared_dir
+from strandline.operators.ranges import least_from, running
+from strandline.sources.staging import Steps
 
 
 def entropy(rows: DataFrame, group: str, kind: str) -> DataFrame:
@@ -107,7 +105,7 @@ def enrichment(rows: DataFrame, group: str, kind: str, total: int) -> DataFrame:
     """For every group and kind, absent ones included: count, expected count, p of at least as many, and q by Benjamini-Hochberg."""
     groups = rows.groupBy(group).agg(F.count("*").alias("n_group"))
     kinds = rows.groupBy(kind).agg(F.count("*").alias("n_kind"))
-    grid = groups.join(F.broadcast(kinds), how="cross")  # kinds are entity types, a handful
+    grid = groups.join(kinds, how="cross")  # the result itself: a row per group and kind
     counts = rows.groupBy(group, kind).agg(F.count("*").alias("k"))
     table = grid.join(counts, [group, kind], "left").withColumn("k", F.coalesce("k", F.lit(0)))
     p = hypergeometric_tail(F.col("k"), F.col("n_group"), F.col("n_kind"), F.lit(total).cast("long"))
@@ -116,11 +114,13 @@ def enrichment(rows: DataFrame, group: str, kind: str, total: int) -> DataFrame:
 
 
 def bh(table: DataFrame, order: list[str]) -> DataFrame:
-    """table (p) with q: p * n / rank, and from the largest p on the running minimum, at most 1."""
-    everything = Window.partitionBy()
-    ranked = table.withColumn("_rank", F.row_number().over(Window.orderBy("p", *order))).withColumn("_q", F.col("p") * F.count("*").over(everything) / F.col("_rank"))
-    q = F.min("_q").over(Window.orderBy(F.desc("_rank")).rowsBetween(Window.unboundedPreceding, 0))
-    return ranked.withColumn("q", F.least(q, F.lit(1.0))).drop("_rank", "_q")
+    """table (p) with q: p * n / rank, and from the largest p on the running minimum, at most 1. Ranks and minima are worked out over ranges of p; a null p has no q."""
+    steps = Steps(table.sparkSession, "bh")
+    by = [F.col("p").asc_nulls_last(), *map(F.col, order)]
+    ranked = steps(running(table, by, [], steps, "ranks"), "ranked")
+    n = ranked.agg(F.count("p").alias("_all"))  # one row
+    found = least_from(ranked.join(n, how="cross"), by, F.col("p") * F.col("_all") / F.col("_rank"), steps, "least")
+    return found.withColumn("q", F.when(F.col("p").isNotNull(), F.least("_least", F.lit(1.0)))).drop("_rank", "_all", "_least")
 
 
 def two_sample(rows: DataFrame, value: str, is_a: Column) -> DataFrame:
@@ -130,8 +130,7 @@ def two_sample(rows: DataFrame, value: str, is_a: Column) -> DataFrame:
     """
     counts = rows.select(F.col(value).alias("v"), is_a.alias("a")).groupBy("v").agg(F.sum(F.col("a").cast("long")).alias("na"), F.count("*").alias("n"))
     # Ranks over distinct values; a value's rank is the mean of the places that its rows take.
-    path = f"{shared_dir(rows.sparkSession)}/ranks-{uuid.uuid4().hex}"
-    ranks = running(counts, [F.col("v")], ["n"], lambda df, name: staged(df, f"{path}/{name}"), "values")
+    ranks = running(counts, [F.col("v")], ["n"], Steps(rows.sparkSession, "ranks"), "values")
     ranks = ranks.withColumn("r", F.col("_before_n") + (F.col("n") + 1) / 2).agg(F.sum(F.col("na") * F.col("r")).alias("rank_sum"), F.sum(F.pow("n", F.lit(3)) - F.col("n")).alias("ties"))
     side = lambda c: [f(F.when(c, F.col(value))) for f in (F.count, F.avg, F.stddev_samp, F.median)]
     names = [f"{s}_{x}" for x in ("n", "mean", "sd", "median") for s in ("a", "b")]

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline import ontology
-from strandline.operators import evidence, funnel, graph, stats
+from strandline.operators import centrality as centrality_of
+from strandline.operators import evidence, funnel, graph, layers, stats
 from strandline.plans.graph_binding import EDGES_SQL, G0, MENTIONS_SQL, NODES_SQL, TRIPLES_SQL, edges, mentions, nodes, table, triples
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -232,13 +233,13 @@ def modularity(spark, sf):
 @query()
 def centrality(spark, sf):
     """Degree, betweenness and closeness within communities, and the rank by each."""
-    return graph.ranked(graph.centrality(edges(spark, sf), nodes(spark, sf).where("community IS NOT NULL")), ["degree", "betweenness", "closeness"])
+    return centrality_of.ranked(centrality_of.centrality(edges(spark, sf), nodes(spark, sf).where("community IS NOT NULL")), ["degree", "betweenness", "closeness"])
 
 
 @query()
 def dag_layers(spark, sf):
     """Layers of every node of the bound graph that has a community."""
-    return graph.dag_layers(edges(spark, sf), nodes(spark, sf))
+    return layers.dag_layers(edges(spark, sf), nodes(spark, sf))
 
 
 @query(G0 + """, q AS (SELECT item_id qid, unnest(['NATION_' || (item_id % 25), 'SUPPLIER#' || lpad((item_id % 50)::VARCHAR, 9, '0')]) mention FROM benchmark),

@@ -1,7 +1,7 @@
 import pandas as pd
 from pyspark.sql import functions as F
 
-from strandline.operators import evidence, funnel, graph, matching, stats
+from strandline.operators import centrality, evidence, funnel, graph, layers, matching, stats
 
 
 def edges(spark, pairs, rel="r"):
@@ -18,9 +18,9 @@ def test_components(spark):
 
 
 def test_layers_of_a_dag_and_of_a_cycle(spark):
-    got = graph.dag_layers(edges(spark, [("A", "B"), ("A", "C"), ("B", "D"), ("C", "D")]), nodes(spark, "ABCD")).collect()
+    got = layers.dag_layers(edges(spark, [("A", "B"), ("A", "C"), ("B", "D"), ("C", "D")]), nodes(spark, "ABCD")).collect()
     assert {r.id: r.layer for r in got} == {"A": 0, "B": 1, "C": 1, "D": 2} and {r.removed for r in got} == {0}
-    got = graph.dag_layers(edges(spark, [("A", "B"), ("B", "C"), ("C", "B")]), nodes(spark, "ABC")).collect()
+    got = layers.dag_layers(edges(spark, [("A", "B"), ("B", "C"), ("C", "B")]), nodes(spark, "ABC")).collect()
     assert {r.removed for r in got} == {1}
 
 
@@ -32,7 +32,7 @@ def test_ranking_across_communities(spark):
 
 
 def test_centrality_of_a_path(spark):
-    got = {r.id: r for r in graph.centrality(edges(spark, [("a", "b"), ("b", "c"), ("b", "c")]), nodes(spark, "abc"), least=3).collect()}
+    got = {r.id: r for r in centrality.centrality(edges(spark, [("a", "b"), ("b", "c"), ("b", "c")]), nodes(spark, "abc"), least=3).collect()}
     assert (got["b"].betweenness, got["a"].degree, got["c"].closeness) == (1.0, 1, 2 / 3)
 
 

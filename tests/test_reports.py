@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from strandline import models
 from strandline.functions import report
-from strandline.operators import communities, evidence, graph, stats
+from strandline.operators import centrality, communities, evidence, graph, stats
 from strandline.plans import report_queries
 from strandline.sources import triples as sources
 
@@ -157,4 +157,4 @@ def test_grid_of_communities(spark):
 
 def test_ranks_within_communities(spark):
     rows = spark.createDataFrame([("a", 1, 5), ("b", 1, 5), ("c", 1, 9), ("d", 2, 0)], "id STRING, community LONG, degree LONG")
-    assert {r.id: r.rank_degree for r in graph.ranked(rows, ["degree"]).collect()} == {"c": 1, "a": 2, "b": 3, "d": 1}
+    assert {r.id: r.rank_degree for r in centrality.ranked(rows, ["degree"]).collect()} == {"c": 1, "a": 2, "b": 3, "d": 1}
