@@ -10,11 +10,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.common import Workspace
-from strandline.operators.ranges import running
+from strandline.operators.ranges import Stage, places, running
 
 LEVELS = 8  # of the tree in a block
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
@@ -75,21 +75,11 @@ def descend(tree: Tree, above: DataFrame, carry: tuple[str, ...] = (), levels: i
     return upper.withColumnRenamed("_up", "_path")
 
 
-def in_order(leaves: DataFrame, work: Workspace) -> DataFrame:
-    """leaves (_group, _id, _node, _row) with _at, the place in the group by (_id, _node), nulls first, and _count, the group's leaves.
-
-    The order is cut into ranges as Spark samples them, which split a group, or the repeats of a row, wherever they are many; a row per
-    range and group then tells where the range begins in the group.
-    """
-    order = [F.col("_group").asc_nulls_first(), F.col("_id").asc_nulls_first(), F.col("_node"), F.col("_row")]
-    dealt = leaves.repartitionByRange(*order).sortWithinPartitions(*order)
-    dealt = work.stage(dealt.withColumns({"_part": F.spark_partition_id(), "_pos": F.monotonically_increasing_id()}), "order")
-    runs = dealt.groupBy("_group", "_part").agg(F.min("_pos").alias("_first"), F.count("*").alias("_n"))
-    by = Window.partitionBy("_group")
-    before = F.coalesce(F.sum("_n").over(by.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    runs = runs.select("_group", "_part", (before - F.col("_first")).alias("_shift"), F.sum("_n").over(by).alias("_count"))
-    both = dealt.alias("d").join(runs.alias("r"), F.col("d._group").eqNullSafe(F.col("r._group")) & (F.col("d._part") == F.col("r._part")))
-    return both.select("d.*", (F.col("_pos") + F.col("_shift")).alias("_at"), "_count")
+def in_order(leaves: DataFrame, stage: Stage) -> DataFrame:
+    """leaves (_group, _id, _node, _row) with _at, the place in the group by (_id, _node), nulls first, and _count, the group's leaves. Ranges split a large
+    group, and equal rows, wherever they are many."""
+    placed = places(leaves, ["_group"], [F.col("_id").asc_nulls_first(), F.col("_node"), F.col("_row")], stage, "order")
+    return placed.withColumn("_at", F.col("_place") - 1)
 
 
 def manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, id_col: str = "doc_id", group_col: str = "lang", told: Column | None = None) -> DataFrame:
@@ -105,7 +95,7 @@ def manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, id_col: str = "d
     own = own.select(F.col(f"`{group_col}`").cast("string").alias("_group"), F.col(f"`{id_col}`").alias("_id"), F.col("__leaf").alias("_node"), (F.col("__leaf") if told is None else F.coalesce(told, F.col("__leaf"))).alias("_told"))
     leaves = work.stage(own.withColumn("_row", F.monotonically_increasing_id()), "leaves")
     carry = ("_id", "_told")
-    tree = climb(in_order(leaves, work), work, "rows", carry)
+    tree = climb(in_order(leaves, work.stage), work, "rows", carry)
     tops = running(tree.tops, [F.col("_group").asc_nulls_first()], [], work.stage, "tops")
     tops = tops.join(tops.agg(F.count("*").alias("_count")), how="cross")  # one row
     tops = tops.select(F.lit("").alias("_group"), F.col("_group").alias("_name"), (F.col("_rank") - 1).alias("_at"), "_count", "_node")
