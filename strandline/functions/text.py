@@ -59,9 +59,9 @@ def unit_key(c: Column) -> Column:
 # What a source file's name can be, in the order in which the forms are tried. Named parts of a pattern: no, the chapter's number; title.
 UNIT_FORMS = [
     ("章節", r"第\s*(?<no>\d{1,2})\s*章[\s_-]*(?<title>.+)$"),
-    ("章節", r"^(?:(?:ch|CH|Ch|cH)(?<no>\d{1,2})[\s_-]*)(?<title>習題解答)"),
+    ("章節", r"(?i)^ch(?<no>\d{1,2})[\s_-]*(?<title>習題解答)"),
     ("模組", r"模組\s*\d+[\s_-]*[-_－:：]?\s*(?<title>.+)$"),
-    ("模組", r"^(?:[iI][pP][aA][sS][\s_-]*)?(?<title>.*網路安全簡介.*)$"),
+    ("模組", r"(?i)^(?:ipas[\s_-]*)?(?<title>.*網路安全簡介.*)$"),
     ("題庫", EXAM),
 ]
 UNTITLED, SKIPPED, UNKNOWN = "未命名", "SKIP", "UNMATCHED"
@@ -111,6 +111,30 @@ def lenient_json(c: Column, array_first: bool = True) -> Column:
     return F.coalesce(*(F.when(F.try_parse_json(x).isNotNull() & (x != ""), x) for x in order))
 
 
+# The form of an answer where there is no JSON, and how much of a text is kept.
+ANSWER_FORM = r"\"?answer\"?\s*[:：]\s*\"([A-Da-d ,，、]+)\"?"
+KEPT_RAW, KEPT_REASONING = 300, 500
+
+
+def answer_of(raw: Column) -> Column:
+    """answer, reasoning and parse_error of a model's answer: from JSON, where error is null; else by ANSWER_FORM (regex_fallback); else empty (no_match, or empty for an empty text)."""
+    found = lenient_json(raw, array_first=False)
+    thing = F.startswith(F.schema_of_variant(F.try_parse_json(found)), F.lit("OBJECT"))
+    field = lambda n: F.coalesce(F.get_json_object(found, f"$.{n}"), F.lit(""))
+    part = lambda a, r, e: F.struct(a.alias("answer"), r.alias("reasoning"), e.alias("parse_error"))
+    start = F.left(raw, F.lit(KEPT_RAW))
+    stated = part(F.trim(field("answer")), F.left(field("reasoning"), F.lit(KEPT_REASONING)), F.lit(None).cast("string"))
+    formed = part(F.regexp_extract(raw, ANSWER_FORM, 1), start, F.lit("regex_fallback"))
+    blank = part(F.lit(""), F.lit(""), F.lit("empty"))
+    return F.when(raw.isNull() | (raw == ""), blank).when(thing, stated).when(F.rlike(raw, F.lit(ANSWER_FORM)), formed).otherwise(part(F.lit(""), start, F.lit("no_match")))
+
+
+def whole_number(c: Column) -> Column:
+    """A text as a whole number, what is behind the point dropped; null if it is none."""
+    number = F.trim(c.cast("string")).try_cast("double")
+    return F.when(~F.isnan(number) & (F.abs(number) < 2.0**63), number.cast("long"))
+
+
 def env_secret(line: Column) -> Column:
     """The variable that a line's first assignment gives a secret; null without one, or if the value is a placeholder or read from the environment."""
     value = F.regexp_extract(line, ENV_ASSIGNMENT, 2)
@@ -120,8 +144,8 @@ def env_secret(line: Column) -> Column:
 
 
 def secret_kinds(line: Column) -> Column:
-    """All kinds of secret in a line, as an array: keys by their form, ENV and the variable of an assignment, TOKEN and PATH."""
-    forms = KEY_FORMS | {"TOKEN": 'token = "[0-9a-f]{40}"', "PATH": WINDOWS_PATH}
+    """All kinds of secret in a line, as an array: keys by their form, ENV and the variable of an assignment, PATH."""
+    forms = KEY_FORMS | {"PATH": WINDOWS_PATH}
     return F.array_compact(F.array(*(F.when(F.rlike(line, F.lit(p)), F.lit(k)) for k, p in forms.items()), F.concat(F.lit("ENV "), env_secret(line))))
 
 

@@ -79,6 +79,13 @@ def expand(linked: DataFrame, edges: DataFrame, most: int = 50) -> DataFrame:
     return near.select("qid", F.when(out, F.col("id")).otherwise(F.col("other")).alias("head"), "rel", F.when(out, F.col("other")).otherwise(F.col("id")).alias("tail")).distinct()
 
 
+def run_statistics(questions: DataFrame, found: DataFrame) -> DataFrame:
+    """Of a run over questions (qid) that found triples (qid): questions, filled, empty, share of filled ones in percent, mean_edges, max_edges."""
+    each = questions.select("qid").join(found.groupBy("qid").agg(F.count("*").alias("n")), "qid", "left").select(F.coalesce("n", F.lit(0)).alias("n"))
+    filled = F.count_if(F.col("n") > 0)
+    return each.agg(F.count("*").alias("questions"), filled.alias("filled"), F.count_if(F.col("n") == 0).alias("empty"), F.round(100.0 * filled / F.count("*"), 2).alias("share"), F.round(F.avg("n"), 4).alias("mean_edges"), F.max("n").alias("max_edges"))
+
+
 def first_wins(triples: DataFrame) -> DataFrame:
     """Per qid, in order of ord: a triple goes if its (head, rel) or (tail, rel) was kept before. A question is one task's work."""
 

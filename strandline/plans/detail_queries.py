@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from strandline import models
 from strandline.functions import text as fn
 from strandline.operators import communities as moving
-from strandline.operators import graph, matching
+from strandline.operators import graph, matching, views
+from strandline.operators.ranges import places
 from strandline.plans.graph_binding import EDGES_SQL, G0, MENTIONS_SQL, edges, mentions, nodes, table
 from strandline.plans.table_queries import FILES_SQL, file_names, vectors
+from strandline.sources.staging import Steps
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -168,18 +170,14 @@ def contradiction_hints(spark, sf):
 
 @query()
 def merge_stats(spark, sf):
-    """What a sequential merge does to a graph of vectors: merged and skipped pairs, self-loops, and the share of edges preserved."""
+    """What a sequential merge does to a graph of vectors, whose types are the remainders of their ids by 3."""
     rows = vectors(spark, sf)
     pairs = matching.capped_pairs(matching.similar_pairs(rows, 0.3))
-    order = F.row_number().over(Window.partitionBy("block").orderBy(F.desc("similarity"), "id_a", "id_b"))
-    merged = matching.sequential_merge(pairs.withColumn("ord", order).select("block", "ord", "id_a", "id_b"))
-    names = matching.final_names(merged)
-    links = matching.similar_pairs(rows, 0.25).select("id_a", "id_b")
-    a, b = names.toDF("id_a", "to_a"), names.toDF("id_b", "to_b")
-    after = links.join(a, "id_a", "left").join(b, "id_b", "left").select(F.coalesce("to_a", "id_a").alias("s"), F.coalesce("to_b", "id_b").alias("d")).distinct()
-    counts = after.agg(F.count("*").alias("edges_after"), F.sum((F.col("s") == F.col("d")).cast("long")).alias("self_loops")).join(links.agg(F.count("*").alias("edges_before")), how="cross")  # one row each
-    done = merged.agg(F.sum((F.col("outcome") == "merged").cast("long")).alias("merged"), F.count("*").alias("pairs"))
-    return counts.join(done, how="cross").withColumn("preserved", F.round((F.col("edges_after") - F.col("self_loops")) / F.col("edges_before"), 4))
+    ordered = places(pairs, ["block"], [F.desc("similarity"), F.col("id_a"), F.col("id_b")], Steps(spark, "merge"), "pairs")
+    merged = matching.sequential_merge(ordered.select("block", F.col("_place").alias("ord"), "id_a", "id_b"))
+    links = matching.similar_pairs(rows, 0.25).select(F.col("id_a").alias("src"), F.col("id_b").alias("dst"))
+    types = rows.select("id", (F.col("id") % 3).alias("type"))
+    return views.merge_statistics(merged, types, links, matching.final_names(merged))
 
 
 @query()

@@ -196,7 +196,9 @@ def membership_join(spark, sf):
     return orders.join(other, ["o_custkey", "o_orderpriority"], "left_semi").groupBy(F.col("o_orderpriority").alias("unit")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {NODES_SQL}, {EDGES_SQL}, ways AS (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges),
+    r(id, component) USING KEY (id) AS (SELECT id, id FROM nodes UNION (SELECT w.dst, min(r.component) FROM r JOIN ways w ON r.id = w.src JOIN recurring.r AS known ON known.id = w.dst WHERE r.component < known.component GROUP BY w.dst))
+    SELECT id, component FROM r""")
 def wcc(spark, sf):
     """The weak component of every node of the bound graph."""
     return graph.components(edges(spark, sf), nodes(spark, sf))

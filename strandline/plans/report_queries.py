@@ -212,7 +212,7 @@ def seeded_vectors(spark, sf):
 @query()
 def community_grid(spark, sf):
     """Communities of the bound graph by resolution and least size; ids are numbered in each configuration."""
-    return communities.grid(edges(spark, sf), [0.5, 1.0], [3, 10]).drop("gamma")
+    return communities.grid(edges(spark, sf), communities.GAMMAS, communities.LEAST_SIZES).drop("gamma")
 
 
 # ---------------------------------------------------------------- answers of models
@@ -228,10 +228,10 @@ def extract_stub(prompts: list[str]) -> list[str]:
     return out
 
 
-@query("""WITH w AS (SELECT item_id, string_split(text, ' ')[1:4] w FROM benchmark) SELECT item_id, i::INT source_index, w[i] subject, w[i + 1] AS object FROM (SELECT *, unnest(range(1, len(w))) i FROM w)""")
+@query("""WITH w AS (SELECT item_id, string_split(text, ' ') w FROM benchmark) SELECT item_id, i::INT source_index, w[i] subject, w[i + 1] AS object FROM (SELECT *, unnest(range(1, len(w))) i FROM w)""")
 def triple_extraction(spark, sf):
     """Triples from texts, any number from each."""
-    texts = table(spark, sf, "benchmark").select("item_id", F.array_join(F.slice(F.split("text", " "), 1, 4), " ").alias("prompt"))
+    texts = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("prompt"))
     found = models.triples_of(models.ask(texts, "item_id", "prompt", extract_stub), "item_id")
     return found.select("item_id", "source_index", F.col("subject.name").alias("subject"), F.col("object.name").alias("object"))
 

@@ -128,12 +128,11 @@ ENV_SQL = r"\b(OPENAI_API_KEY|GOOGLE_API_KEY|GEMINI_API_KEY|GROQ_API_KEY(?:_[0-9
     UNION ALL SELECT doc_id, n::INT, 'GROQ_API_KEY' FROM l WHERE regexp_matches(line, 'gsk_[A-Za-z0-9_-]{{20,}}')
     UNION ALL SELECT doc_id, n::INT, 'GOOGLE_API_KEY' FROM l WHERE regexp_matches(line, 'AIza[A-Za-z0-9_-]{{20,}}')
     UNION ALL SELECT doc_id, n::INT, 'OPENAI_API_KEY' FROM l WHERE regexp_matches(line, 'sk-(proj-|live-)?[A-Za-z0-9_-]{{20,}}')
-    UNION ALL SELECT doc_id, n::INT, 'TOKEN' FROM l WHERE regexp_matches(line, 'token = "[0-9a-f]{{40}}"')
     UNION ALL SELECT doc_id, n::INT, 'PATH' FROM l WHERE regexp_matches(line, '\b[A-Za-z]:[\\/]')
     UNION ALL SELECT doc_id, n::INT, 'ENV ' || var FROM v WHERE var <> '' AND NOT contains(given, 'getenv(') AND NOT (starts_with(bare, '<') AND ends_with(bare, '>'))
       AND lower(bare) NOT IN ('', 'your_api_key_here', 'your-key-here', 'replace_me', 'changeme', 'placeholder', 'example', 'none', 'null')""")
 def secret_scan(spark, sf):
-    """A row per line and kind of leak: keys, assignments of secrets, tokens, local paths."""
+    """A row per line and kind of leak: keys, assignments of secrets, local paths."""
     lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     return lines.select("doc_id", (F.col("pos") + 1).alias("line_no"), F.explode(fn.secret_kinds(F.col("line"))).alias("kind"))
 

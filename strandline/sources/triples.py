@@ -15,6 +15,30 @@ def read_triples(spark: SparkSession, path: str, schema: str = schemas.RAW_TRIPL
     return rows.where("_corrupt IS NULL AND relation IS NOT NULL").drop("_corrupt")
 
 
+def scan_triples(spark: SparkSession, path: str, schema: str = schemas.RAW_TRIPLE, pattern: str = "*.json") -> tuple[DataFrame, DataFrame]:
+    """Triples of all files below path with _file and _index (from 1), which give their order, and faults: file, reason, index, a row for each file or record that gives none.
+
+    Reasons of a file: empty (nothing in it, or an empty array), bad JSON, no array; of a record, with its index: no relation. A mark of byte order doesn't matter.
+    """
+    body = F.regexp_replace("text", "^\ufeff", "")
+    rows = read_texts(spark, path, pattern).select("file", body.alias("text")).withColumn("v", F.try_parse_json("text"))
+    records = F.from_json("text", f"ARRAY<STRUCT<{schema}>>")
+    blank = F.trim(F.regexp_replace("text", r"\s", "")).isin("", "[]")
+    array = F.startswith(F.schema_of_variant("v"), F.lit("ARRAY"))
+    rows = rows.withColumn("reason", F.when(blank, "empty").when(F.col("v").isNull(), "bad JSON").when(~array, "no array"))
+    found = rows.where("reason IS NULL").select("file", F.posexplode(records).alias("_pos", "t")).withColumn("index", F.col("_pos") + 1)
+    faults = rows.where("reason IS NOT NULL").select("file", "reason", F.lit(None).cast("int").alias("index"))
+    faults = faults.unionByName(found.where("t.relation IS NULL").select("file", F.lit("no relation").alias("reason"), "index"))
+    return found.where("t.relation IS NOT NULL").select("t.*", F.col("file").alias("_file"), F.col("index").alias("_index")), faults
+
+
+def scan_counts(triples: DataFrame, faults: DataFrame) -> DataFrame:
+    """outcome (accepted, or the reason of a fault), files, records of what scan_triples() returns; a fault of a whole file has no records."""
+    good = triples.select(F.lit("accepted").alias("outcome"), F.col("_file").alias("file"), F.col("_index").alias("index"))
+    every = good.unionByName(faults.withColumnRenamed("reason", "outcome"))
+    return every.groupBy("outcome").agg(F.countDistinct("file").alias("files"), F.count("index").alias("records"))
+
+
 def scan_documents(spark: SparkSession, path: str, pattern: str = "*.{pdf,json}") -> DataFrame:
     """path, length, modificationTime of all documents below path; their contents aren't read."""
     rows = spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter=pattern).load(path)
@@ -54,13 +78,21 @@ def chunk_windows(docs: DataFrame, id_col: str, text_col: str, size: int = 500,
     return starts.select(id_col, (F.col("pos") + 1).alias("chunk"), F.size(part).alias("n_tokens"), F.array_join(part, " ").alias("text"))
 
 
-def read_decisions(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, header=True, schema=schemas.MERGE_DECISION)
+def read_decisions(spark: SparkSession, path: str, aliases: dict[str, list[str]] | None = None) -> DataFrame:
+    """Decisions of all CSV files at path in the columns of MERGE_DECISION. With ``aliases`` the columns are found by name: the first of a column's names that the
+    files have and that isn't empty counts; other columns are left out, missing ones are null. A mark of byte order before the header doesn't matter."""
+    if aliases is None:
+        return spark.read.csv(path, header=True, schema=schemas.MERGE_DECISION)
+    rows = spark.read.csv(path, header=True)
+    given = {c.lstrip("\ufeff"): F.col(f"`{c}`") for c in rows.columns}
+    fields = [f.strip().split(" ") for f in schemas.MERGE_DECISION.split(",")]
+    first = lambda name: F.coalesce(F.lit(None), *(F.nullif(F.trim(given[a]), F.lit("")) for a in (name, *aliases.get(name, [])) if a in given))
+    return rows.select(*(first(name).try_cast(kind.lower()).alias(name) for name, kind in fields))
 
 
-def write_csv(rows: DataFrame, path: str) -> None:
-    """With header; missing values are empty."""
-    texts = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in rows.columns]
+def write_csv(rows: DataFrame, path: str, mark: bool = False) -> None:
+    """With header; missing values are empty. With ``mark`` a mark of byte order, which spreadsheets look for, stands before the header of each file."""
+    texts = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(("\ufeff" if mark and i == 0 else "") + c) for i, c in enumerate(rows.columns)]
     rows.select(*texts).write.mode("overwrite").csv(path, header=True)
 
 
@@ -87,6 +119,13 @@ def verify(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("node_count LONG, rel_count LONG").json(f"{path}/manifest").join(found, how="cross")
 
 
+def histograms(spark: SparkSession, path: str) -> DataFrame:
+    """kind (label or relation), value, n of a backup's nodes and edges."""
+    nodes, edges = spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")
+    count = lambda rows, kind, c: rows.groupBy(F.col(c).alias("value")).agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "value", "n")
+    return count(nodes, "label", "label").unionByName(count(edges, "relation", "rel"))
+
+
 def first_by(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
     """The first row of each key."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where("_n = 1").drop("_n")

@@ -5,12 +5,12 @@ import os
 import duckdb
 import pytest
 
-from strandline.plans import detail_queries, graph_queries, report_queries, table_queries
+from strandline.plans import detail_queries, graph_queries, report_queries, table_queries, view_queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES = {**graph_queries.QUERIES, **table_queries.QUERIES, **detail_queries.QUERIES, **report_queries.QUERIES}
-SQL = {**graph_queries.SQL, **table_queries.SQL, **detail_queries.SQL, **report_queries.SQL}
+QUERIES = {**graph_queries.QUERIES, **table_queries.QUERIES, **detail_queries.QUERIES, **report_queries.QUERIES, **view_queries.QUERIES}
+SQL = {**graph_queries.SQL, **table_queries.SQL, **detail_queries.SQL, **report_queries.SQL, **view_queries.SQL}
 
 
 def rows(found):

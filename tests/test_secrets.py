@@ -6,7 +6,7 @@ LINES = [
     (f'OPENAI_API_KEY = "{KEY}"', ["ENV OPENAI_API_KEY", "OPENAI_API_KEY"]), ("export GROQ_API_KEY_2=abc", ["ENV GROQ_API_KEY_2"]), ("NVIDIA_API_KEY_3 = v", ["ENV NVIDIA_API_KEY_3"]),
     ("GEMINI_API_KEY='x' # local", ["ENV GEMINI_API_KEY"]), ("NVIDIA_API_KEY=abc", []), ("MY_NEO4J_PASSWORD=abc", []), ("密NEO4J_PASSWORD=abc", []),
     ('NEO4J_PASSWORD = os.getenv("NEO4J_PASSWORD")', []), ("NEO4J_PASSWORD=", []), ("NEO4J_PASSWORD=  ", []), ('NEO4J_PASSWORD="ChangeMe"', []), ("GOOGLE_API_KEY=<your key>", []),
-    ("NEO4J_PASSWORD='none' ", []), ("GOOGLE_API_KEY=your_api_key_here", []), ("plain text", []), ('token = "' + "0a" * 20 + '"', ["TOKEN"]),
+    ("NEO4J_PASSWORD='none' ", []), ("GOOGLE_API_KEY=your_api_key_here", []), ("plain text", []), ('token = "' + "0a" * 20 + '"', []),
 ]
 
 
