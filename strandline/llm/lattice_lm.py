@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from strandline.llm.common import BYTES_LOWER, Workspace, bounded_batches
 
 FREQUENT = 5e-6
+SHARED_BYTES = 256  # of a word that is sent to all tasks
 LONG = 1024  # bytes; longer words are walked one by one, in memory that is a few numbers for each byte
 ROUNDS = 4
 END = b""  # the end of a text in the table of words; no word is empty
@@ -306,8 +307,8 @@ def scores(docs: DataFrame, vocabulary: str, train: Column, id_col: str = "doc_i
 
     marked = work.stage(words.mapInPandas(mark, "word binary, n long, lattice double, mixed double, base double"), "marked")
     work.drop("words")
-    # At most 1 / FREQUENT words can be this frequent.
-    top = marked.where((F.col("n") >= max(1, FREQUENT * n))).collect()
+    # At most 1 / FREQUENT words can be this frequent; longer ones, such as texts without white space, are joined like the rare ones.
+    top = marked.where((F.col("n") >= max(1, FREQUENT * n)) & (F.octet_length("word") <= SHARED_BYTES)).collect()
     frequent = spark.sparkContext.broadcast({bytes(r["word"]): (float(r["n"] > 0), r["base"], r["mixed"], r["lattice"]) for r in top} | {END: end})
 
     def per_text(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

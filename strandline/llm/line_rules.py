@@ -113,9 +113,11 @@ def judged(docs: DataFrame, text_col: str = "text", rules: LineRules = LineRules
 
 
 def keep_clean(docs: DataFrame, text_col: str = "text", rules: LineRules = LineRules()) -> DataFrame:
-    """The documents that are kept, with their cleaned texts, in the columns of docs."""
-    rows = judged(docs, text_col, rules, "__line_rules").where("__line_rules.kept")
-    rows = rows.withColumn(text_col, F.col("__line_rules.cleaned"))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+    """The documents that are kept, with their cleaned texts and the lengths of these in n_chars, where there is such a column, in the columns of docs, whatever
+    their names. A null or empty text has too few words and goes; repeated rows are judged alike, each for itself; a null id stays one. An empty table gives no row.
+    """
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+    rows = judged(docs.select(whole, F.col(f"`{text_col}`").alias("_text")), "_text", rules, "_rules").where("_rules.kept")
+    cleaned = F.col("_rules.cleaned")
+    new = {text_col: cleaned} | ({"n_chars": F.length(cleaned).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return rows.select(*(new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns))

@@ -99,20 +99,24 @@ def indexed_documents(indexed: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- the search
 
 
-def windows_of(items: DataFrame, postings: DataFrame, window: int) -> DataFrame:
-    """item, words, start, n (words of the window) and rarest, the offsets in the item of its RAREST rarest terms (ties: the first).
+def terms_of(items: DataFrame, postings: DataFrame) -> DataFrame:
+    """item, offset, term, df of every word of the items; df, how often the term is indexed, is 0 for one that isn't."""
+    counts = postings.groupBy("term").agg(F.sum("n").alias("df")).withColumnRenamed("term", "_term")
+    at = items.select("item", F.posexplode("words").alias("offset", "term")).join(counts, F.col("term") == F.col("_term"), "left")
+    return at.select("item", "offset", "term", F.coalesce("df", F.lit(0)).alias("df"))
+
 
-    A window with a term that isn't indexed can't match and isn't returned.
+def windows_of(items: DataFrame, at: DataFrame, window: int) -> DataFrame:
+    """item, start, n (words of the window) and rarest, the offsets in the item of its RAREST rarest terms (ties: the first).
+
+    Each word goes to the windows that hold it, ``window`` at most, so a long item is as many small groups as it has windows. A window with a
+    term that isn't indexed can't match and isn't returned.
     """
-    at = items.select("item", "words", F.posexplode("words").alias("offset", "term"))
-    counts = postings.groupBy("term").agg(F.sum("n").alias("df")).withColumnRenamed("term", "_term")
-    ranked = at.join(counts, F.col("term") == F.col("_term"), "left").select("item", "words", F.struct(F.coalesce("df", F.lit(0)).alias("df"), "offset").alias("x"), "offset")
-    by_item = ranked.groupBy("item", "words").agg(F.array_sort(F.collect_list(F.struct("offset", "x")))["x"].alias("list"))
-    starts = F.sequence(F.lit(0), F.greatest(F.size("list") - window, F.lit(0)))
-    rows = by_item.select("item", "words", "list", F.explode(starts).alias("start"))
-    own = F.array_sort(F.slice("list", F.col("start") + 1, F.lit(window)))
-    rows = rows.withColumn("own", own).where(F.col("own")[0]["df"] > 0)
-    return rows.select("item", "words", "start", F.size("own").alias("n"), F.slice("own", 1, RAREST)["offset"].alias("rarest"))
+    sizes = items.select("item", F.greatest(F.size("words") - window, F.lit(0)).alias("last"))
+    starts = F.sequence(F.greatest(F.col("offset") - window + 1, F.lit(0)), F.least("offset", "last"))
+    held = at.join(sizes, "item").select("item", F.struct("df", "offset").alias("x"), F.explode(starts).alias("start"))
+    rows = held.groupBy("item", "start").agg(F.array_sort(F.collect_list("x")).alias("own")).where(F.col("own")[0]["df"] > 0)
+    return rows.select("item", "start", F.size("own").alias("n"), F.slice("own", 1, RAREST)["offset"].alias("rarest"))
 
 
 def standing(postings: DataFrame, places: DataFrame, terms: DataFrame, slop: int, work: Workspace, name: str) -> DataFrame:
@@ -134,10 +138,11 @@ def matches(indexed: DataFrame, items: DataFrame, work: Workspace, window: int =
     gives them) occur. indexed: staged. Windows of an item with the same rarest terms are one lookup."""
     terms = work.stage(items.select(F.explode("words").alias("_term")).distinct(), "terms")
     postings = work.stage(indexed.join(terms, F.col("term") == F.col("_term"), "left_semi").select("segment", "term", "n", "postings"), "postings", compression="lz4")
-    windows = windows_of(items, postings, window).groupBy("item", "words", "rarest").agg(F.collect_list(F.struct("start", "n")).alias("windows"))
+    at = work.stage(terms_of(items, postings), "at")
+    windows = windows_of(items, at, window).groupBy("item", "rarest").agg(F.collect_list(F.struct("start", "n")).alias("windows"))  # ``window`` windows at most
     lookups = work.stage(windows.withColumn("lookup", F.monotonically_increasing_id()), "lookups")
-    term = F.element_at("words", F.col("offset") + 1).alias("term")
-    rarest = work.stage(lookups.select("lookup", "words", F.posexplode("rarest").alias("nth", "offset")).select("lookup", "nth", "offset", term), "rarest")
+    named = at.select("item", "offset", "term")
+    rarest = work.stage(lookups.select("lookup", "item", F.posexplode("rarest").alias("nth", "offset")).join(named, ["item", "offset"]).select("lookup", "nth", "offset", "term"), "rarest")
     first = work.stage(rarest.where("nth = 0").select("lookup", "offset", F.col("term").alias("_term")), "first")
     rows = postings.join(first, F.col("term") == F.col("_term")).select("segment", "lookup", "offset", F.explode("postings").alias("posting"))
     places = work.stage(rows.select("segment", "lookup", (F.col("posting") - F.col("offset")).alias("place")), "places", compression="lz4")
@@ -152,8 +157,8 @@ def matches(indexed: DataFrame, items: DataFrame, work: Workspace, window: int =
     for name in ("places", "next-wanted", "next-found"):
         work.drop(name)
     # All terms of the windows that are left.
-    own = lookups.select("lookup", "words", F.explode("windows").alias("x")).select("lookup", "words", "x.*")
-    every = own.select("lookup", "words", F.explode(F.expr("sequence(start, start + n - 1)")).alias("offset")).distinct().select("lookup", "offset", term)
+    own = lookups.select("lookup", "item", F.explode("windows").alias("x")).select("lookup", "item", "x.*")
+    every = own.select("lookup", "item", F.explode(F.expr("sequence(start, start + n - 1)")).alias("offset")).distinct().join(named, ["item", "offset"]).select("lookup", "offset", "term")
     have = standing(postings, likely, every, slop, work, "all").groupBy(*key).agg(F.collect_list(F.struct("offset", "near")).alias("have"))
     named = lookups.select(F.col("lookup").alias("_lookup"), "item", "windows")
     rows = have.join(named, F.col("lookup") == F.col("_lookup")).select("segment", "item", "place", "have", F.explode("windows").alias("x"))

@@ -357,3 +357,20 @@ def test_toxicity(spark):
     assert deobfuscate.scored(docs.limit(0), deobfuscate.fit(docs.limit(0), labels.withColumnRenamed("y", "toxic"), F.lit(True))).count() == 0
     nothing = deobfuscate.fit(docs, labels.withColumnRenamed("y", "toxic").limit(0), F.lit(True))
     assert nothing.score("moron") == 0.5
+
+
+def test_clean_texts_whatever_the_columns(spark):
+    good = "".join(f"Sentence {i} has words {i * 7} that stand {i + 3} for themselves here. " for i in range(10))
+    rows = [(1, f"{good}\nMenu", 3, "x", "y", "z"), (None, good, 3, "x", "y", "z"), (2, None, None, "x", "y", "z"), (3, "", 0, "x", "y", "z")]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING, n_chars LONG, `a.b` STRING, __line_rules STRING, _row STRING")
+    out = line_rules.keep_clean(docs)
+    assert out.columns == docs.columns and {tuple(r) for r in out.collect()} == {(1, good, len(good), "x", "y", "z"), (None, good, len(good), "x", "y", "z")}
+    assert line_rules.keep_clean(docs.limit(0)).count() == 0
+
+
+def test_a_long_item_is_many_windows(spark):
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(5000)}" for _ in range(20_000)]
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id LONG, text STRING")
+    docs = spark.createDataFrame([(1, " ".join(words[700:760])), (2, " ".join(words[5:14])), (3, " ".join(f"v{i}" for i in range(50)))], "doc_id LONG, text STRING")
+    assert sorted((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in phrase_index.contamination(docs, items).collect()) == [(1, 60, 60, ["1"]), (2, 9, 0, []), (3, 50, 0, [])]
