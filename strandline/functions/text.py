@@ -67,8 +67,8 @@ UNIT_FORMS = [
 UNTITLED, SKIPPED, UNKNOWN = "未命名", "SKIP", "UNMATCHED"
 
 
-def unit_of(file: Column) -> dict[str, Column]:
-    """unit, category, chapter_no and is_exercise of a source file's name: the first of UNIT_FORMS that fits."""
+def unit_struct(file: Column) -> Column:
+    """unit, category, chapter_no and is_exercise of a source file's name, as a struct: the first of UNIT_FORMS that fits."""
     stem = F.translate(F.regexp_replace(file, r"^.*[/\\\\]|\.(?i:pdf|json)$", ""), "０１２３４５６７８９", "0123456789")
 
     def part(pattern: str, name: str) -> Column:
@@ -88,7 +88,12 @@ def unit_of(file: Column) -> dict[str, Column]:
         exercise = F.lit("習題解答" in pattern)
         found.append(F.when(F.rlike(stem, F.lit(pattern)), F.struct(unit.alias("unit"), F.lit(category).alias("category"), no.alias("chapter_no"), exercise.alias("is_exercise"))))
     other = F.struct(F.lit(UNKNOWN).alias("unit"), F.lit(UNKNOWN).alias("category"), F.lit(None).cast("int").alias("chapter_no"), F.lit(False).alias("is_exercise"))
-    first = F.coalesce(*found, F.when(file.isNotNull(), other))
+    return F.coalesce(*found, F.when(file.isNotNull(), other))
+
+
+def unit_of(file: Column) -> dict[str, Column]:
+    """The fields of unit_struct(); take them of a column that holds it where several are needed."""
+    first = unit_struct(file)
     return {name: first[name] for name in ("unit", "category", "chapter_no", "is_exercise")}
 
 

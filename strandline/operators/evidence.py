@@ -66,6 +66,7 @@ def hop(found: DataFrame, edges: DataFrame, tails: int = 30, relations: int = 10
     """Triples one hop further (qid, head, rel, tail): from the first tails of a question's triples over the first of their relations, up to most each."""
     place = lambda by, order: F.row_number().over(Window.partitionBy(*by).orderBy(order))
     start = found.select("qid", F.col("tail").alias("id")).distinct().withColumn("n", place(["qid"], "id")).where(F.col("n") <= tails).select("qid", "id")
+    start = Steps(edges.sparkSession, "hop")(start)
     over = found.select("qid", "rel").distinct().withColumn("n", place(["qid"], "rel")).where(F.col("n") <= relations).select("qid", "rel")
     ahead = first_neighbours(edges, start, most).where("way = 'out'")
     return start.join(over, "qid").join(ahead, ["id", "rel"]).select("qid", F.col("id").alias("head"), "rel", F.col("other").alias("tail"))
@@ -73,7 +74,7 @@ def hop(found: DataFrame, edges: DataFrame, tails: int = 30, relations: int = 10
 
 def expand(linked: DataFrame, edges: DataFrame, most: int = 50) -> DataFrame:
     """Triples around linked ids (qid, id): for each id, relation and direction the first ``most`` by the other end."""
-    ids = linked.select("qid", "id").distinct()
+    ids = Steps(edges.sparkSession, "expand")(linked.select("qid", "id").distinct())  # so that the links aren't worked out for each use
     near = ids.join(first_neighbours(edges, ids, most), "id")
     out = F.col("way") == "out"
     return near.select("qid", F.when(out, F.col("id")).otherwise(F.col("other")).alias("head"), "rel", F.when(out, F.col("other")).otherwise(F.col("id")).alias("tail")).distinct()

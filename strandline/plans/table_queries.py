@@ -66,7 +66,7 @@ UNIT_SQL = f"""WITH {FILES_SQL}, u AS (SELECT p_partkey, file, CASE p_partkey %
 
 def mapped_units(files: DataFrame) -> DataFrame:
     """files (file, ...) with unit and category; an exercise takes the unit of the chapter of its number, of several the last file's."""
-    rows = files.withColumns(fn.unit_of(F.col("file")))
+    rows = files.withColumn("_u", fn.unit_struct(F.col("file"))).select(*files.columns, "_u.*")
     titles = rows.where("chapter_no IS NOT NULL AND NOT is_exercise").groupBy("chapter_no").agg(F.max_by("unit", "file").alias("title"))
     rows = rows.join(titles, "chapter_no", "left").withColumn("unit", F.when(F.col("is_exercise"), F.coalesce("title", "unit")).otherwise(F.col("unit")))
     return rows.select(*files.columns, "unit", "category")

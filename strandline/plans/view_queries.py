@@ -15,7 +15,7 @@ from strandline.operators import communities, evidence, funnel, graph, matching,
 from strandline.operators.ranges import running
 from strandline.plans.graph_binding import EDGES_SQL, G0, NODES_SQL, TRIPLES_SQL, edges, nodes, table, triples
 from strandline.plans.graph_queries import LAYER_SQL, linked_mentions
-from strandline.plans.table_queries import vectors
+from strandline.plans.table_queries import FILES_SQL, file_names, vectors
 from strandline.sources import triples as sources
 from strandline.sources.staging import Steps, shared_dir
 
@@ -61,6 +61,22 @@ def node_order(spark, sf):
     return views.node_order(nodes(spark, sf).join(degrees, "id", "left"), ["label"]).select("id", "label", "degree", "place")
 
 
+@query(G0 + LAYER_SQL + """ SELECT n.community, coalesce(layer, 0)::BIGINT layer, count(*) n FROM nodes n LEFT JOIN (SELECT id, layer FROM l WHERE degree > 0) USING (id) GROUP BY 1, 2""")
+def layer_groups(spark, sf):
+    """Nodes of each community by level; those without a level, here those that lead nowhere in it, are at level 0."""
+    levels = graph.intra_degree_layers(edges(spark, sf), nodes(spark, sf)).where("degree > 0").select("id", F.col("layer").cast("long").alias("layer"))
+    rows = nodes(spark, sf).join(levels, "id", "left").withColumn("layer", F.coalesce("layer", F.lit(0).cast("long")))
+    return rows.groupBy("community", "layer").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {FILES_SQL} SELECT count(DISTINCT CASE p_partkey % 5 WHEN 0 THEN 'CH' || lpad(regexp_extract(file, '第([0-9]+)', 1), 2, '0') WHEN 1 THEN 'CH' || lpad(regexp_extract(file, 'ch([0-9]+)', 1), 2, '0')
+    WHEN 2 THEN 'MOD' || lpad(regexp_extract(file, '模組([0-9]+)', 1), 2, '0') END) units, count(DISTINCT file) files FROM files""")
+def unit_count(spark, sf):
+    """How many chapters and modules all files belong to."""
+    files = file_names(spark, sf)
+    return files.agg(F.countDistinct(fn.unit_key(F.col("file"))).alias("units"), F.countDistinct("file").alias("files"))
+
+
 @query(f"WITH {NODES_SQL} SELECT id, label || ',KGNode' labels, label AS type FROM nodes")
 def common_label(spark, sf):
     return views.with_common_label(nodes(spark, sf)).select("id", F.array_join("labels", ",").alias("labels"), "type")

@@ -18,15 +18,16 @@ def read_triples(spark: SparkSession, path: str, schema: str = schemas.RAW_TRIPL
 def scan_triples(spark: SparkSession, path: str, schema: str = schemas.RAW_TRIPLE, pattern: str = "*.json") -> tuple[DataFrame, DataFrame]:
     """Triples of all files below path with _file and _index (from 1), which give their order, and faults: file, reason, index, a row for each file or record that gives none.
 
-    Reasons of a file: empty (nothing in it, or an empty array), bad JSON, no array; of a record, with its index: no relation. A mark of byte order doesn't matter.
+    Reasons of a file: empty (blanks, or an empty array), bad JSON, no array; of a record, with its index: no relation. A mark of byte order doesn't matter. Files of no byte at
+    all are none to Spark's readers and have no row.
     """
     body = F.regexp_replace("text", "^\ufeff", "")
     rows = read_texts(spark, path, pattern).select("file", body.alias("text")).withColumn("v", F.try_parse_json("text"))
-    records = F.from_json("text", f"ARRAY<STRUCT<{schema}>>")
+    records = F.from_json("text", "ARRAY<STRING>")  # each record as text, so that one of another form doesn't hide the others
     blank = F.trim(F.regexp_replace("text", r"\s", "")).isin("", "[]")
     array = F.startswith(F.schema_of_variant("v"), F.lit("ARRAY"))
     rows = rows.withColumn("reason", F.when(blank, "empty").when(F.col("v").isNull(), "bad JSON").when(~array, "no array"))
-    found = rows.where("reason IS NULL").select("file", F.posexplode(records).alias("_pos", "t")).withColumn("index", F.col("_pos") + 1)
+    found = rows.where("reason IS NULL").select("file", F.posexplode(records).alias("_pos", "_record")).select("file", (F.col("_pos") + 1).alias("index"), F.from_json("_record", f"STRUCT<{schema}>").alias("t"))
     faults = rows.where("reason IS NOT NULL").select("file", "reason", F.lit(None).cast("int").alias("index"))
     faults = faults.unionByName(found.where("t.relation IS NULL").select("file", F.lit("no relation").alias("reason"), "index"))
     return found.where("t.relation IS NOT NULL").select("t.*", F.col("file").alias("_file"), F.col("index").alias("_index")), faults

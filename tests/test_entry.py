@@ -18,6 +18,14 @@ def test_entry_without_the_text_operators(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", check=True, env={"PATH": "/usr/bin:/bin"})
 
 
+def test_the_rest_passes_without_the_text_operators(tmp_path):
+    """Some of the rest's own tests, run where the text operators are deleted."""
+    shutil.copytree(ROOT, tmp_path / "repo", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
+    tests = ["tests/test_text.py", "tests/test_secrets.py", "tests/test_evidence.py"]
+    run = subprocess.run([sys.executable, "-m", "pytest", "-q", "-p", "no:cacheprovider", *tests], cwd=tmp_path / "repo", capture_output=True, text=True)
+    assert run.returncode == 0, run.stdout[-2000:]
+
+
 def test_every_sql_has_a_query():
     import __spark_entry__
 
