@@ -109,15 +109,19 @@ def judged(docs: DataFrame, text_col: str = "text", rules: LineRules = LineRules
     def apply(text: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([judge(x, rules) for x in text], columns=names)
 
-    return docs.withColumn(out, apply(F.col(text_col)))
+    # Called non-deterministic so that a filter on its result doesn't make Spark work it out twice.
+    return docs.withColumn(out, apply.asNondeterministic()(F.col(text_col)))
 
 
 def keep_clean(docs: DataFrame, text_col: str = "text", rules: LineRules = LineRules()) -> DataFrame:
     """The documents that are kept, with their cleaned texts and the lengths of these in n_chars, where there is such a column, in the columns of docs, whatever
     their names. A null or empty text has too few words and goes; repeated rows are judged alike, each for itself; a null id stays one. An empty table gives no row.
     """
-    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
-    rows = judged(docs.select(whole, F.col(f"`{text_col}`").alias("_text")), "_text", rules, "_rules").where("_rules.kept")
+    others = [c for c in docs.columns if c not in (text_col, "n_chars")]
+    row = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(others))).alias("_row")
+    rows = judged(docs.select(row, F.col(f"`{text_col}`").alias("_text")), "_text", rules, "_rules").where("_rules.kept")
     cleaned = F.col("_rules.cleaned")
-    new = {text_col: cleaned} | ({"n_chars": F.length(cleaned).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return rows.select(*(new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns))
+    new = {c: F.col(f"_row._{i}") for i, c in enumerate(others)} | {text_col: cleaned}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length(cleaned).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*(new[c].alias(c) for c in docs.columns))
