@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,18 @@ Client = Callable[[list[str]], list[str]]
 Embedder = Callable[[list[str]], list[list[float]]]
 
 
+Sampler = Callable[[list[str], float], list[str]]
+
+
+def tempered(sampler: Sampler, temperature: float) -> Client:
+    """A client that asks a sampler at a temperature; a retry is the same sampler at another one."""
+    return partial(_sampled, sampler, temperature)
+
+
+def _sampled(sampler: Sampler, temperature: float, prompts: list[str]) -> list[str]:
+    return sampler(prompts, temperature)
+
+
 def stub(prompts: list[str]) -> list[str]:
     """A deterministic answer to each prompt: a verdict and a confidence drawn from its digest."""
     out = []

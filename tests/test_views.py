@@ -116,3 +116,11 @@ def test_statistics_of_a_merge(spark):
     into = spark.createDataFrame([(2, 1), (4, 3)], "id LONG, into LONG")
     row = views.merge_statistics(merged, types, links, into).first().asDict()
     assert row == {"pairs": 3, "merged": 2, "not_found": 1, "cross_rate": 0.5, "edges_before": 4, "edges_after": 3, "self_loops": 1, "preserved": 0.5}
+
+
+def test_a_retry_at_another_temperature(spark):
+    from strandline import models
+
+    sampler = lambda prompts, t: [f"{p}@{t}" for p in prompts]
+    rows = spark.createDataFrame([(1, "p"), (2, "q")], "id LONG, prompt STRING")
+    assert {r.answer for r in models.ask(rows, "id", "prompt", models.tempered(sampler, 0.7)).collect()} == {"p@0.7", "q@0.7"}
