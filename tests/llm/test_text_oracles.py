@@ -21,4 +21,4 @@ def test_query_equals_sql(name, spark):
     columns = sorted(found.columns)
     sql = queries.oracle_sql()[name]
     expected = db.sql(f"SELECT {', '.join(columns)} FROM ({sql})").fetchall()
-    assert sorted(map(tuple, found.select(*columns).collect())) == sorted(expected)
+    assert sorted(map(repr, map(tuple, found.select(*columns).collect()))) == sorted(map(repr, expected))
