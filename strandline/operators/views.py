@@ -44,7 +44,11 @@ def node_order(rows: DataFrame, groups: list[str], most: int | None = None) -> D
     return placed if most is None else placed.where(F.col("place") <= most)
 
 
-def with_common_label(nodes: DataFrame, common: str = "KGNode") -> DataFrame:
+# Fixed value: the label that all nodes share.
+COMMON = "KGNode"
+
+
+def with_common_label(nodes: DataFrame, common: str = COMMON) -> DataFrame:
     """nodes with labels, their own and the common one, and type, their own; one without label has the common one only."""
     return nodes.withColumns({"labels": F.array_distinct(F.array_compact(F.array(F.col("label"), F.lit(common)))), "type": F.col("label")})
 
