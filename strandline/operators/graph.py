@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.operators.ranges import places
@@ -14,11 +14,16 @@ from strandline.sources.staging import Steps
 # ---------------------------------------------------------------- folds of mentions
 
 
-def fold_nodes(mentions: DataFrame, keys: list[str]) -> DataFrame:
-    """Mentions (keys, display, ord, source) folded to a node per key: the first display and source, and how many there are. No list is
-    gathered, so that a hub's mentions are aggregated in part before the shuffle."""
+def _first(column: str, *tie: str) -> Column:
+    """The column's first value that isn't null, by ord and then by the columns tie; mentions without ord don't count."""
+    return F.min_by(column, F.when(F.col("ord").isNotNull() & F.col(column).isNotNull(), F.struct("ord", *tie)))
+
+
+def fold_nodes(mentions: DataFrame, keys: list[str], tie: tuple[str, ...] = ()) -> DataFrame:
+    """Mentions (keys, display, ord, source) folded to a node per key: the first display and source, and how many there are. Of mentions with one ord
+    the first by the columns tie counts. No list is gathered, so that a hub's mentions are aggregated in part before the shuffle."""
     return mentions.groupBy(*keys).agg(
-        F.min_by("display", "ord").alias("display"), F.count("*").alias("n_mentions"), F.min("ord").alias("first_ord"), F.min_by("source", "ord").alias("first_source"), F.count("source").alias("n_sources")
+        _first("display", *tie).alias("display"), F.count("*").alias("n_mentions"), F.min("ord").alias("first_ord"), _first("source", *tie).alias("first_source"), F.count("source").alias("n_sources")
     )
 
 
@@ -27,9 +32,9 @@ def fold_sources(mentions: DataFrame, keys: list[str]) -> DataFrame:
     return mentions.where(F.col("source").isNotNull()).select(*keys, "ord", "source")
 
 
-def fold_nodes_by_name(mentions: DataFrame) -> DataFrame:
-    """A node per name alone: the first mention's label and display win."""
-    return mentions.groupBy("name").agg(F.min_by("label", "ord").alias("label"), F.min_by("display", "ord").alias("display"), F.count("*").alias("n_mentions"))
+def fold_nodes_by_name(mentions: DataFrame, tie: tuple[str, ...] = ()) -> DataFrame:
+    """A node per name alone: the first mention's label and display win, of mentions with one ord the first by the columns tie."""
+    return mentions.groupBy("name").agg(_first("label", *tie).alias("label"), _first("display", *tie).alias("display"), F.count("*").alias("n_mentions"))
 
 
 def fold_edges(mentions: DataFrame) -> DataFrame:
