@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from difflib import SequenceMatcher
 from functools import reduce
 
@@ -17,6 +18,40 @@ from strandline.sources.staging import Steps
 TILE = 512
 
 
+def _compared(met: DataFrame, keys: list[str], sides: tuple[str, str], compare: Callable, schema: str) -> DataFrame:
+    """What compare(key, ids, vectors, other ids, other vectors) makes of each row of met: the columns keys, and two tiles in the columns sides.
+
+    Tiles go to Python as rows of single vectors, one pair of tiles after the other, since a batch counts rows: of whole tiles it would hold gigabytes. A
+    task holds a batch of vectors and one pair.
+    """
+    side = lambda name, right: F.transform(name, lambda r: F.struct(F.lit(right).alias("right"), r["id"].alias("id"), r["v"].alias("v")))
+    rows = met.select(*keys, F.inline(F.concat(side(sides[0], False), side(sides[1], True))))
+
+    def whole(key, held):
+        right, ids = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
+        v = np.concatenate([x[2] for x in held])
+        return compare(key, ids[~right], v[~right], ids[right], v[right])
+
+    def run(batches):
+        key, held = None, []  # of the pair that may go on in the next batch
+        for batch in batches:
+            if batch.empty:
+                continue
+            k = batch[keys].to_numpy()
+            cuts = [0, *(np.nonzero((k[1:] != k[:-1]).any(axis=1))[0] + 1), len(k)]
+            right, ids = batch["right"].to_numpy(bool), batch["id"].to_numpy()
+            for i, j in zip(cuts, cuts[1:]):
+                if held and tuple(k[i]) != key:
+                    yield whole(key, held)
+                    held = []
+                key = tuple(k[i])
+                held.append((right[i:j], ids[i:j], np.array(list(batch["v"].iloc[i:j]), float)))
+        if held:
+            yield whole(key, held)
+
+    return rows.mapInPandas(run, schema)
+
+
 def similar_pairs(vectors: DataFrame, least: float = 0.8) -> DataFrame:
     """id_a < id_b of one block (id, block, v) whose cosine is at least ``least``.
 
@@ -28,18 +63,16 @@ def similar_pairs(vectors: DataFrame, least: float = 0.8) -> DataFrame:
     packed = dealt.groupBy("block", "tile").agg(F.collect_list(F.struct("id", "v")).alias("rows"))
     pairs = packed.select("block", F.col("tile").alias("t1"), F.col("rows").alias("a")).join(packed.select("block", F.col("tile").alias("t2"), F.col("rows").alias("b")), "block").where("t1 <= t2")
 
-    def compare(batches):
-        for batch in batches:
-            for same, block, a, b in zip(batch["t1"] == batch["t2"], batch["block"], batch["a"], batch["b"]):
-                (ia, va), (ib, vb) = (([r["id"] for r in x], np.array([r["v"] for r in x], float)) for x in (a, b))
-                na, nb = np.linalg.norm(va, axis=1), np.linalg.norm(vb, axis=1)
-                sim = (va @ vb.T) / np.maximum(na[:, None] * nb[None, :], 1e-300)
-                i, j = np.nonzero(sim >= least)
-                x, y = np.array(ia)[i], np.array(ib)[j]
-                keep = x < y if same else np.ones(len(x), bool)
-                yield pd.DataFrame({"block": block, "id_a": np.minimum(x, y)[keep], "id_b": np.maximum(x, y)[keep], "similarity": sim[i, j][keep]})
+    def compare(key, ia, va, ib, vb):
+        block, t1, t2 = key
+        na, nb = np.linalg.norm(va, axis=1), np.linalg.norm(vb, axis=1)
+        sim = (va @ vb.T) / np.maximum(na[:, None] * nb[None, :], 1e-300)
+        i, j = np.nonzero(sim >= least)
+        x, y = ia[i], ib[j]
+        keep = x < y if t1 == t2 else np.ones(len(x), bool)
+        return pd.DataFrame({"block": block, "id_a": np.minimum(x, y)[keep], "id_b": np.maximum(x, y)[keep], "similarity": sim[i, j][keep]})
 
-    return pairs.mapInPandas(compare, "block long, id_a long, id_b long, similarity double")
+    return _compared(pairs, ["block", "t1", "t2"], ("a", "b"), compare, "block long, id_a long, id_b long, similarity double")
 
 
 def tiles(vectors: DataFrame, side: str) -> tuple[DataFrame, DataFrame]:
@@ -59,21 +92,18 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int = 10, above: float = 0
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     met = q.join(nc, "block").select("block", "t_q", every("n_c").alias("t_c"), "q").join(c.join(nq, "block").select("block", "t_c", every("n_q").alias("t_q"), "c"), ["block", "t_q", "t_c"])
 
-    def best(batches):
-        for batch in batches:
-            for qs, cs in zip(batch["q"], batch["c"]):
-                (iq, vq), (ic, vc) = ((np.array([r["id"] for r in x]), np.array([r["v"] for r in x], float)) for x in (qs, cs))
-                order = np.argsort(ic, kind="stable")
-                ic, vc = ic[order], vc[order]
-                norms = np.maximum(np.linalg.norm(vq, axis=1)[:, None] * np.linalg.norm(vc, axis=1)[None, :], 1e-300)
-                sim = np.floor(vq @ vc.T / norms * 1e4 + 0.5) / 1e4
-                sim[(sim <= above) | (iq[:, None] == ic[None, :])] = -np.inf
-                first = np.argsort(-sim, axis=1, kind="stable")[:, :k]  # equal ones by id
-                found = np.take_along_axis(sim, first, axis=1)
-                i, j = np.nonzero(found > -np.inf)
-                yield pd.DataFrame({"qid": iq[i], "id": ic[first[i, j]], "similarity": found[i, j]})
-
-    scored = met.select("q", "c").mapInPandas(best, "qid long, id long, similarity double")
+    def best(key, iq, vq, ic, vc):
+        order = np.argsort(ic, kind="stable")
+        ic, vc = ic[order], vc[order]
+        norms = np.maximum(np.linalg.norm(vq, axis=1)[:, None] * np.linalg.norm(vc, axis=1)[None, :], 1e-300)
+        sim = np.floor(vq @ vc.T / norms * 1e4 + 0.5) / 1e4
+        sim[(sim <= above) | (iq[:, None] == ic[None, :])] = -np.inf
+        first = np.argsort(-sim, axis=1, kind="stable")[:, :k]  # equal ones by id
+        found = np.take_along_axis(sim, first, axis=1)
+        i, j = np.nonzero(found > -np.inf)
+        return pd.DataFrame({"qid": iq[i], "id": ic[first[i, j]], "similarity": found[i, j]})
+
+    scored = _compared(met, ["block", "t_q", "t_c"], ("q", "c"), best, "qid long, id long, similarity double")
     return scored.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("similarity"), "id"))).where(F.col("place") <= k)
 
 
