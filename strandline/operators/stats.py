@@ -172,11 +172,18 @@ def percent_change(before: Column, after: Column) -> Column:
 
 
 def modularity(edges: DataFrame, communities: DataFrame, gamma: float = 1.0) -> DataFrame:
-    """Of undirected edges (src, dst), parallel ones counted: sum over communities of inside / m - gamma * (degree / 2m) ** 2."""
-    ends = edges.select(F.col("src").alias("id")).union(edges.select("dst")).groupBy("id").agg(F.count("*").alias("degree"))
-    degrees = ends.join(communities, "id").groupBy("cid").agg(F.sum("degree").alias("degree"))
-    both = edges.join(communities.toDF("src", "a"), "src").join(communities.toDF("dst", "b"), "dst")
-    inside = both.where("a = b").groupBy(F.col("a").alias("cid")).agg(F.count("*").alias("inside"))
-    m = edges.agg(F.count("*").alias("m"))
-    rows = degrees.join(inside, "cid", "left").join(m, how="cross")  # one row
-    return rows.agg(F.sum(F.coalesce("inside", F.lit(0)) / F.col("m") - gamma * (F.col("degree") / (2 * F.col("m"))) ** 2).alias("modularity"))
+    """Of undirected edges (src, dst), parallel ones counted: sum over communities (id, cid) of inside / m - gamma * (degree / 2m) ** 2."""
+    a, b = communities.select(F.col("id").alias("src"), F.col("cid").alias("a"), F.lit(True).alias("in_a")), communities.select(F.col("id").alias("dst"), F.col("cid").alias("b"), F.lit(True).alias("in_b"))
+    return modularity_of(edges.join(a, "src", "left").join(b, "dst", "left"), gamma)
+
+
+def modularity_of(ends: DataFrame, gamma: float = 1.0) -> DataFrame:
+    """modularity() of edges with their communities a and b; in_a and in_b are true if an end has one. Edges are counted by both, once, and all else comes from the counts."""
+    pairs = ends.groupBy("a", "b", F.coalesce("in_a", F.lit(False)).alias("in_a"), F.coalesce("in_b", F.lit(False)).alias("in_b")).agg(F.count("*").alias("n"))
+    side = lambda c, inside: F.struct(F.col(c).alias("cid"), F.col(f"in_{c}").alias("known"), inside.alias("inside"))
+    same = F.coalesce(F.when(F.col("a") == F.col("b"), F.col("n")), F.lit(0))
+    each = pairs.select("n", F.inline(F.array(side("a", same), side("b", F.lit(0).cast("long")))))
+    sums = each.groupBy("cid", "known").agg(F.sum("n").alias("degree"), F.sum("inside").alias("inside"))
+    m = F.sum("degree").over(Window.partitionBy()) / 2  # a row per community
+    part = F.col("inside") / F.col("m") - gamma * (F.col("degree") / (2 * F.col("m"))) ** 2
+    return sums.withColumn("m", m).where("known").agg(F.sum(part).alias("modularity"))
