@@ -12,7 +12,7 @@ from strandline.functions import text as fn
 from strandline.operators import communities as moving
 from strandline.operators import graph, matching, views
 from strandline.operators.ranges import places
-from strandline.plans.graph_binding import EDGES_SQL, G0, MENTIONS_SQL, edges, mentions, nodes, placed_edges, table
+from strandline.plans.graph_binding import EDGES_SQL, G0, MENTIONS_SQL, edge_ends, edges, mentions, nodes, placed_edges, table
 from strandline.plans.table_queries import FILES_SQL, file_names, vectors
 from strandline.sources.staging import Steps
 
@@ -33,8 +33,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 @query(G0 + " SELECT id, label FROM nodes WHERE id NOT IN (SELECT src FROM edges UNION SELECT dst FROM edges)")
 def isolated_nodes(spark, sf):
-    ends = edges(spark, sf).select(F.col("src").alias("id")).union(edges(spark, sf).select("dst"))
-    return nodes(spark, sf).join(ends, "id", "left_anti").select("id", "label")
+    return nodes(spark, sf).join(edge_ends(spark, sf), "id", "left_anti").select("id", "label")
 
 
 @query(f"WITH {EDGES_SQL}, e AS (SELECT src id FROM edges UNION ALL SELECT dst FROM edges) SELECT id, count(*) degree, CASE WHEN count(*) <= 2 THEN 'ring' ELSE 'core' END place FROM e GROUP BY 1")
