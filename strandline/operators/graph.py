@@ -140,11 +140,11 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.select("id").join(current.toDF("id", "root"), "id", "left").select("id", F.coalesce("root", "id").alias("component"))
 
 
-def path_plan(edges: DataFrame, target: str, learned: list[str]) -> DataFrame:
+def path_plan(edges: DataFrame, target: str | int, learned: list) -> DataFrame:
     """id, distance: what leads to target over edges backwards. Learned nodes are reached but not passed, except the target. Each step is a table of its own."""
     steps = Steps(edges.sparkSession, "plan")
     back = steps(edges.select("src", "dst").distinct(), "back")  # so that no step works the edges out again
-    found = [steps(edges.sparkSession.createDataFrame([(target, 0)], "id STRING, distance INT"), "target")]
+    found = [steps(edges.sparkSession.createDataFrame([(target, 0)], f"id {back.schema['src'].dataType.simpleString()}, distance INT"), "target")]
     while True:
         front = found[-1]
         front = front.where(~F.col("id").isin(*learned) | (F.col("id") == target)) if learned else front
