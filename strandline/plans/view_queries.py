@@ -13,7 +13,7 @@ from strandline.functions import report
 from strandline.functions import text as fn
 from strandline.operators import communities, evidence, funnel, graph, matching, views
 from strandline.operators.ranges import running
-from strandline.plans.graph_binding import EDGES_SQL, G0, NODES_SQL, TRIPLES_SQL, edges, nodes, placed_edges, table, triples
+from strandline.plans.graph_binding import EDGES_SQL, G0, NODES_SQL, TRIPLES_SQL, edges, inside_edges, nodes, placed_edges, table, triples
 from strandline.plans.graph_queries import LAYER_SQL, linked_mentions
 from strandline.plans.table_queries import FILES_SQL, file_names, vectors
 from strandline.sources import triples as sources
@@ -57,14 +57,14 @@ def prerequisites(spark, sf):
 @query(G0 + LAYER_SQL + """ SELECT n.id, n.label, degree, row_number() OVER (PARTITION BY n.label ORDER BY degree DESC NULLS FIRST, n.name, n.id) place FROM nodes n LEFT JOIN l USING (id)""")
 def node_order(spark, sf):
     """Nodes of each label in the order of the view, those without a degree first."""
-    degrees = graph.intra_degree_layers(placed_edges(spark, sf), nodes(spark, sf)).select("id", "degree")
+    degrees = graph.intra_degree_layers(inside_edges(spark, sf), nodes(spark, sf)).select("id", "degree")
     return views.node_order(nodes(spark, sf).join(degrees, "id", "left"), ["label"]).select("id", "label", "degree", "place")
 
 
 @query(G0 + LAYER_SQL + """ SELECT n.community, coalesce(layer, 0)::BIGINT layer, count(*) n FROM nodes n LEFT JOIN (SELECT id, layer FROM l WHERE degree > 0) USING (id) GROUP BY 1, 2""")
 def layer_groups(spark, sf):
     """Nodes of each community by level; those without a level, here those that lead nowhere in it, are at level 0."""
-    levels = graph.intra_degree_layers(placed_edges(spark, sf), nodes(spark, sf)).where("degree > 0").select("id", F.col("layer").cast("long").alias("layer"))
+    levels = graph.intra_degree_layers(inside_edges(spark, sf), nodes(spark, sf)).where("degree > 0").select("id", F.col("layer").cast("long").alias("layer"))
     rows = nodes(spark, sf).join(levels, "id", "left").withColumn("layer", F.coalesce("layer", F.lit(0).cast("long")))
     return rows.groupBy("community", "layer").agg(F.count("*").alias("n"))
 
